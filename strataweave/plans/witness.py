@@ -1,2 +1,6 @@
-QUERIES: dict = {}
-SQL: dict = {}
+"""All queries of the reference's operators."""
+
+from __future__ import annotations
+
+from . import graph_queries, ledger_queries, recall_queries  # noqa: F401
+from .registry import QUERIES, SQL  # noqa: F401
