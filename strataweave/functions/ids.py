@@ -8,6 +8,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .text import normal_description, slug
 
@@ -29,7 +30,7 @@ def crosses_scope(src: Column, dst: Column) -> Column:
     return F.coalesce(a.isNotNull() & b.isNotNull() & (a != b), F.lit(False))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_json(text: pd.Series) -> pd.Series:
     """JSON with sorted keys and tight separators, ASCII-escaped; null for what is no JSON."""
 
@@ -42,7 +43,7 @@ def canonical_json(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _claim_hash(kind: pd.Series, description: pd.Series) -> pd.Series:
     form = (json.dumps({"description": d, "kind": k}, sort_keys=True, separators=(",", ":")) for k, d in zip(kind, description, strict=True))
     return pd.Series([hashlib.sha256(x.encode()).hexdigest()[:16] for x in form])

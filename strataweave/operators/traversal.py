@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..sources.store import Graph
+from .iterate import settle
 
 # Limits of the ad-hoc surface.
 MAX_ROWS, MAX_CHARS, MAX_QUERY, MAX_VALUE = 50, 8_000, 2_000, 400
@@ -460,18 +461,24 @@ class T:
     def repeat(self, sub: Callable[[T], T], *, times: int | None = None, until: Callable[[T], T] | None = None, emit: bool = False, max_loops: int = 32) -> T:
         """Walk ``sub`` again and again; ``until`` stops rows that meet it, ``emit`` keeps every stage.
 
-        The plan unrolls, so loops are bounded by ``times`` or ``max_loops``; for
-        closures of unknown depth use the semi-naive one.
+        Each round's rows are written and read back, so plans stay one round long;
+        without ``times`` the walk ends when no row is left, after ``max_loops`` at
+        most. For closures of unknown depth use the semi-naive one.
         """
         rest, out = self, None
         for _ in range(times if times is not None else max_loops):
             rest = sub(rest)
+            rest = rest._next(settle(rest.frame))
             if until is not None:
                 done = rest.where(until)
+                done = done._next(settle(done.frame))
                 out = done if out is None else out._joined(done)
                 rest = rest.not_(until)
+                rest = rest._next(settle(rest.frame))
             elif emit:
                 out = rest if out is None else out._joined(rest)
+            if times is None and rest.frame.isEmpty():
+                break
         return rest if out is None else out
 
     # Results -----------------------------------------------------------------------------
