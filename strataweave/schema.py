@@ -63,7 +63,7 @@ VERTEX = T.StructType(
 )
 
 EDGE = T.StructType(
-    [T.StructField(n, T.StringType(), n == "props") for n in ("label", "src", "dst", "src_label", "dst_label")] + [T.StructField("props", T.MapType(T.StringType(), T.StringType()))]
+    [T.StructField(n, T.StringType()) for n in ("label", "src", "dst", "src_label", "dst_label")] + [T.StructField("props", T.MapType(T.StringType(), T.StringType()))]
 )
 
 _S, _L, _D, _B, _I = "STRING", "BIGINT", "DOUBLE", "BOOLEAN", "INT"
