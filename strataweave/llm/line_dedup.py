@@ -90,10 +90,11 @@ def dedup_lines(docs: DataFrame, *, threshold: int = 3, least_chars: int = 20, i
     keys = work.keep(light.mapInArrow(_keys(least_chars), "doc_id long, place int, k1 long, k2 long"), "keys")
     once = keys.select("k1", "k2", "doc_id").distinct()
     common = work.keep(once.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= threshold).select("k1", "k2", "keeper"), "common")
-    gone = keys.join(common, ["k1", "k2"]).where("doc_id <> keeper").groupBy("doc_id").agg(F.collect_set("place").alias("drop"))
+    # Both right sides grow with the corpus, so they are merged and never broadcast.
+    gone = keys.join(common.hint("merge"), ["k1", "k2"]).where("doc_id <> keeper").groupBy("doc_id").agg(F.collect_set("place").alias("drop"))
     gone = work.keep(gone, "gone")
     rest = [c for c in docs.columns if c != text_col]
     base = docs.select(*rest, F.col(text_col).cast("string").alias("text"))
-    marked = base.join(gone.withColumnRenamed("doc_id", "_gone_id"), F.col(id_col) == F.col("_gone_id"), "left").drop("_gone_id")
+    marked = base.join(gone.withColumnRenamed("doc_id", "_gone_id").hint("merge"), F.col(id_col) == F.col("_gone_id"), "left").drop("_gone_id")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name != "text")
     return marked.mapInArrow(_rebuild, f"{fields}, n_lines long, n_dropped long, kept_sha256 string, kept_text string")
