@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .workspace import Workspace
+from .workspace import ROWS_PER_FILE, Workspace
 
 WHITE = "[\\x20\\x09-\\x0D]+"
 
@@ -41,7 +41,8 @@ class DigestIndex:
     def compact(self) -> DataFrame:
         """Merge all runs into one level; equal digests keep their least id and the sum of rows."""
         every = self.work.spark.read.parquet(*self.runs)
-        return self._write(every.groupBy("digest").agg(F.min("id").alias("id"), F.sum("n").alias("n")), 1)
+        merged = every.groupBy("digest").agg(F.min("id").alias("id"), F.sum("n").alias("n"))
+        return self._write(merged.coalesce(1 + every.count() // ROWS_PER_FILE), 1)
 
 
 def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", digest_hex: int = 64) -> DataFrame:
@@ -61,15 +62,16 @@ def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     entries = work.keep(docs.select(F.col(id_col).alias("id"), sha.alias("sha")), "digests").withColumn("digest", F.substring("sha", 1, digest_hex))
     index.flush(entries)
     merged = index.compact()
-    hits = work.keep(merged.where("n > 1").select("digest"), "hits")
+    hits = merged.where("n > 1").select("digest")
+    # Hits grow with the corpus, so they are shuffled and never broadcast; a hot digest's rows can then be split.
     # Bytes of hits, grouped by themselves: a digest is verified if it stands for one text.
     located = docs.select(F.col(id_col).alias("id"), text.alias("body")).withColumn("digest", F.substring(F.sha2("body", 256), 1, digest_hex))
-    bodies = located.join(hits, "digest", "left_semi").groupBy("digest", "body").agg(F.min("id").alias("keep_id"), F.count("*").alias("n"))
+    bodies = located.join(hits.hint("shuffle_hash"), "digest", "left_semi").groupBy("digest", "body").agg(F.min("id").alias("keep_id"), F.count("*").alias("n"))
     checked = work.keep(bodies.groupBy("digest").agg(F.count("*").alias("texts"), F.min("keep_id").alias("keep_id"), F.sum("n").alias("n")), "verified")
     sure = checked.where("texts = 1").select("digest", "keep_id", "n")
     out = entries.select("id", "sha", "digest")
     clash = checked.where("texts > 1").select("digest")
-    found = out.join(sure, "digest", "left")
+    found = out.join(sure.hint("shuffle_hash"), "digest", "left")
     if not clash.isEmpty():
         apart = work.keep(located.join(clash, "digest", "left_semi").groupBy("digest", "body").agg(F.min("id").alias("apart_id"), F.count("*").alias("apart_n")), "apart")
         split = located.join(apart, ["digest", "body"]).select(F.col("id"), F.sha2("body", 256).alias("sha"), F.col("apart_id").alias("keep_id"), F.col("apart_n").alias("n"))

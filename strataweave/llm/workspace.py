@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows of a light table that one task writes.
+ROWS_PER_FILE = 65_536
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; only where it is unset, as in tests, one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -28,9 +32,10 @@ class Workspace:
         self.spark = spark
         self.base = f"{shared_dir(spark)}/strataweave-{uuid.uuid4().hex}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, *, rows: int | None = None, per_file: int = ROWS_PER_FILE) -> DataFrame:
+        """Write and read back. Where the number of ``rows`` is known, so many tasks write files of ``per_file`` rows each."""
         path = f"{self.base}/{name}"
-        df.write.parquet(path)
+        (df if rows is None else df.coalesce(1 + rows // per_file)).write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
