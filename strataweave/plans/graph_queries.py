@@ -208,3 +208,67 @@ def rollup_cube(t):
 def most_common(t):
     n = t.lineitem.groupBy(F.col("l_linenumber").cast("long").alias("l_shipmode_like"), "l_returnflag").agg(F.count("*").alias("n"))
     return n.withColumn("rk", F.rank().over(W.partitionBy("l_returnflag").orderBy(F.col("n").desc(), "l_shipmode_like")).cast("long")).where("rk <= 3")
+
+
+def _tables_graph(t: Tables):
+    """Regions above nations above suppliers and customers, and customers that placed orders, as a property graph."""
+    from ..sources.store import Graph
+
+    def vid(prefix, c):
+        return F.concat(F.lit(prefix), F.col(c).cast("string"))
+
+    def vertex(df, label, prefix, key, name, weight):
+        return df.select(vid(prefix, key).alias("vid"), F.lit(label).alias("label"), F.col(name).alias("name"), weight.cast("double").alias("weight"))
+
+    def edge(df, label, src, dst):
+        return df.select(F.lit(label).alias("label"), src.alias("src"), dst.alias("dst"), F.lit(None).cast("map<string,string>").alias("props"))
+
+    v = [
+        vertex(t.region, "Region", "r", "r_regionkey", "r_name", F.lit(0)),
+        vertex(t.nation, "Nation", "n", "n_nationkey", "n_name", F.lit(0)),
+        vertex(t.supplier, "Supplier", "s", "s_suppkey", "s_name", F.col("s_acctbal")),
+        vertex(t.customer, "Customer", "c", "c_custkey", "c_name", F.col("c_acctbal")),
+    ]
+    e = [
+        edge(t.nation, "HOLDS", vid("r", "n_regionkey"), vid("n", "n_nationkey")),
+        edge(t.supplier, "HOLDS", vid("n", "s_nationkey"), vid("s", "s_suppkey")),
+        edge(t.customer, "HOLDS", vid("n", "c_nationkey"), vid("c", "c_custkey")),
+        edge(t.orders.groupBy("o_custkey").agg((F.min("o_orderkey") % 100).alias("s")), "ASKS", vid("c", "o_custkey"), vid("s", "s")),
+    ]
+    both = lambda parts: parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return Graph(both(v), both(e))
+
+
+@query("SELECT r_name AS key, count(*) AS n FROM region JOIN nation ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1")
+def traversal_3hop(t):
+    """Suppliers walk up two hops; walkers at one place are counted and not listed."""
+    from ..operators.traversal import T
+
+    return T(_tables_graph(t)).V().has_label("Supplier").in_("HOLDS").in_("HOLDS").group_count("name")
+
+
+@query("""
+SELECT s_name AS value FROM supplier WHERE s_acctbal > 5000 AND NOT EXISTS (SELECT 1 FROM (SELECT min(o_orderkey) % 100 AS s FROM orders GROUP BY o_custkey) WHERE s = s_suppkey)
+UNION ALL SELECT DISTINCT n_name FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE c_acctbal < -990
+""")
+def traversal_filters(t):
+    """Rich suppliers that nobody asks, and nations with a deep debtor; absence is an anti join, presence a semi join."""
+    from ..operators.traversal import T, gt, lt
+
+    g = T(_tables_graph(t))
+    alone = g.V().has_label("Supplier").has("weight", gt(5000)).not_(lambda x: x.in_("ASKS")).values("name")
+    debt = g.V().has_label("Nation").where(lambda x: x.out("HOLDS").has_label("Customer").has("weight", lt(-990))).values("name")
+    return alone.df.select("value").unionByName(debt.df.select("value"))
+
+
+@query("""
+WITH a AS (SELECT o_custkey, min(o_orderkey) % 100 AS s FROM orders GROUP BY o_custkey)
+SELECT c_mktsegment AS key, count(*) AS n FROM a JOIN customer ON o_custkey = c_custkey JOIN supplier ON s_suppkey = s WHERE c_nationkey = s_nationkey GROUP BY 1
+""")
+def traversal_match(t):
+    """Customers that ask a supplier of their own nation: two walks that must meet."""
+    from ..operators.traversal import T
+
+    g = T(_tables_graph(t)).V().has_label("Customer").as_("c").match(("c", lambda x: x.out("ASKS"), "s"), ("s", lambda x: x.in_("HOLDS"), "n"), ("c", lambda x: x.in_("HOLDS"), "n"))
+    found = g.df.select(F.substring("as_c", 2, 20).cast("long").alias("c_custkey"))
+    return found.join(t.customer.select("c_custkey", "c_mktsegment"), "c_custkey").groupBy(F.col("c_mktsegment").alias("key")).agg(F.count("*").alias("n"))
