@@ -225,7 +225,8 @@ def _with_sets(width: int):
 
 def _confirm(docs: DataFrame, zones: DataFrame, work: Workspace, width: int, percent: int) -> DataFrame:
     """Exact links (u, v) inside zones, enough of them to connect all that is linked."""
-    size = work.keep(zones.groupBy("component").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")), "zone-size")
+    n = zones.count()
+    size = work.keep(zones.groupBy("component").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")), "zone-size", rows=n)
     named = zones.join(size, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("zone"), "chunks")
     sets = work.keep(docs.join(named, "doc_id").mapInArrow(_with_sets(width), "doc_id long, zone long, chunks int, members binary"), "zone-sets")
     wide = sets.where("chunks > 1")
@@ -233,7 +234,8 @@ def _confirm(docs: DataFrame, zones: DataFrame, work: Workspace, width: int, per
     for deal in range(DEALS):
         rows = (sets if deal == 0 else wide).withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.lit(deal)), "chunks").cast("int"))
         found = rows.select("zone", "chunk", "doc_id", "members").repartition("zone", "chunk").sortWithinPartitions("zone", "chunk", "doc_id").mapInArrow(_within(percent), "u long, v long")
-        links = work.keep(found, f"links-{deal}") if links is None else links.unionByName(work.keep(found, f"links-{deal}"))
+        found = work.keep(found, f"links-{deal}", rows=n, per_file=8 * CHUNK)
+        links = found if links is None else links.unionByName(found)
         if deal == 0 and wide.isEmpty():
             return links
     joined = components(links, work, "dealt")

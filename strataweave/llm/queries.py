@@ -30,7 +30,31 @@ def op1_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+OP2_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(ws) = 1 THEN ws[1] ELSE ws[i] || ' ' || ws[i + 1] END AS sh
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws), 2))) AS i FROM w WHERE len(ws) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS inter FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2
+), e AS (
+  SELECT u, v FROM p JOIN n x ON p.u = x.doc_id JOIN n y ON p.v = y.doc_id WHERE 100 * inter >= 80 * (x.n + y.n - inter)
+), b AS (
+  SELECT u, v FROM e UNION ALL SELECT v, u FROM e
+), r AS (
+  SELECT u AS node, v AS other FROM b UNION SELECT r.node, b.v FROM r JOIN b ON r.other = b.u
+), c AS (
+  SELECT node, min(other) AS low FROM r GROUP BY node
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(c.low, d.doc_id)) AS component_id, d.doc_id = least(d.doc_id, coalesce(c.low, d.doc_id)) AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.node = d.doc_id
+"""
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,4 +126,4 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_cotraining, op2_near_dedup, op3_exact_dedup, op4_fingerprints, op5_url_filter, op6_line_dedup, op7_length_histogram, op8_bpe, op9_mixing, op10_language_id)}
-SQL = {"op3_exact_dedup": OP3_SQL, "op6_line_dedup": OP6_SQL}
+SQL = {"op2_near_dedup": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op6_line_dedup": OP6_SQL}
