@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from .workspace import ROWS_PER_FILE, Workspace
 
+#: Tasks over which the rows of one digest are dealt.
+SALTS = 16
 WHITE = "[\\x20\\x09-\\x0D]+"
 
 
@@ -63,10 +65,13 @@ def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     index.flush(entries)
     merged = index.compact()
     hits = merged.where("n > 1").select("digest")
-    # Hits grow with the corpus, so they are shuffled and never broadcast; a hot digest's rows can then be split.
+    # Hits grow with the corpus, so they are shuffled and never broadcast. A digest's rows are dealt over
+    # salts, and equal bodies of a salt fall together before they meet those of other salts.
     # Bytes of hits, grouped by themselves: a digest is verified if it stands for one text.
     located = docs.select(F.col(id_col).alias("id"), text.alias("body")).withColumn("digest", F.substring(F.sha2("body", 256), 1, digest_hex))
-    bodies = located.join(hits.hint("shuffle_hash"), "digest", "left_semi").groupBy("digest", "body").agg(F.min("id").alias("keep_id"), F.count("*").alias("n"))
+    salted = hits.select("digest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    spread = located.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SALTS)).cast("int"))
+    bodies = spread.join(salted.hint("shuffle_hash"), ["digest", "salt"], "left_semi").groupBy("digest", "body").agg(F.min("id").alias("keep_id"), F.count("*").alias("n"))
     checked = work.keep(bodies.groupBy("digest").agg(F.count("*").alias("texts"), F.min("keep_id").alias("keep_id"), F.sum("n").alias("n")), "verified")
     sure = checked.where("texts = 1").select("digest", "keep_id", "n")
     out = entries.select("id", "sha", "digest")
