@@ -10,7 +10,7 @@ from .bpe import token_lengths
 from .workspace import Workspace
 
 #: Lengths that share one range of the two-level suffix sum.
-RANGE = 1024
+RANGE = 64
 
 
 def length_histogram(docs: DataFrame, path: str, *, text_col: str = "text") -> DataFrame:
@@ -36,10 +36,21 @@ def length_histogram(docs: DataFrame, path: str, *, text_col: str = "text") -> D
 
 
 def truncated_totals(histogram: DataFrame, limits: DataFrame) -> DataFrame:
-    """(context_limit, documents, tokens) for a table of limits: tokens left when texts are cut there, exact for any limit."""
-    cut = F.least("n_tokens", "context_limit")
-    joined = limits.join(histogram.select("n_tokens", F.col("documents").alias("docs")), F.lit(True))
-    return joined.groupBy("context_limit").agg(F.sum("docs").alias("documents"), F.sum(cut * F.col("docs")).alias("tokens"))
+    """(context_limit, documents, tokens) for a table of limits: tokens left when texts are cut there, exact for any limit.
+
+    A limit takes the sums of the greatest length that it reaches; the window
+    sees one row a distinct length and one a limit.
+    """
+    kinds = "at long, side int, total_to long, longer long, documents long"
+    rows = histogram.selectExpr("n_tokens AS at", "0 AS side", "total_to", "documents_from - documents AS longer", "documents")
+    asked = limits.selectExpr("context_limit AS at", "1 AS side", "CAST(NULL AS BIGINT) AS total_to", "CAST(NULL AS BIGINT) AS longer", "0 AS documents")
+    cast = [F.col(c.split(" ")[0]).cast(c.split(" ")[1]) for c in kinds.split(", ")]
+    both = rows.select(*cast).unionByName(asked.select(*cast))
+    all_ = W.partitionBy(F.lit(1))
+    reached = all_.orderBy("at", "side").rowsBetween(W.unboundedPreceding, 0)
+    out = both.withColumns({"total_to": F.coalesce(F.last("total_to", ignorenulls=True).over(reached), F.lit(0)), "documents": F.sum("documents").over(all_), "longer": F.last("longer", ignorenulls=True).over(reached)})
+    tokens = F.col("total_to") + F.col("at") * F.coalesce("longer", "documents")
+    return out.where("side = 1").select(F.col("at").alias("context_limit"), "documents", tokens.alias("tokens"))
 
 
 def length_quantile(histogram: DataFrame, share: float) -> DataFrame:
