@@ -21,7 +21,7 @@ ROUNDS = 3
 EXCHANGE = 150
 CONFIDENT = 0.95
 #: Share of good calibration documents that may be rejected.
-MISS = 0.005
+MISS = 0.01
 DIMENSIONS = 1 << 16
 CATEGORIES = 256
 NUMBERS = 10
