@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from . import arrowtext as at
 from .workspace import Workspace
 
+OUTPUTS = ["n_lines", "n_dropped", "kept_sha256", "kept_text"]
 _U = np.uint64
 _A = (at.constants(41, 256) | _U(1))[at._LOWER]
 _B = (at.constants(42, 256) | _U(1))[at._LOWER]
@@ -60,10 +61,9 @@ def _keys(least: int):
 
 
 def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["n_lines", "n_dropped", "kept_sha256", "kept_text"]
     for batch in batches:
         lines, dropped, digest, kept = [], [], [], []
-        for text, drop in zip(batch.column("text").to_pylist(), batch.column("drop").to_pylist(), strict=True):
+        for text, drop in zip(batch.column("_text").to_pylist(), batch.column("_places").to_pylist(), strict=True):
             parts = (text or "").split("\n")
             gone = set(drop or ())
             body = "\n".join([x for i, x in enumerate(parts) if i not in gone]) if gone else text or ""
@@ -71,8 +71,8 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             dropped.append(len(gone))
             digest.append(hashlib.sha256(body.encode()).hexdigest())
             kept.append(body)
-        out = [c for name, c in zip(batch.schema.names, batch.columns, strict=True) if name not in ("text", "drop")]
-        yield pa.RecordBatch.from_arrays([*out, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.string())], names=[*[x for x in batch.schema.names if x not in ("text", "drop")], *names])
+        rest = batch.drop_columns(["_text", "_places"])
+        yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.string())], names=[*rest.schema.names, *OUTPUTS])
 
 
 def dedup_lines(docs: DataFrame, *, threshold: int = 3, least_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -83,7 +83,8 @@ def dedup_lines(docs: DataFrame, *, threshold: int = 3, least_chars: int = 20, i
     ``threshold`` or more documents hold lose all their lines except in the
     greatest id that holds them. Null or empty text is one empty line. Rows that
     repeat an id count as one document and share their dropped positions; rows
-    with a null id lose nothing and are not counted.
+    with a null id lose nothing and are not counted. Input columns with the names
+    of outputs are replaced.
     """
     work = Workspace(docs.sparkSession)
     light = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
@@ -91,10 +92,10 @@ def dedup_lines(docs: DataFrame, *, threshold: int = 3, least_chars: int = 20, i
     once = keys.select("k1", "k2", "doc_id").distinct()
     common = work.keep(once.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= threshold).select("k1", "k2", "keeper"), "common")
     # Both right sides grow with the corpus, so they are merged and never broadcast.
-    gone = keys.join(common.hint("merge"), ["k1", "k2"]).where("doc_id <> keeper").groupBy("doc_id").agg(F.collect_set("place").alias("drop"))
+    gone = keys.join(common.hint("merge"), ["k1", "k2"]).where("doc_id <> keeper").groupBy("doc_id").agg(F.collect_set("place").alias("_places"))
     gone = work.keep(gone, "gone")
-    rest = [c for c in docs.columns if c != text_col]
-    base = docs.select(*rest, F.col(text_col).cast("string").alias("text"))
+    rest = [c for c in docs.columns if c not in (text_col, *OUTPUTS)]
+    base = docs.select(*rest, F.col(text_col).cast("string").alias("_text"))
     marked = base.join(gone.withColumnRenamed("doc_id", "_gone_id").hint("merge"), F.col(id_col) == F.col("_gone_id"), "left").drop("_gone_id")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name != "text")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name != "_text")
     return marked.mapInArrow(_rebuild, f"{fields}, n_lines long, n_dropped long, kept_sha256 string, kept_text string")

@@ -83,12 +83,15 @@ def filter_urls(urls: DataFrame, rules: list[tuple[str, str]], *, url_col: str =
     template is blocked if its smoothed share of bad labels, with ``prior`` rows
     at the host's share (itself smoothed by the table's), reaches ``purity``; no
     labels at all allow everything. Null or unparsable urls have empty host and
-    path and are judged as that host. Repeated rows are judged alike.
+    path and are judged as that host. Repeated rows are judged alike. Input columns
+    with the names of outputs are replaced.
     """
     work = Workspace(urls.sparkSession)
     url = F.col(url_col).cast("string")
     rule, says = rule_for(F.col("host"), F.col("path"), rules)
-    own = urls.withColumns({"host": host_of(url), "path": path_of(url)}).withColumnRenamed(bad_col, "bad")
+    clash = ["host", "path", "rule", "verdict", "template", "bad_share", "bad"]
+    own = urls.drop(*[c for c in clash if c not in (url_col, bad_col)])
+    own = own.withColumns({"host": host_of(url), "path": path_of(url)}).withColumnRenamed(bad_col, "bad")
     tree = templates(own.withColumns({"rule": rule, "_says": says}), work)
     overall = tree.agg(F.coalesce(F.avg(F.col("bad").cast("double")), F.lit(0.0))).first()[0]
     leaf = tree.groupBy("host", "template").agg(F.count("bad").alias("seen"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("bad_n"))

@@ -139,8 +139,8 @@ def test_lines_match_brute_force(spark):
         lines = (t or "").split("\n")
         kept = [x for x in lines if not (len(held.get(key(x), ())) >= 3 and max(held[key(x)]) != d)]
         want[d] = (len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest(), "\n".join(kept))
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("drop_me", F.lit(1)).repartition(6)
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"drop": F.lit(1), "n_lines": F.lit("clash"), "place": F.lit(2)}).repartition(6)
     out = line_dedup.dedup_lines(df)
-    assert "drop_me" in out.columns
+    assert out.columns == ["doc_id", "drop", "place", "n_lines", "n_dropped", "kept_sha256", "kept_text"]
     assert {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256, r.kept_text) for r in out.collect()} == want
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0

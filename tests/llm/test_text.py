@@ -114,7 +114,7 @@ def test_branches_locate_edits():
 def test_url_rules_and_tree(spark):
     rows = [(k, f"http://Shop.Site.org/item/{k}?q={k}", k % 4 == 0) for k in range(60)] + [(100 + k, f"http://shop.site.org/ads/{k}", True) for k in range(60)]
     rows += [(200, "https://a.example.com/en/7x", None), (201, "https://com/en/1", None), (202, "https://x.example.net/de/8", None), (203, "ftp://net/de/9#z", None), (204, "http://q.org/es/", None), (205, None, None), (206, "no scheme", True), (207, "http://", None), (208, "http://notcom/en/", None), (209, "a://b://c/d", None)]
-    df = spark.createDataFrame(rows, "page_id long, url string, bad boolean").withColumns({"rule": F.lit("clash"), "template": F.lit(1)})
+    df = spark.createDataFrame(rows, "page_id long, url string, bad boolean").withColumns({"rule": F.lit("clash"), "template": F.lit(1), "bad_share": F.lit(2), "host": F.lit(3), "seen": F.lit(4)})
     got = {r.page_id: r for r in url_filter.filter_urls(df, URL_RULES).collect()}
     assert len(got) == len(rows)
     want = {200: ("example.com/en/7", "allow"), 201: ("com/en/", "block"), 202: ("example.net/de/8", "block"), 203: ("net/de/", "allow"), 204: ("org/es/", "block")}
