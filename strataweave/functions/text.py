@@ -137,7 +137,7 @@ def html_text(html: Column) -> Column:
     """Visible text: whole non-text elements and tags go, common entities decode, white space collapses."""
     out = html
     for name in DROPPED_ELEMENTS:
-        out = F.regexp_replace(out, f"(?is)<{name}[^>]*>.*?</{name}>", " ")
+        out = F.regexp_replace(out, rf"(?is)<{name}\b.*?</{name}>", " ")
     out = F.regexp_replace(out, "(?s)<[^>]+>", " ")
     for entity, char in _ENTITIES:
         out = F.replace(out, F.lit(entity), F.lit(char))

@@ -192,7 +192,7 @@ def keyword_tokens(t):
 
 _DROP = "html"
 for _n in T.DROPPED_ELEMENTS:
-    _DROP = f"regexp_replace({_DROP}, '(?is)<{_n}[^>]*>.*?</{_n}>', ' ', 'g')"
+    _DROP = f"regexp_replace({_DROP}, '(?is)<{_n}\\b.*?</{_n}>', ' ', 'g')"
 _DROP = f"regexp_replace({_DROP}, '(?s)<[^>]+>', ' ', 'g')"
 for _a, _b in T._ENTITIES:
     _DROP = "replace({}, '{}', '{}')".format(_DROP, _a.replace("'", "''"), _b.replace("'", "''"))

@@ -25,6 +25,7 @@ RETRIEVAL_TOOLS = (
     "memory_open_problems",
     "memory_thread",
     "memory_query",
+    "memory_exchanges",
     "bash_gremlin",
 )
 
@@ -54,10 +55,11 @@ def place() -> Column:
 
 
 def response_text(raw: Column) -> Column:
-    """A tool response as text: text blocks joined by newlines, a result envelope opened, anything else as it is."""
+    """A tool response as text: text blocks joined by newlines, then a result envelope opened, anything else as it is."""
     blocks = F.from_json(raw, "ARRAY<STRUCT<type: STRING, text: STRING>>")
     joined = F.array_join(F.transform(F.filter(blocks, lambda b: b["type"] == "text"), lambda b: b["text"]), "\n")
-    return F.when(raw.startswith("["), F.coalesce(joined, raw)).when(raw.startswith("{"), F.coalesce(F.get_json_object(raw, "$.result"), raw)).otherwise(raw)
+    text = F.when(raw.startswith("["), F.coalesce(joined, raw)).otherwise(raw)
+    return F.when(F.ltrim(text).startswith("{"), F.coalesce(F.get_json_object(text, "$.result"), text)).otherwise(text)
 
 
 def tap_events(traces: DataFrame, tools: tuple[str, ...] = RETRIEVAL_TOOLS) -> DataFrame:

@@ -24,7 +24,7 @@ def tap(ts, session, tool, response, **tool_input):
 def home(tmp_path_factory):
     at = tmp_path_factory.mktemp("home")
     c1, c2 = "scope:main:claim:c1", "scope:lit:claim:k1"
-    lines(at / "traces/2026-07.jsonl", [tap("2026-07-02T10:00:00Z", "s1", "mcp__memory__memory_recall", [{"type": "text", "text": f"- `{c1}`\n- `{c2}`"}], query="parser cache"), tap("2026-07-02T10:05:00Z", "s1", "mcp__memory__memory_recall", "No matching memories found.", query="zzz"), "not json", "", tap("2026-07-02T11:00:00Z", "s1", "memorize", "x")])
+    lines(at / "traces/2026-07.jsonl", [tap("2026-07-02T10:00:00Z", "s1", "mcp__memory__memory_recall", [{"type": "text", "text": json.dumps({"result": f"- `{c1}`\n- `{c2}`"})}], query="parser cache"), tap("2026-07-02T10:05:00Z", "s1", "mcp__memory__memory_recall", "No matching memories found.", query="zzz"), "not json", "", tap("2026-07-02T11:00:00Z", "s1", "memorize", "x")])
     lines(at / "traces/2026-06.jsonl", [tap("2026-06-01T09:00:00.000Z", "s2", "memory_query", {"result": "Rejected: mutating or side-effect step"}, query="g.V().drop()"), tap("2026-06-01T09:30:00Z", "s2", "bash_gremlin", "ok", command="echo marker"), tap("2026-06-01T09:40:00Z", "s2", "bash_gremlin", "ok", command="connect('x')")])
     lines(at / "rankers/rankers.jsonl", [{"ts": "2026-06-15T00:00:00", "fingerprint": "r1"}, {"ts": "2026-06-20T00:00:00Z", "fingerprint": "r1"}, {"ts": "2026-07-02T10:00:00Z", "fingerprint": "r2"}])
     lines(at / "pins/pins.jsonl", [{"session_id": "s1", "scope": "old", "room": "", "ts": "2026-07-01T00:00:00Z"}, {"session_id": "s1", "scope": "main", "room": "red"}, {"event": "engaged", "session_id": "s1", "scope": "x"}, {"session_id": "s3", "scope": "lit", "cwd": "/w"}, "junk", {"session_id": "s3", "scope": "lit2", "ts": "2026-01-01T00:00:00Z", "cwd": ""}])
