@@ -39,6 +39,60 @@ def strong_components(reach: DataFrame) -> DataFrame:
     return label.where("size > 1")
 
 
+def strong_labels(edges: DataFrame, *, src: str = "src", dst: str = "dst") -> DataFrame:
+    """(node, component) of every node: its strongly connected component, named by its least member; no closure is built.
+
+    Least ids travel along the edges until none changes. What reaches the owner
+    of its id back among nodes of that id is the owner's component; edges between
+    the other nodes of one id go on to the next round.
+    """
+    step = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src is not null and dst is not null").distinct()
+    live = step = settle(step)
+    found = None
+    while True:
+        # An edge of a cycle starts where another ends and ends where another starts.
+        inner = live.where("src <> dst").join(live.where("src <> dst").select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+        live = settle(inner.join(live.where("src <> dst").select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        if live.isEmpty():
+            break
+        own = live.select(F.col("src").alias("node")).unionByName(live.select(F.col("dst").alias("node"))).distinct()
+        low = changed = settle(own.withColumn("component", F.col("node")))
+        while True:
+            offered = changed.select(F.col("node").alias("src"), "component").join(live, "src").groupBy(F.col("dst").alias("node")).agg(F.min("component").alias("given"))
+            changed = settle(low.join(offered, "node").where("given < component").select("node", F.col("given").alias("component")))
+            if changed.isEmpty():
+                break
+            low = settle(low.join(changed.select("node", F.col("component").alias("less")), "node", "left").select("node", F.coalesce("less", "component").alias("component")))
+        ends = live.join(low.select(F.col("node").alias("src"), F.col("component").alias("a")), "src").join(low.select(F.col("node").alias("dst"), F.col("component").alias("b")), "dst")
+        live = settle(ends.where("a = b").select("src", "dst"))
+        done = front = low.where("node = component")
+        while not front.isEmpty():
+            back = front.select(F.col("node").alias("dst"), "component").join(live, "dst").select(F.col("src").alias("node"), "component").distinct()
+            front = settle(back.join(done.select("node"), "node", "left_anti"))
+            done = settle(done.unionByName(front))
+        found = done if found is None else found.unionByName(done)
+        live = settle(live.join(done.select(F.col("node").alias("src")), "src", "left_anti").join(done.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"))
+    nodes = step.select(F.col("src").alias("node")).unionByName(step.select(F.col("dst").alias("node"))).distinct()
+    if found is None:
+        return nodes.withColumn("component", F.col("node"))
+    return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def reach_counts(edges: DataFrame, *, src: str = "src", dst: str = "dst") -> DataFrame:
+    """(src, reachable): how many nodes each node reaches, itself included.
+
+    The closure runs over strongly connected components with their sizes, so it
+    is as large as the reachability between components, not between nodes.
+    """
+    label = settle(strong_labels(edges, src=src, dst=dst))
+    size = label.groupBy("component").agg(F.count("*").alias("size"))
+    a, b = label.select(F.col("node").alias(src), F.col("component").alias("from")), label.select(F.col("node").alias(dst), F.col("component").alias("to"))
+    between = edges.select(src, dst).join(a, src).join(b, dst).where("from <> to").select(F.col("from").alias("src"), F.col("to").alias("dst"))
+    reach = closure(between, size.select("component"))
+    held = reach.join(size.withColumnRenamed("component", "dst"), "dst").groupBy(F.col("src").alias("component")).agg(F.sum("size").alias("reachable"))
+    return label.join(held, "component").select(F.col("node").alias("src"), "reachable")
+
+
 def propagation_cost(reach: DataFrame, n_modules: int) -> DataFrame:
     """One row: pairs (self included), modules, pairs / modules squared."""
     return reach.agg(F.count("*").alias("pairs")).select("pairs", F.lit(n_modules).cast("long").alias("modules"), F.try_divide(F.col("pairs").cast("double"), F.lit(float(n_modules) ** 2)).alias("propagation_cost"))

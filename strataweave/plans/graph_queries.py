@@ -66,6 +66,62 @@ def fan_in_out(t):
     return both.select("node", "fan_in", "fan_out")
 
 
+def _whole_part_edges(t: Tables):
+    """Parts that follow each other within an order, for all orders and under their own keys."""
+    w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    return t.lineitem.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst")).where("dst IS NOT NULL AND src <> dst").distinct()
+
+
+_WHOLE = "SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst FROM lineitem) WHERE dst IS NOT NULL AND src <> dst"
+
+
+@query()
+def closure_reach_whole(t):
+    return G.reach_counts(_whole_part_edges(t))
+
+
+@query()
+def scc_groups_whole(t):
+    label = G.strong_labels(_whole_part_edges(t))
+    return label.join(label.groupBy("component").agg(F.count("*").alias("size")).where("size > 1"), "component").select("node", "component", "size")
+
+
+@query()
+def propagation_cost_whole(t):
+    reach = G.reach_counts(_whole_part_edges(t))
+    return reach.agg(F.sum("reachable").alias("pairs"), F.count("*").alias("modules")).withColumn("propagation_cost", F.col("pairs") / (F.col("modules") * F.col("modules")))
+
+
+@query(f"""
+WITH RECURSIVE e AS ({_WHOLE}), b AS (SELECT src AS u, dst AS v FROM e UNION SELECT dst, src FROM e),
+  r(node, component) USING KEY (node) AS (SELECT DISTINCT u, u FROM b UNION SELECT b.v, min(r.component) FROM r JOIN b ON r.node = b.u JOIN recurring.r k ON k.node = b.v WHERE r.component < k.component GROUP BY b.v)
+SELECT node, component FROM r
+""")
+def connected_parts_whole(t):
+    e = _whole_part_edges(t)
+    return G.connected_components(e, e.select("src").unionByName(e.select(F.col("dst").alias("src"))))
+
+
+@query(f"""
+WITH RECURSIVE e AS ({_WHOLE}),
+  r(node, hops) USING KEY (node) AS (SELECT min(src), 0 FROM e UNION SELECT e.dst, min(r.hops) + 1 FROM r JOIN e ON r.node = e.src LEFT JOIN recurring.r k ON k.node = e.dst WHERE k.node IS NULL GROUP BY e.dst)
+SELECT (SELECT min(src) FROM e) AS start, node, CAST(hops AS INTEGER) AS hops FROM r
+""")
+def shortest_hops_whole(t):
+    e = _whole_part_edges(t)
+    return G.shortest_paths(e, e.agg(F.min("src").alias("start")).where("start IS NOT NULL"))
+
+
+@query(f"""
+WITH e AS ({_WHOLE}), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), i AS (SELECT dst AS node, count(*) AS k FROM e GROUP BY 1), o AS (SELECT src AS node, count(*) AS k FROM e GROUP BY 1)
+SELECT node, coalesce(i.k, 0) AS fan_in, coalesce(o.k, 0) AS fan_out FROM n LEFT JOIN i USING (node) LEFT JOIN o USING (node)
+""")
+def fan_in_out_whole(t):
+    e = _whole_part_edges(t)
+    nodes = e.select("src").unionByName(e.select(F.col("dst").alias("src"))).distinct()
+    return G.fan_in(e, nodes).join(G.fan_in(e, nodes, src="dst", dst="src").withColumnRenamed("fan_in", "fan_out"), "node").select("node", "fan_in", "fan_out")
+
+
 @query("""
 SELECT o_custkey, max_by(o_orderkey, {'d': o_orderdate, 'k': o_orderkey}) AS head FROM orders o
 WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_returnflag = 'R') GROUP BY o_custkey

@@ -126,3 +126,37 @@ def test_order_of_input_does_not_matter(graph):
     a = G.closure(graph.edges.repartition(5, F.rand(1))).orderBy("src", "dst").collect()
     b = G.closure(graph.edges.repartition(2, F.rand(2))).orderBy("src", "dst").collect()
     assert a == b
+
+
+def test_whole_part_graph(spark, tmp_path):
+    """Orders beyond key 1000, parts beyond 400 and sources off the multiples of three all count."""
+    import random
+
+    from strataweave.plans.witness import QUERIES
+
+    rng = random.Random(4)
+    lines = [(k, n, rng.randrange(2000, 2020) if k % 2 else rng.choice([2100 + k, 2101 + k])) for k in range(994, 1012) for n in range(3)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    pairs = {(lines[i][2], lines[i + 1][2]) for i in range(len(lines) - 1) if lines[i][0] == lines[i + 1][0] and lines[i][2] != lines[i + 1][2]}
+    nodes = {x for p in pairs for x in p}
+
+    def reached(start, both=False):
+        seen, front = {start: 0}, [start]
+        for x in front:
+            for a, b in pairs:
+                for u, v in ((a, b), (b, a)) if both else ((a, b),):
+                    if u == x and v not in seen:
+                        seen[v] = seen[x] + 1
+                        front.append(v)
+        return seen
+
+    reach = {x: reached(x) for x in nodes}
+    rows = {n: QUERIES[n](spark, str(tmp_path)).collect() for n in ("closure_reach_whole", "scc_groups_whole", "propagation_cost_whole", "connected_parts_whole", "shortest_hops_whole", "fan_in_out_whole")}
+    assert {r.src: r.reachable for r in rows["closure_reach_whole"]} == {x: len(reach[x]) for x in nodes}
+    ring = {x: [y for y in reach[x] if x in reach[y]] for x in nodes}
+    assert {r.node: (r.component, r["size"]) for r in rows["scc_groups_whole"]} == {x: (min(ys), len(ys)) for x, ys in ring.items() if len(ys) > 1}
+    assert len({len(ys) for ys in ring.values()}) > 1
+    assert (rows["propagation_cost_whole"][0].pairs, rows["propagation_cost_whole"][0].modules) == (sum(map(len, reach.values())), len(nodes))
+    assert {r.node: r.component for r in rows["connected_parts_whole"]} == {x: min(reached(x, both=True)) for x in nodes}
+    assert {(r.start, r.node): r.hops for r in rows["shortest_hops_whole"]} == {(min(a for a, _ in pairs), y): h for y, h in reach[min(a for a, _ in pairs)].items()}
+    assert {r.node: (r.fan_in, r.fan_out) for r in rows["fan_in_out_whole"]} == {x: (sum(b == x for _, b in pairs), sum(a == x for a, _ in pairs)) for x in nodes}
