@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from .workspace import Workspace
 
-LEVELS = 4
 SUPPORT = 20
 Z = 1.96
 PRIOR = 4.0
@@ -45,22 +44,24 @@ def _shape(segment: Column) -> Column:
     )
 
 
-def templates(urls: DataFrame, work: Workspace, *, levels: int = LEVELS, support: int = SUPPORT, z: float = Z) -> DataFrame:
+def templates(urls: DataFrame, work: Workspace, *, support: int = SUPPORT, z: float = Z) -> DataFrame:
     """Adds ``template`` to rows of (host, path, bad): the path with variable segments as wildcards.
 
     Level by level under each (host, template so far): a segment stays literal if
     it has ``support`` rows or more and the labels below it differ from those of
     its whole node by more than ``z`` standard errors, or if it is one of at most
     three well-supported siblings that hold nine tenths of the node; the other
-    branches merge into ``*``. Segments beyond ``levels`` merge into ``**``.
+    branches merge into ``*``. A level reads only rows that have a further
+    segment, and the tree ends where none has. Below a node of fewer than
+    ``support`` rows every segment is ``*``, so its rows leave with all of them.
     """
     parts = F.split(F.regexp_replace("path", "^/", ""), "/")
-    rows = work.keep(urls.withColumn("_parts", F.transform(F.slice(parts, 1, levels), _shape)).withColumn("_deep", F.size(parts) > levels).withColumn("template", F.lit("")), "tree-0")
-    for level in range(levels):
-        seg = F.try_element_at("_parts", F.lit(level + 1))
-        rows = rows.withColumn("_seg", seg)
+    tree = work.keep(urls.withColumn("_parts", F.transform(parts, _shape)).withColumn("_left", F.coalesce(F.size("_parts"), F.lit(0))).withColumn("template", F.lit("")), "tree-0")
+    ended, level = [tree.where("_left <= 0")], 0
+    while not (rows := tree.where("_left > 0")).isEmpty():
+        rows = rows.withColumn("_seg", F.try_element_at("_parts", F.lit(level + 1)))
         child = work.keep(
-            rows.where("_seg is not null").groupBy("host", "template", "_seg").agg(F.count("*").alias("n"), F.count("bad").alias("seen"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("bad_n")),
+            rows.groupBy("host", "template", "_seg").agg(F.count("*").alias("n"), F.count("bad").alias("seen"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("bad_n")),
             f"children-{level}",
         )
         node = child.groupBy("host", "template").agg(F.sum("n").alias("node_n"), F.sum("seen").alias("node_seen"), F.sum("bad_n").alias("node_bad"), F.sum(F.when(F.col("n") >= support, F.col("n")).otherwise(0)).alias("firm"), F.count_if(F.col("n") >= support).alias("firm_children"))
@@ -70,10 +71,19 @@ def templates(urls: DataFrame, work: Workspace, *, levels: int = LEVELS, support
         few = (F.col("firm_children") <= 3) & (F.col("firm") >= 0.9 * F.col("node_n"))
         kept = child.join(node, ["host", "template"]).where((F.col("n") >= support) & (differs | few)).select(F.col("host").alias("_h"), F.col("template").alias("_t"), F.col("_seg").alias("_s"))
         kept = work.keep(kept, f"literals-{level}")
+        wide = work.keep(node.where(F.col("node_n") >= support).select(F.col("host").alias("_wh"), F.col("template").alias("_wt")), f"wide-{level}")
         joined = rows.join(kept, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")) & (F.col("_seg") == F.col("_s")), "left")
-        piece = F.when(F.col("_seg").isNull(), F.lit("")).otherwise(F.concat(F.lit("/"), F.coalesce("_s", F.lit("*"))))
-        rows = work.keep(joined.withColumn("template", F.concat("template", piece)).drop("_h", "_t", "_s", "_seg"), f"tree-{level + 1}")
-    return rows.withColumn("template", F.when(F.col("_deep"), F.concat("template", F.lit("/**"))).otherwise(F.col("template"))).drop("_parts", "_deep")
+        joined = joined.join(wide, (F.col("host") == F.col("_wh")) & (F.col("template") == F.col("_wt")), "left")
+        open_ = F.col("_wh").isNotNull()
+        piece = F.when(open_, F.concat(F.lit("/"), F.coalesce("_s", F.lit("*")))).otherwise(F.repeat(F.lit("/*"), F.col("_left")))
+        left = F.when(open_, F.col("_left") - 1).otherwise(F.lit(0))
+        level += 1
+        tree = work.keep(joined.withColumns({"template": F.concat("template", piece), "_left": left}).drop("_h", "_t", "_s", "_wh", "_wt", "_seg"), f"tree-{level}")
+        ended.append(tree.where("_left <= 0"))
+    out = ended[0]
+    for part in ended[1:]:
+        out = out.unionByName(part)
+    return out.drop("_parts", "_left")
 
 
 def filter_urls(urls: DataFrame, rules: list[tuple[str, str]], *, url_col: str = "url", bad_col: str = "bad", prior: float = PRIOR, purity: float = PURITY) -> DataFrame:

@@ -128,6 +128,17 @@ def test_url_rules_and_tree(spark):
     assert url_filter.filter_urls(df.limit(0), URL_RULES).count() == 0
 
 
+def test_url_tree_is_as_deep_as_the_paths(spark):
+    """Branches that part at the sixth segment are judged apart, and one endless path adds no rounds."""
+    rows = [(k, f"http://deep.org/a/b/c/d/e/{'spam' if k % 2 else 'prose'}/x/{k}", k % 2 == 1) for k in range(120)]
+    rows += [(200 + k, f"http://deep.org/a/b/c/d/e/{'spam' if k % 2 else 'prose'}/x/{k}", None) for k in range(40)]
+    rows += [(300, "http://long.org" + "/s" * 500, None), (301, "http://long.org", None)]
+    got = {r.page_id: r for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, bad boolean"), []).collect()}
+    assert len(got) == len(rows)
+    assert {got[k].verdict for k in got if k < 300 and k % 2} == {"block"} and {got[k].verdict for k in got if k < 300 and k % 2 == 0} == {"allow"}
+    assert got[1].template == "/a/b/c/d/e/spam/x/{n}" and got[300].template == "/*" * 500 and got[301].template == "/*"
+
+
 def test_language_models(spark):
     import random
 
