@@ -41,21 +41,23 @@ def weighted_tokens(fresh: Column, created: Column, read: Column, output: Column
     return (a * zero(fresh) + b * zero(created) + c * zero(read) + d * zero(output)).cast("long")
 
 
-def sens_slope(points: DataFrame, x: str, y: str, group: list[str] | None = None, cells: int = 2000) -> DataFrame:
+def sens_slope(points: DataFrame, x: str, y: str, group: list[str] | None = None, cells: int | None = None) -> DataFrame:
     """Median of the slopes between all pairs of points, by group; 0 with fewer than two distinct x.
 
-    The pairing is quadratic in the points of one series, so a series longer
-    than ``cells`` is thinned evenly in x order first, as a daily series of years
-    may be; pairs then meet in an equi-join on the group.
+    The pairing is quadratic in the points of one series; pairs meet in an
+    equi-join on the group. Only where ``cells`` is given, a series longer than
+    that is thinned evenly in x order first, as the reference does beyond 2,000.
     """
     from pyspark.sql.window import Window as W
 
     group = group or []
     keyed = points.select(*group, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
-    order = W.partitionBy(*[F.col(c) for c in group]) if group else W.partitionBy(F.lit(1))
-    numbered = keyed.withColumn("_i", F.row_number().over(order.orderBy("_x", "_y")) - 1).withColumn("_n", F.count("*").over(order))
-    step = F.greatest(F.lit(1), F.ceil(F.col("_n") / cells))
-    thin = numbered.where((F.col("_i") % step == 0) | (F.col("_i") == F.col("_n") - 1)).select(*group, "_x", "_y")
+    thin = keyed
+    if cells is not None:
+        order = W.partitionBy(*[F.col(c) for c in group]) if group else W.partitionBy(F.lit(1))
+        numbered = keyed.withColumn("_i", F.row_number().over(order.orderBy("_x", "_y")) - 1).withColumn("_n", F.count("*").over(order))
+        step = F.greatest(F.lit(1), F.ceil(F.col("_n") / cells))
+        thin = numbered.where((F.col("_i") % step == 0) | (F.col("_i") == F.col("_n") - 1)).select(*group, "_x", "_y")
     right = thin.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], F.col("_x").alias("_x2"), F.col("_y").alias("_y2"))
     on = F.col("_x2") > F.col("_x")
     for i, c in enumerate(group):

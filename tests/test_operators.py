@@ -67,6 +67,18 @@ def test_stats(spark):
     assert round(one(spark, S.contrast(F.lit("#ffffff"), F.lit("#000000"))), 2) == 21.0
 
 
+def test_slope_of_a_long_series_takes_all_pairs(spark):
+    """Beyond 2,000 points every other one, here all of the slow kind, used to be left out."""
+    import numpy as np
+
+    y = np.array([3.0 * i if i % 2 else i**1.5 / 100 for i in range(2100)])
+    i, j = np.triu_indices(len(y), 1)
+    want = float(np.median((y[j] - y[i]) / (j - i)))
+    pts = spark.createDataFrame([(float(k), float(v)) for k, v in enumerate(y)], "x double, y double")
+    assert abs(S.sens_slope(pts, "x", "y").first().slope - want) < 1e-9
+    assert abs(S.sens_slope(pts, "x", "y", cells=2000).first().slope - want) > 1e-3
+
+
 def test_as_of_before_first_equal_times_and_gaps(spark):
     left = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (2, "2024-01-02 00:00:00"), (3, "2024-03-05 12:00:00"), (4, None)], "id int, ts string").withColumn("ts", F.to_timestamp("ts"))
     right = spark.createDataFrame([("2024-01-02 00:00:00", "a"), ("2024-01-02 00:00:01", "b")], "ts string, v string").withColumn("ts", F.to_timestamp("ts"))
