@@ -29,10 +29,9 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; rows that repeat an id follow the greatest number."""
-    copies = mixing.mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    mixed = docs.join(copies, F.col("doc_id") == F.col("_id"))
-    return mixed.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """Each row as often as the mix takes it, also without an id or with one that repeats."""
+    mixed = mixing.mix(docs, carry=True).where("copies > 0")
+    return mixed.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("input.*")
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -58,7 +58,7 @@ def _prefix(df: DataFrame, group: list[str], position: str, value: str, ties: li
     return df.join(offsets, match).withColumn("before", F.col("offset") + F.col("inside")).drop("bucket", "inside", "offset", "_bucket", *[f"_{c}" for c in group])
 
 
-def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: bool = False) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken: one row per input row.
 
     Each source is a queue of its documents in a seeded hash order, passed up to
@@ -68,11 +68,14 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, repeats: int = R
     target. Ties break by source and id; equal rows beyond that are alike.
     Documents without words, and null texts, take part with size 0 and no copies.
     A null source is a source of its own, ranked last; null ids are allowed.
+    With ``carry`` a column ``input`` holds each row's own columns as a struct.
     """
     work = Workspace(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size"))
+    own = [F.struct(*[F.col(c) for c in docs.columns]).alias("input")] if carry else []
+    full = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size"), *own)
     # A number for each row: rows that repeat an id stay apart.
-    rows = work.keep(rows.withColumn("row", F.monotonically_increasing_id()), "sizes")
+    full = work.keep(full.withColumn("row", F.monotonically_increasing_id()), "sizes")
+    rows = full.drop("input")
     targets = work.keep(fill_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights=weights, repeats=repeats), "targets")
     # Few rows (one a source) with a size checked by Spark before it broadcasts them.
     named = rows.join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
@@ -91,4 +94,6 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, repeats: int = R
     chosen = timed.where(F.col("before") + F.col("size") <= F.lit(budget))
     chosen = work.keep(chosen.groupBy("row").agg(F.count("*").alias("copies")), "chosen")
     out = named.join(chosen, "row", "left").withColumn("copies", F.coalesce("copies", F.lit(0)).cast("int"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "row")
+    if carry:
+        out = out.join(full.select("row", "input"), "row")
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "row", *(["input"] if carry else []))

@@ -55,3 +55,16 @@ def test_stages(spark, folder):
 
 def test_run(spark, folder):
     assert corpus_pipeline.run(spark, folder[0]).count() > 0
+
+
+def test_mixing_stage_keeps_rows_without_an_id_and_repeated_ids_apart(spark):
+    """The budget is all words: null ids are not lost, and rows of one id do not take each other's copies."""
+    rows = [(None if k % 4 == 0 else 7 if k % 4 == 1 else k, f"n{k} " + "w " * (k % 5), "en", f"s{k % 3}", 0) for k in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.mixing_stage(spark, docs, "")
+    assert out.dtypes == docs.dtypes
+    got = out.collect()
+    words = lambda found: sum(len(r[1].split()) for r in found)
+    assert set(map(tuple, got)) <= set(rows)
+    assert words(rows) - 10 <= words(got) <= words(rows)
+    assert any(r.doc_id is None for r in got) and any(r.doc_id == 7 for r in got)
