@@ -144,3 +144,39 @@ def test_lines_match_brute_force(spark):
     assert out.columns == ["doc_id", "drop", "place", "n_lines", "n_dropped", "kept_sha256", "kept_text"]
     assert {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256, r.kept_text) for r in out.collect()} == want
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("fan", [2, 3])
+def test_digest_index_levels(spark, fan):
+    """Five memtables, two levels or more: least ids and counts survive merges, filters lose nothing, probes find what is held."""
+    rng = random.Random(6)
+    rows = [(f"d{rng.randrange(40)}".encode(), rng.randrange(1000) if rng.random() < 0.9 else None) for _ in range(300)]
+    index = exact_dedup.DigestIndex(Workspace(spark), buckets=3, fan=fan)
+    for k in range(5):
+        index.flush(spark.createDataFrame(rows[60 * k : 60 * k + 60], "digest binary, id long"))
+    assert max(r.level for r in index.runs()) >= 1 and len(index.runs()) < 5
+    want = {}
+    for d, i in rows:
+        old = want.get(d, (None, 0))
+        want[d] = (min((x for x in (old[0], i) if x is not None), default=None), old[1] + 1)
+    asked = spark.createDataFrame([(d,) for d in [*want, b"absent", b"d7"]], "digest binary")
+    assert {bytes(r.digest): (r.id, r.n) for r in index.probe(asked).collect()} == want
+    merged = index.compact()
+    assert index.runs() == [merged] and {bytes(r.digest): (r.id, r.n) for r in merged.rows.collect()} == want
+    assert index.screen(asked, merged).count() >= len(want)
+    some = spark.createDataFrame([(f"other{k}".encode(),) for k in range(2000)], "digest binary")
+    assert index.screen(some, merged).count() < 40
+    for run_file in merged.rows.select("digest", F.input_file_name().alias("f")).groupBy("f").agg(F.collect_list("digest").alias("d")).collect():
+        assert [bytes(x) for x in run_file.d] == sorted(bytes(x) for x in run_file.d)
+    index.drop()
+
+
+def test_exact_duplicates_of_one_hot_text(spark):
+    """Half of all rows are one text, some under the same id; a long text and its copy differ in one byte from a third."""
+    long_ = "ab " * 200_000
+    df = spark.range(400).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "hot  text").otherwise(F.concat(F.lit("t"), F.col("id"))).alias("text"))
+    df = df.unionByName(spark.createDataFrame([(900, long_), (901, long_.replace(" ", "\n")), (902, long_ + "c"), (2, "hot text")], "doc_id long, text string")).withColumns({"sha": F.lit(1), "body": F.lit(2), "n": F.lit(3)})
+    rows = [(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_duplicates(df).collect()]
+    got = {r[0]: r[1:] for r in rows}
+    assert len(rows) == 404 and got[2] == (0, 201, False) and got[0] == (0, 201, True) and got[3] == (3, 1, True)
+    assert got[901] == (900, 2, False) and got[902] == (902, 1, True)
