@@ -1,7 +1,15 @@
-"""Mixing sources to target weights by weighted fair queueing; native DataFrame operations only."""
+"""Mixing sources to target weights by weighted fair queueing; native DataFrame operations only.
+
+All running totals here come from one form of global range sort: rows are range-
+partitioned by their full order, which ends in a row number, so that any number of
+ties is split over tasks; each range's total gives the offset of the next ones, and
+only the rows of one range are summed in a task.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -10,8 +18,10 @@ from .workspace import Workspace
 
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
-#: Rows that one bucket of a prefix sum holds on average.
-BUCKET_ROWS = 2048
+#: Rows that one range holds on average, and the most ranges. Beyond that ranges grow, and their sorts spill;
+#: the table of offsets, which one task sums, never has more rows than ranges and sources together.
+BUCKET_ROWS = 16_384
+MOST_RANGES = 8192
 
 
 def word_count(text: Column) -> Column:
@@ -19,43 +29,52 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
 
 
-def fill_targets(sources: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
-    """Adds target: the total shared by weight, none above ``repeats`` times its size, the excess reshared.
+def running(df: DataFrame, rows: int, order: Sequence[str], values: dict[str, str], work: Workspace, name: str, *, group: str | None = None, extra: DataFrame | None = None) -> DataFrame:
+    """Adds, for each ``out: value``, the sum of value over earlier rows in ``order`` (of the same group), as ``out``.
+
+    ``order`` should tell all rows apart. ``extra`` (one row a group, led by the
+    group's column) joins the offsets first, which are few, so its columns reach
+    every row without a join on the group's name.
+    """
+    ranges = max(1, min(MOST_RANGES, -(-rows // BUCKET_ROWS)))
+    key = [group] if group else []
+    ranged = work.keep(df.repartitionByRange(ranges, *key, *order).withColumn("_range", F.spark_partition_id()), f"{name}-ranges")
+    totals = ranged.groupBy(*key, "_range").agg(*[F.sum(v).alias(o) for o, v in values.items()])
+    before = W.partitionBy(*key).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = totals.select(*[F.col(c).alias("_group") for c in key], F.col("_range").alias("_at"), *[F.coalesce(F.sum(o).over(before), F.lit(0)).alias(f"_{o}") for o in values])
+    if extra is not None:
+        own = extra.withColumnRenamed(group, "_name")
+        offsets = offsets.join(own, F.col("_group").eqNullSafe(F.col("_name"))).drop("_name")
+    offsets = work.keep(offsets, f"{name}-offsets")
+    inside = W.partitionBy(*key, "_range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    summed = ranged.withColumns({o: F.coalesce(F.sum(v).over(inside), F.lit(0)) for o, v in values.items()})
+    match = F.col("_range") == F.col("_at")
+    if group:
+        match = match & F.col(group).eqNullSafe(F.col("_group"))
+    out = summed.join(offsets, match)
+    return out.withColumns({o: F.col(o) + F.col(f"_{o}") for o in values}).drop("_range", "_at", "_group", *[f"_{o}" for o in values])
+
+
+def fill_targets(sources: DataFrame, work: Workspace, *, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
+    """(source, source_size, target): the total shared by weight, none above ``repeats`` times its size, the excess reshared.
 
     Sources rank by code point, null last, and take the weights in turn. With the
     sources in order of cap / weight, the share per weight left for the k-th and
     later ones is (total - caps before) / (weights from k on); the first k whose
     ratio reaches that share sets the level for all that are not capped.
     """
-    order = W.orderBy(F.col("source").isNull(), F.encode("source", "utf-8"))
-    cycle = F.array(*[F.lit(float(x)) for x in weights])
-    ranked = sources.withColumn("weight", F.element_at(cycle, ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))).withColumn("cap", F.col("source_size") * repeats)
-    by_ratio = W.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), F.encode("source", "utf-8"))
-    before = by_ratio.rowsBetween(W.unboundedPreceding, -1)
-    after = by_ratio.rowsBetween(0, W.unboundedFollowing)
-    all_ = W.partitionBy(F.lit(1))
-    level = (F.sum("source_size").over(all_) - F.coalesce(F.sum("cap").over(before), F.lit(0))) / F.sum("weight").over(after)
-    open_ = ranked.withColumn("level", level).withColumn("level", F.first(F.when(F.col("cap") / F.col("weight") >= F.col("level"), F.col("level")), ignorenulls=True).over(by_ratio.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
-    return open_.select("source", "source_size", F.least(F.col("cap").cast("double"), F.coalesce("level", F.lit(0.0)) * F.col("weight")).alias("target"))
-
-
-def _prefix(df: DataFrame, group: list[str], position: str, value: str, ties: list[str], buckets: int, work: Workspace, name: str) -> DataFrame:
-    """Adds ``before``: the sum of ``value`` over rows of the group that come earlier.
-
-    ``position`` lies in [0, 1). Rows fall into ``buckets`` equal ranges of it;
-    totals of ranges give each range's offset, and only rows of one range meet in
-    a task, so a group that holds most rows is spread like the others.
-    """
-    df = work.keep(df.withColumn("bucket", F.floor(F.col(position) * buckets).cast("long")), f"{name}-rows")
-    totals = df.groupBy(*group, "bucket").agg(F.sum(value).alias("held"))
-    run = W.partitionBy(*group).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = work.keep(totals.select(*[F.col(c).alias(f"_{c}") for c in group], F.col("bucket").alias("_bucket"), F.coalesce(F.sum("held").over(run), F.lit(0)).alias("offset")), f"{name}-offsets")
-    inside = W.partitionBy(*group, "bucket").orderBy(position, *ties).rowsBetween(W.unboundedPreceding, -1)
-    df = df.withColumn("inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    match = F.col("bucket") == F.col("_bucket")
-    for c in group:
-        match = match & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return df.join(offsets, match).withColumn("before", F.col("offset") + F.col("inside")).drop("bucket", "inside", "offset", "_bucket", *[f"_{c}" for c in group])
+    count, total = sources.agg(F.count("*"), F.coalesce(F.sum("source_size"), F.lit(0))).first()
+    named = sources.select("source", "source_size", F.col("source").isNull().alias("last"), F.encode("source", "utf-8").alias("code"), F.lit(1).alias("one"))
+    ranked = running(named, count, ["last", "code"], {"rank": "one"}, work, "rank")
+    cycle = F.array(*[F.lit(int(x)) for x in weights])
+    ranked = ranked.withColumn("weight", F.element_at(cycle, (F.col("rank") % len(weights) + 1).cast("int"))).withColumn("cap", F.col("source_size") * repeats)
+    ranked = ranked.withColumn("ratio", F.col("cap") / F.col("weight"))
+    filled = work.keep(running(ranked, count, ["ratio", "last", "code"], {"caps": "cap", "weights": "weight"}, work, "fill"), "filled")
+    every = filled.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
+    share = (F.lit(total) - F.col("caps")) / (F.lit(every) - F.col("weights"))
+    level = filled.where(F.col("ratio") >= share).agg(F.min_by(share, F.struct("ratio", "last", "code"))).first()[0]
+    uncapped = F.lit(float("inf")) if level is None else F.lit(float(level)) * F.col("weight")
+    return filled.select("source", "source_size", F.least(F.col("cap").cast("double"), uncapped).alias("target"))
 
 
 def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: bool = False) -> DataFrame:
@@ -63,37 +82,36 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, repeats: int = R
 
     Each source is a queue of its documents in a seeded hash order, passed up to
     ``repeats`` times. A copy's virtual finish time is the source's words up to
-    its end divided by the source's target; copies leave in that order until the
-    budget (all words) is spent, so every source ends within a document of its
-    target. Ties break by source and id; equal rows beyond that are alike.
-    Documents without words, and null texts, take part with size 0 and no copies.
-    A null source is a source of its own, ranked last; null ids are allowed.
-    With ``carry`` a column ``input`` holds each row's own columns as a struct.
+    its end divided by the source's target; all copies are range-sorted by it and
+    leave until the budget (all words) is spent, so every source ends within a
+    document of its target. Ties break by source, then by the hash of id and text;
+    rows that are equal in id and text are alike, so reruns agree. Documents
+    without words, null and empty texts take part with size 0 and no copies. A
+    null source is a source of its own, ranked last; null and repeated ids are
+    allowed. An empty table gives no rows. With ``carry`` a column ``input`` holds
+    each row's own columns as a struct, whatever their names.
     """
     work = Workspace(docs.sparkSession)
     own = [F.struct(*[F.col(c) for c in docs.columns]).alias("input")] if carry else []
-    full = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size"), *own)
+    text = F.col(text_col).cast("string")
+    draw = F.xxhash64(F.lit(seed), F.col(id_col), text)
+    full = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"), draw.alias("draw"), *own)
     # A number for each row: rows that repeat an id stay apart.
     full = work.keep(full.withColumn("row", F.monotonically_increasing_id()), "sizes")
     rows = full.drop("input")
-    targets = work.keep(fill_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights=weights, repeats=repeats), "targets")
-    # Few rows (one a source) with a size checked by Spark before it broadcasts them.
-    named = rows.join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    targets = work.keep(fill_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), work, weights=weights, repeats=repeats), "targets")
     total, budget = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    buckets = max(64, -(-total // BUCKET_ROWS))
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 40)) / float(1 << 40)
-    queued = _prefix(named.where("size > 0").withColumn("draw", draw), ["source"], "draw", "size", ["doc_id", "row"], buckets, work, "queue")
+    queued = running(rows, total, ["draw", "doc_id", "size", "row"], {"before": "size"}, work, "queue", group="source", extra=targets)
+    queued = work.keep(queued, "queued")
     passes = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("turn")
-    copies = queued.select("doc_id", "row", "source", "size", "source_size", "target", "before", passes)
-    finish = (F.col("turn") * F.col("source_size") + F.col("before") + F.col("size")) / F.col("target")
+    copies = queued.where("size > 0").select("source", "size", "draw", "doc_id", "row", "source_size", "target", "before", passes)
+    begun = F.col("turn") * F.col("source_size") + F.col("before")
     # At finish time 1 every queue has served its target; a document more may follow.
-    slack = F.col("target") + F.col("size")
-    copies = copies.where(F.col("turn") * F.col("source_size") + F.col("before") < slack).withColumn("finish", finish)
-    ranged = copies.withColumn("time", F.least(F.col("finish") / 2, F.lit(1 - 2.0**-40)))
-    timed = _prefix(ranged.drop("before"), [], "time", "size", ["finish", "source", "doc_id", "row"], 2 * buckets, work, "times")
-    chosen = timed.where(F.col("before") + F.col("size") <= F.lit(budget))
-    chosen = work.keep(chosen.groupBy("row").agg(F.count("*").alias("copies")), "chosen")
-    out = named.join(chosen, "row", "left").withColumn("copies", F.coalesce("copies", F.lit(0)).cast("int"))
+    copies = copies.where(begun < F.col("target") + F.col("size")).withColumn("finish", (begun + F.col("size")) / F.col("target"))
+    copies = copies.select("finish", "source", "draw", "doc_id", "size", "row", "turn")
+    timed = running(copies, 2 * total, ["finish", "source", "draw", "doc_id", "row", "turn"], {"spent": "size"}, work, "times")
+    chosen = work.keep(timed.where(F.col("spent") + F.col("size") <= F.lit(budget)).groupBy("row").agg(F.count("*").alias("copies")), "chosen")
+    out = queued.join(chosen, "row", "left").withColumn("copies", F.coalesce("copies", F.lit(0)).cast("int"))
     if carry:
         out = out.join(full.select("row", "input"), "row")
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "row", *(["input"] if carry else []))
