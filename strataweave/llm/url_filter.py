@@ -1,4 +1,9 @@
-"""URL filters: rules on host and path, else a path-template tree; native DataFrame operations only."""
+"""URL filters: rules on host and path, else a path-template tree; native DataFrame operations only.
+
+Urls are first counted by (host, shape), a shape being the path with numbers and
+hex strings generalised. The tree, its tests and its leaves work on these counts;
+rows meet only the verdict of their shape.
+"""
 
 from __future__ import annotations
 
@@ -7,10 +12,17 @@ from pyspark.sql import functions as F
 
 from .workspace import Workspace
 
-SUPPORT = 20
-Z = 1.96
+#: Labelled rows that a branch needs before it is tested against its siblings.
+SUPPORT = 5
+#: Standard errors by which a branch's share of bad labels must differ from its siblings' to stay apart.
+Z = 2.576
+#: A segment with so much of its node is constant and no variable.
+CONSTANT = 0.9
+#: Rows that the share expected of a template counts for.
 PRIOR = 4.0
 PURITY = 0.5
+#: A shape with more than a thousandth of all rows is joined by broadcast; there are under a thousand of them.
+HOT_SHARE = 1000
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -44,71 +56,95 @@ def _shape(segment: Column) -> Column:
     )
 
 
-def templates(urls: DataFrame, work: Workspace, *, support: int = SUPPORT, z: float = Z) -> DataFrame:
-    """Adds ``template`` to rows of (host, path, bad): the path with variable segments as wildcards.
+def templates(shapes: DataFrame, work: Workspace, *, support: int = SUPPORT, z: float = Z) -> DataFrame:
+    """Adds ``template`` to counted shapes (host, shape, n, seen, bad): the path with variable segments as wildcards.
 
-    Level by level under each (host, template so far): a segment stays literal if
-    it has ``support`` rows or more and the labels below it differ from those of
-    its whole node by more than ``z`` standard errors, or if it is one of at most
-    three well-supported siblings that hold nine tenths of the node; the other
-    branches merge into ``*``. A level reads only rows that have a further
-    segment, and the tree ends where none has. Below a node of fewer than
-    ``support`` rows every segment is ``*``, so its rows leave with all of them.
+    Level by level under each (host, template so far), a segment stays literal if
+    it holds ``CONSTANT`` of its node, or if it has ``support`` labelled rows or
+    more and its share of bad ones differs from that of its siblings together by
+    more than ``z`` standard errors; branches that do not differ merge into ``*``.
+    A level reads only shapes that have a further segment, and the tree ends where
+    none has. A node of fewer than ``support`` rows is not split: what is left of
+    its shapes leaves as wildcards.
     """
-    parts = F.split(F.regexp_replace("path", "^/", ""), "/")
-    tree = work.keep(urls.withColumn("_parts", F.transform(parts, _shape)).withColumn("_left", F.coalesce(F.size("_parts"), F.lit(0))).withColumn("template", F.lit("")), "tree-0")
-    ended, level = [tree.where("_left <= 0")], 0
-    while not (rows := tree.where("_left > 0")).isEmpty():
-        rows = rows.withColumn("_seg", F.try_element_at("_parts", F.lit(level + 1)))
-        child = work.keep(
-            rows.groupBy("host", "template", "_seg").agg(F.count("*").alias("n"), F.count("bad").alias("seen"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("bad_n")),
-            f"children-{level}",
-        )
-        node = child.groupBy("host", "template").agg(F.sum("n").alias("node_n"), F.sum("seen").alias("node_seen"), F.sum("bad_n").alias("node_bad"), F.sum(F.when(F.col("n") >= support, F.col("n")).otherwise(0)).alias("firm"), F.count_if(F.col("n") >= support).alias("firm_children"))
-        rate = (F.col("node_bad") + 0.5) / (F.col("node_seen") + 1)
-        error = F.sqrt(rate * (1 - rate) / F.greatest("seen", F.lit(1)))
-        differs = (F.col("seen") > 0) & (F.abs(F.col("bad_n") / F.greatest("seen", F.lit(1)) - rate) > z * error)
-        few = (F.col("firm_children") <= 3) & (F.col("firm") >= 0.9 * F.col("node_n"))
-        kept = child.join(node, ["host", "template"]).where((F.col("n") >= support) & (differs | few)).select(F.col("host").alias("_h"), F.col("template").alias("_t"), F.col("_seg").alias("_s"))
-        kept = work.keep(kept, f"literals-{level}")
-        wide = work.keep(node.where(F.col("node_n") >= support).select(F.col("host").alias("_wh"), F.col("template").alias("_wt")), f"wide-{level}")
-        joined = rows.join(kept, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")) & (F.col("_seg") == F.col("_s")), "left")
-        joined = joined.join(wide, (F.col("host") == F.col("_wh")) & (F.col("template") == F.col("_wt")), "left")
-        open_ = F.col("_wh").isNotNull()
-        piece = F.when(open_, F.concat(F.lit("/"), F.coalesce("_s", F.lit("*")))).otherwise(F.repeat(F.lit("/*"), F.col("_left")))
-        left = F.when(open_, F.col("_left") - 1).otherwise(F.lit(0))
+    parts = F.split(F.regexp_replace("shape", "^/", ""), "/")
+    tree = work.keep(shapes.withColumns({"parts": parts, "template": F.lit("")}).withColumn("left", F.size("parts")), "tree-0")
+    ended, level = [tree.where("left <= 0")], 0
+    while not (rows := tree.where("left > 0")).isEmpty():
+        rows = rows.withColumn("seg", F.try_element_at("parts", F.lit(level + 1)))
+        child = rows.groupBy("host", "template", "seg").agg(F.sum("n").alias("c_n"), F.sum("seen").alias("c_seen"), F.sum("bad").alias("c_bad"))
+        child = work.keep(child, f"children-{level}")
+        node = child.groupBy("host", "template").agg(F.sum("c_n").alias("n_n"), F.sum("c_seen").alias("n_seen"), F.sum("c_bad").alias("n_bad"))
+        others, others_bad = F.col("n_seen") - F.col("c_seen"), F.col("n_bad") - F.col("c_bad")
+        pooled = (F.col("n_bad") + 0.5) / (F.col("n_seen") + 1)
+        error = F.sqrt(pooled * (1 - pooled) * (1 / F.greatest("c_seen", F.lit(1)) + 1 / F.greatest(others, F.lit(1))))
+        gap = F.abs(F.col("c_bad") / F.greatest("c_seen", F.lit(1)) - others_bad / F.greatest(others, F.lit(1)))
+        differs = (F.col("c_seen") >= support) & (others > 0) & (gap > z * error)
+        stays = differs | (F.col("c_n") >= CONSTANT * F.col("n_n"))
+        told = child.join(node, ["host", "template"]).select(F.col("host").alias("_h"), F.col("template").alias("_t"), F.col("seg").alias("_s"), (F.col("n_n") >= support).alias("split"), stays.alias("stays"))
+        told = work.keep(told, f"told-{level}")
+        joined = rows.join(told, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")) & (F.col("seg") == F.col("_s")))
+        piece = F.when(F.col("split"), F.concat(F.lit("/"), F.when(F.col("stays"), F.col("seg")).otherwise("*"))).otherwise(F.repeat(F.lit("/*"), F.col("left")))
+        left = F.when(F.col("split"), F.col("left") - 1).otherwise(F.lit(0))
         level += 1
-        tree = work.keep(joined.withColumns({"template": F.concat("template", piece), "_left": left}).drop("_h", "_t", "_s", "_wh", "_wt", "_seg"), f"tree-{level}")
-        ended.append(tree.where("_left <= 0"))
+        tree = work.keep(joined.withColumns({"template": F.concat("template", piece), "left": left}).drop("_h", "_t", "_s", "split", "stays", "seg"), f"tree-{level}")
+        ended.append(tree.where("left <= 0"))
     out = ended[0]
     for part in ended[1:]:
         out = out.unionByName(part)
-    return out.drop("_parts", "_left")
+    return out.drop("parts", "left")
+
+
+def domain_of(host: Column) -> Column:
+    """The host without its first name, if two are left."""
+    return F.regexp_replace(host, r"^[^.]+\.(?=[^.]+\.[^.])", "")
+
+
+def judged(tree: DataFrame, work: Workspace, *, prior: float = PRIOR) -> DataFrame:
+    """(host, template, bad_share): smoothed shares of bad labels.
+
+    A template without many labels falls back on what is expected of it: the
+    share of its host, which falls back on its domain and that on all rows, moved
+    by how much its shapes deviate from all rows across hosts.
+    """
+    totals = tree.agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.coalesce(F.sum("seen"), F.lit(0)).alias("seen")).first()
+    overall = F.lit((totals["bad"] or 0) / max(1, totals["seen"] or 0))
+    share = lambda bad, seen, expected: (bad + prior * expected) / (seen + prior)
+    by = lambda *keys: tree.groupBy(*keys).agg(F.sum("bad").alias("b"), F.sum("seen").alias("s"))
+    domains = by(domain_of(F.col("host")).alias("domain")).select("domain", share(F.col("b"), F.col("s"), overall).alias("domain_share"))
+    hosts = by("host").withColumn("domain", domain_of(F.col("host"))).join(domains, "domain").select("host", share(F.col("b"), F.col("s"), F.col("domain_share")).alias("host_share"))
+    across = by("shape").select("shape", share(F.col("b"), F.col("s"), overall).alias("shape_share"))
+    leaf = tree.join(across, "shape").groupBy("host", "template").agg(F.sum("bad").alias("b"), F.sum("seen").alias("s"), (F.sum(F.col("n") * F.col("shape_share")) / F.sum("n")).alias("shape_share"))
+    expected = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("host_share") + F.col("shape_share") - overall))
+    return work.keep(leaf.join(hosts, "host").select("host", "template", share(F.col("b"), F.col("s"), expected).alias("bad_share")), "judged")
 
 
 def filter_urls(urls: DataFrame, rules: list[tuple[str, str]], *, url_col: str = "url", bad_col: str = "bad", prior: float = PRIOR, purity: float = PURITY) -> DataFrame:
     """The input's columns plus host, path, rule, verdict, template, bad_share; one row per input row.
 
     ``bad_col`` is a nullable boolean label. Rules win over the tree. Otherwise a
-    template is blocked if its smoothed share of bad labels, with ``prior`` rows
-    at the host's share (itself smoothed by the table's), reaches ``purity``; no
-    labels at all allow everything. Null or unparsable urls have empty host and
-    path and are judged as that host. Repeated rows are judged alike. Input columns
-    with the names of outputs are replaced.
+    url is blocked if its template's smoothed share of bad labels reaches
+    ``purity``; no labels at all allow everything. Null or unparsable urls have
+    empty host and path and are judged as that host; very long paths are urls like
+    others. Repeated rows count each and are judged alike. Input columns with the
+    names of outputs are replaced; an empty table gives no rows.
     """
     work = Workspace(urls.sparkSession)
-    url = F.col(url_col).cast("string")
+    outputs = ["host", "path", "rule", "verdict", "template", "bad_share"]
+    url = F.col(f"_in.{url_col}").cast("string")
+    base = urls.select(F.struct(*[F.col(c) for c in urls.columns]).alias("_in"))
+    base = base.select("_in", host_of(url).alias("host"), path_of(url).alias("path"), F.col(f"_in.{bad_col}").alias("label"))
+    shape = F.array_join(F.transform(F.split("path", "/"), _shape), "/")
+    base = work.keep(base.withColumn("shape", shape), "urls")
+    counts = base.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count("label").alias("seen"), F.count_if("label").alias("bad"))
+    tree = work.keep(templates(work.keep(counts, "shapes"), work), "templates")
+    total = base.count()
+    known = tree.join(judged(tree, work, prior=prior), ["host", "template"], "left")
+    known = work.keep(known.select(F.col("host").alias("_h"), F.col("shape").alias("_s"), "template", "bad_share", (F.col("n") * HOT_SHARE > total).alias("hot")), "known")
+    same = (F.col("host") == F.col("_h")) & (F.col("shape") == F.col("_s"))
+    large = F.broadcast(known.where("hot"))
+    out = base.join(large, same).unionByName(base.join(large.select("_h", "_s"), same, "left_anti").join(known.where("NOT hot"), same, "left"))
     rule, says = rule_for(F.col("host"), F.col("path"), rules)
-    clash = ["host", "path", "rule", "verdict", "template", "bad_share", "bad"]
-    own = urls.drop(*[c for c in clash if c not in (url_col, bad_col)])
-    own = own.withColumns({"host": host_of(url), "path": path_of(url)}).withColumnRenamed(bad_col, "bad")
-    tree = templates(own.withColumns({"rule": rule, "_says": says}), work)
-    overall = tree.agg(F.coalesce(F.avg(F.col("bad").cast("double")), F.lit(0.0))).first()[0]
-    leaf = tree.groupBy("host", "template").agg(F.count("bad").alias("seen"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("bad_n"))
-    leaf = work.keep(leaf, "leaves")
-    hosts = leaf.groupBy("host").agg(((F.sum("bad_n") + prior * overall) / (F.sum("seen") + prior)).alias("host_share"))
-    judged = leaf.join(hosts, "host").select(F.col("host").alias("_h"), F.col("template").alias("_t"), ((F.col("bad_n") + prior * F.col("host_share")) / (F.col("seen") + prior)).alias("bad_share"))
-    judged = work.keep(judged, "judged")
-    out = tree.join(judged, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")), "left").drop("_h", "_t")
-    verdict = F.coalesce("_says", F.when(F.col("bad_share") >= purity, F.lit("block")).otherwise(F.lit("allow")))
-    return out.withColumn("verdict", verdict).drop("_says").withColumnRenamed("bad", bad_col)
+    verdict = F.coalesce(says, F.when(F.col("bad_share") >= purity, F.lit("block")).otherwise(F.lit("allow")))
+    own = [F.col(f"_in.{c}").alias(c) for c in urls.columns if c not in outputs or c in (url_col, bad_col)]
+    return out.select(*own, "host", "path", rule.alias("rule"), verdict.alias("verdict"), "template", "bad_share")

@@ -187,3 +187,88 @@ def test_quality_held_out(spark):
     none = quality.train(docs, spark.createDataFrame([(1, 1)], "doc_id long, good int"))
     assert none is None and quality.classify(docs, None).where("kept").count() == 1202
     assert quality.classify(docs.limit(0), model).count() == 0
+
+
+def brute_templates(rows, support=5, z=2.576, prior=4.0):
+    """(host, shape, bad or None) in; (host, shape) -> (template, share) by the rules of the tree, node by node."""
+    from math import sqrt
+
+    template = {}
+
+    def split(host, prefix, members, level):
+        """members: shape parts and labels of one node."""
+        ended = [m for m in members if len(m[0]) <= level]
+        for parts, _ in ended:
+            template[host, "/" + "/".join(parts)] = prefix
+        going = [m for m in members if len(m[0]) > level]
+        if 0 < len(going) < support:
+            for parts, _ in going:
+                template[host, "/" + "/".join(parts)] = prefix + "/*" * (len(parts) - level)
+            return
+        children = {}
+        for m in going:
+            children.setdefault(m[0][level], []).append(m)
+        labels = lambda ms: [b for _, b in ms if b is not None]
+        every, merged = labels(going), {}
+        for seg, ms in children.items():
+            own = labels(ms)
+            rest, rest_bad = len(every) - len(own), sum(every) - sum(own)
+            p = (sum(every) + 0.5) / (len(every) + 1)
+            error = sqrt(p * (1 - p) * (1 / max(len(own), 1) + 1 / max(rest, 1)))
+            differs = len(own) >= support and rest > 0 and abs(sum(own) / max(len(own), 1) - rest_bad / max(rest, 1)) > z * error
+            name = seg if differs or len(ms) >= 0.9 * len(going) else "*"
+            merged.setdefault(name, []).extend(ms)
+        for name, ms in merged.items():
+            split(host, f"{prefix}/{name}", ms, level + 1)
+
+    hosts = {}
+    for host, shape, bad in rows:
+        hosts.setdefault(host, []).append((shape.lstrip("/").split("/"), bad))
+    for host, members in hosts.items():
+        split(host, "", members, 0)
+    share = lambda ms, e: (sum(b for b in ms if b is not None) + prior * e) / (sum(b is not None for b in ms) + prior)
+    every = [b for *_, b in rows]
+    known = [b for b in every if b is not None]
+    overall = sum(known) / max(1, len(known))
+    domain = lambda h: h.split(".", 1)[1] if h.count(".") >= 2 else h
+    out = {}
+    for host, shape, _ in rows:
+        t = template[host, shape]
+        d = share([b for h, _, b in rows if domain(h) == domain(host)], overall)
+        of_host = share([b for h, _, b in rows if h == host], d)
+        leaf = [(s, b) for h, s, b in rows if h == host and template[h, s] == t]
+        across = sum(share([b for _, s2, b in rows if s2 == s], overall) for s, _ in leaf) / len(leaf)
+        out[host, shape] = t, share([b for _, b in leaf], max(0.0, min(1.0, of_host + across - overall)))
+    return out
+
+
+def test_url_tree_matches_brute_force(spark):
+    """Branches, small hosts and hosts of one domain against the same rules applied node by node."""
+    import random
+
+    rng = random.Random(12)
+    rows = []
+    for k in range(700):
+        host = rng.choice(["a.org", "b.org", "www.spam.example.net", "m.spam.example.net", "blog.spam.example.net", "few.example.net"])
+        first, second = rng.choice(["en", "de", "ads", "tag"]), rng.choice(["x", "y", "{n}"])
+        shape = "/" + "/".join([first, second, "{n}"][: rng.randrange(1, 4)])
+        chance = 0.9 if first == "ads" or "spam" in host else 0.1
+        if host.startswith("few") and rng.random() < 0.97:
+            host = "a.org"
+        rows.append((k, host, shape, None if rng.random() < 0.3 else rng.random() < chance))
+    url = lambda h, s, k: f"https://{h}" + s.replace("{n}", str(k))
+    df = spark.createDataFrame([(k, url(h, s, k), b) for k, h, s, b in rows], "page_id long, url string, bad boolean")
+    want = brute_templates([(h, s, b) for _, h, s, b in rows])
+    got = {r.page_id: r for r in url_filter.filter_urls(df, []).collect()}
+    assert {k: got[k].template for k in got} == {k: want[h, s][0] for k, h, s, _ in rows}
+    assert all(abs(got[k].bad_share - want[h, s][1]) < 1e-9 for k, h, s, _ in rows)
+    assert all(got[k].verdict == ("block" if want[h, s][1] >= 0.5 else "allow") for k, h, s, _ in rows)
+    # The verdicts part good from bad: most of what is blocked is bad, and most of what is bad is blocked.
+    blocked = [b for k, *_, b in rows if got[k].verdict == "block" and b is not None]
+    assert np.mean(blocked) > 0.8 and sum(blocked) > 0.8 * sum(bool(b) for *_, b in rows)
+
+
+def test_url_ties_repeats_and_long_paths(spark):
+    rows = [(7, "http://t.org/a", True)] * 3 + [(8, "http://t.org/" + "x" * 100_000, None), (None, "http://t.org/a", False), (9, "", None)]
+    got = url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, bad boolean"), []).collect()
+    assert len(got) == 6 and len({(r.template, r.verdict, r.bad_share) for r in got if r.path == "/a"}) == 1
