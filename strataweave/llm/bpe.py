@@ -3,8 +3,10 @@
 ``sufficient_lookahead`` is computed from the merge list: bytes further right than
 that from a token's end cannot change the token. The transducer therefore holds a
 window of a few lookaheads, emits the tokens that are stable, and goes on behind
-them, in constant memory for inputs of any length. Words of a text pass through
-it one by one; short ones are remembered in a bounded table.
+them, in constant memory for inputs of any length. A ``Stream`` takes a text in
+pieces, knows after two further code points where a word ends, and passes every
+word through the transducer; a word that does not end is handed over as it comes.
+What the transducer gave for short words is remembered in a bounded table.
 """
 
 from __future__ import annotations
@@ -29,7 +31,12 @@ PATTERN = r" ?[{L}]+|'(?:s|t|re|ve|m|ll|d)| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{
 SPACE = "\\t\\n\\x0b\\x0c\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 MEMO_WORDS = 1 << 19
 MEMO_CHARS = 48
-BLOCK_WORDS = 1 << 14
+#: Code points of a text that are taken up at once.
+PIECE = 1 << 16
+#: Code points after a word's last one that decide that it ends there: "'re" is found two after its quote.
+WORD_LOOKAHEAD = 2
+#: A word longer than this is handed to the transducer before its end is known.
+OPEN_CHARS = 1 << 12
 BLOCK_IDS = 1 << 14
 
 
@@ -171,9 +178,6 @@ class Transducer:
         self.held.clear()
 
     def word(self, data: bytes) -> list[int]:
-        """One whole word; within a window it is the flush of an empty transducer."""
-        if len(data) < self.window:
-            return merge_all([self.v.byte_ids[b] for b in data], self.v.merges)
         return [*self.feed(data), *self.finish()]
 
 
@@ -204,25 +208,17 @@ class Encoder:
         self.words, self.astral_words = word_pattern(0x10000), word_pattern()
         self.astral = re.compile("[\U00010000-\U0010ffff]")
         self.added = re.compile("|".join(map(re.escape, self.vocabulary.added))) if self.vocabulary.added else None
+        letter, number = (category_ranges(c, 0x110000) for c in "LN")
+        #: What goes on a word, by its class; a run of white space leaves its last one to a word that follows.
+        self.rest = [re.compile(x) for x in (f"[{letter}]*", f"[{number}]*", f"[{SPACE}]+(?![^{SPACE}])|", f"[^{SPACE}{letter}{number}]*")]
 
     def blocks(self, text: str) -> Iterator[bytes]:
         """Blocks of int32 ids, in order."""
-        end = 0
-        for m in self.added.finditer(text) if self.added else ():
-            yield from self._plain(text[end : m.start()])
-            yield np.int32(self.vocabulary.added[m[0]]).tobytes()
-            end = m.end()
-        yield from self._plain(text[end:] if end else text)
-
-    def _plain(self, text: str) -> Iterator[bytes]:
-        lookup = self.memo.__getitem__
-        words = self.astral_words if self.astral.search(text) else self.words
-        if len(text) <= 8 * BLOCK_WORDS:
-            yield b"".join(map(lookup, words.findall(text)))
-            return
-        found = (m[0] for m in words.finditer(text))
-        while block := list(islice(found, BLOCK_WORDS)):
-            yield b"".join(map(lookup, block))
+        stream = Stream(self)
+        whole = max(0, len(text) - 1) // PIECE * PIECE
+        for a in range(0, whole, PIECE):
+            yield from stream.feed(text[a : a + PIECE])
+        yield from stream.finish(text[whole:] if whole else text)
 
     def encode(self, text: str | None) -> np.ndarray:
         return np.frombuffer(b"".join(self.blocks(text or "")), np.int32)
@@ -231,6 +227,69 @@ class Encoder:
         return sum(map(len, self.blocks(text or ""))) // 4
 
 
+class Stream:
+    """A text in pieces of any size in, blocks of int32 ids out; holds part of a word and of a special token."""
+
+    def __init__(self, encoder: Encoder):
+        self.encoder, self.transducer = encoder, Transducer(encoder.vocabulary)
+        self.special = self.held = ""
+        self.open: re.Pattern | None = None
+
+    def feed(self, piece: str) -> Iterator[bytes]:
+        return self._segments(self.special + piece, False)
+
+    def finish(self, piece: str = "") -> Iterator[bytes]:
+        return self._segments(self.special + piece, True)
+
+    def _segments(self, text: str, last: bool) -> Iterator[bytes]:
+        """Between special tokens; the beginning of one at the end of a piece waits for the next piece."""
+        added, end = self.encoder.vocabulary.added, 0
+        for m in self.encoder.added.finditer(text) if added else ():
+            yield from self._words(text[end : m.start()], True)
+            yield np.int32(added[m[0]]).tobytes()
+            end = m.end()
+        wait = 0 if last else max((k for x in added for k in range(1, len(x)) if text.endswith(x[:k], end)), default=0)
+        self.special = text[len(text) - wait :]
+        yield from self._words(text[end : len(text) - wait], last)
+
+    def _words(self, text: str, last: bool) -> Iterator[bytes]:
+        text, start = self.held + text, 0
+        sure = len(text) if last else max(0, len(text) - WORD_LOOKAHEAD)
+        if self.open is not None:
+            stop = self.open.match(text).end()
+            if stop > sure:
+                yield self._ids(self.transducer.feed(text[:sure].encode()))
+                self.held = text[sure:]
+                return
+            yield self._ids([*self.transducer.feed(text[:stop].encode()), *self.transducer.finish()])
+            self.open, start = None, stop
+        words = self.encoder.astral_words if self.encoder.astral.search(text) else self.encoder.words
+        lookup = self.encoder.memo.__getitem__
+        if last:
+            self.held = ""
+            yield b"".join(map(lookup, words.findall(text, start)))
+            return
+        ready = []
+        for m in words.finditer(text, start):
+            if m.end() > sure:
+                break
+            ready.append(m[0])
+            start = m.end()
+        yield b"".join(map(lookup, ready))
+        self.held = text[start:]
+        if len(self.held) > OPEN_CHARS:
+            # One word reaches to the end. Its third code point tells its class: a space may lead it.
+            kind = self.held[2]
+            group = {"L": 0, "N": 1}.get(unicodedata.category(kind)[0], 2 if re.match(f"[{SPACE}]", kind) else 3)
+            self.open = self.encoder.rest[group]
+            yield self._ids(self.transducer.feed(self.held[:-WORD_LOOKAHEAD].encode()))
+            self.held = self.held[-WORD_LOOKAHEAD:]
+
+    @staticmethod
+    def _ids(tokens: Iterable[int]) -> bytes:
+        return np.fromiter(tokens, np.int32).tobytes()
+
+
 class Decoder:
     """Ids in, text out as soon as its bytes are complete; undecodable bytes become U+FFFD."""
 

@@ -50,6 +50,33 @@ def test_stream_equals_whole(coder, library, word):
     assert most <= t.window + 97
 
 
+@settings(max_examples=120, deadline=None)
+@given(text=st.text(alphabet="ab'rel 12\n\t!<|endoftx>\u3000é😀", max_size=300), cut=st.integers(1, 40), open_chars=st.integers(3, 12))
+def test_pieces_of_any_size_encode_alike(coder, library, text, cut, open_chars):
+    """Words, runs of white space and special tokens cut anywhere, with words handed over before they end."""
+    bpe.OPEN_CHARS, before = open_chars, bpe.OPEN_CHARS
+    try:
+        stream = bpe.Stream(coder)
+        out = b"".join([b for a in range(0, len(text), cut) for b in stream.feed(text[a : a + cut])] + list(stream.finish()))
+    finally:
+        bpe.OPEN_CHARS = before
+    assert np.frombuffer(out, np.int32).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("unit", ["x", "7", " ", "\n", "!", "é", " word", "don't "])
+def test_long_texts_hold_a_bounded_state(coder, library, unit):
+    """Texts of several pieces, some of one endless word: the ids are the library's and what the stream holds does not grow."""
+    text = (unit * (3 * bpe.PIECE // len(unit)) + " end")[: 3 * bpe.PIECE]
+    stream, out, most = bpe.Stream(coder), [], 0
+    for a in range(0, len(text), 1000):
+        out += stream.feed(text[a : a + 1000])
+        most = max(most, len(stream.held) + len(stream.special) + len(stream.transducer.held))
+    out += stream.finish()
+    want = library.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(b"".join(out), np.int32).tolist() == want and coder.encode(text).tolist() == want
+    assert most <= bpe.OPEN_CHARS + 1000 + 2 * stream.transducer.window
+
+
 def test_special_tokens_and_bad_bytes(coder, library):
     text = "a<|endoftext|> b<|endoftext|><|endoftext"
     assert coder.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
