@@ -2,12 +2,14 @@
 
 1. One pass over the texts makes each document's shingle set, a 128-bit digest
    of it and ``HASHES`` minimum hashes. Documents with equal sets form one class.
-2. Each of ``ORDERS`` orders sorts the classes by a signature order of its own;
-   rows that share a prefix of ``DEPTH`` hashes form a region, and inside it the
-   neighbours in sorted order are those with the longest common prefix, so the
-   depth adapts to how dense the region is. Neighbours whose two-bit sketches
-   agree well are candidates. At a Jaccard similarity of 0.8 the chance that a
-   pair shares no region is (1 - 0.8**3)**24 = 3e-8.
+2. Each of ``ORDERS`` orders sorts the classes by a signature order of its own.
+   The longest common prefix of neighbours in it, ``DEPTH`` to ``DEEPEST`` hashes,
+   parts them into regions. The depth of a region adapts to its density: at the
+   least depth at which it holds ``REGION`` rows or fewer, each row meets all the
+   others; a denser region is parted by one more hash, and what is still dense at
+   the deepest meets its nearest neighbours, as do rows on both sides of a cut.
+   Rows whose two-bit sketches agree well are candidates. At a Jaccard similarity
+   of 0.8 the chance that a pair shares no region is (1 - 0.8**3)**24 = 3e-8.
 3. Candidates joined together form zones. Full sets are compared exactly inside
    zones only: in one chunk if the zone is small; otherwise in several random
    dealings into chunks of bounded size, after which the rows outside the zone's
@@ -34,7 +36,14 @@ from .workspace import Workspace
 HASHES = 72
 ORDERS = 24
 DEPTH = 3
+DEEPEST = 7
+#: Rows of a region that all meet each other; beyond it the region is parted by one more hash.
+REGION = 8
+#: Nearest neighbours that meet whatever the depth.
 NEIGHBOURS = 2
+#: Forest rows of one range partition, at least: a border between two of them parts neighbours in one order only.
+PART_ROWS = 1 << 16
+MOST_PARTS = 8192
 #: Of 64 two-bit sketches, so many must agree: six deviations below the mean at 0.8.
 AGREE = 37
 CHUNK = 256
@@ -91,7 +100,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             doc = part.column("doc_id").to_numpy(zero_copy_only=False)
             region, rest = np.zeros((n, ORDERS), np.uint64), np.zeros((n, ORDERS), np.uint64)
             for t in range(ORDERS):
-                order = [(t * DEPTH + k) % HASHES for k in range(DEPTH + 4)]
+                order = [(t * DEPTH + k) % HASHES for k in range(DEEPEST)]
                 key = np.full(n, t, np.uint64)
                 for k in order[:DEPTH]:
                     key = at.mix64(key + s[:, k])
@@ -102,25 +111,61 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(at.signed(region.ravel())), pa.array(at.signed(rest.ravel())), pa.array(each(doc)), pa.array(at.signed(each(low))), pa.array(at.signed(each(high)))], names=["region", "rest", "doc_id", "low", "high"])
 
 
+def prefix_lengths(region: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """Longest common prefix, in hashes, of each row and the next one in sorted order; 0 across regions."""
+    differ = (rest[:-1] ^ rest[1:]).view(np.uint64)
+    more = np.full(len(differ), DEEPEST - DEPTH)
+    for place in range(DEEPEST - DEPTH - 1, -1, -1):
+        # The hash at this place is the first of those checked so far that differs.
+        more[(differ >> _U(16 * (DEEPEST - DEPTH - 1 - place))) & _U(0xFFFF) != 0] = place
+    return np.where(region[:-1] == region[1:], DEPTH + more, 0)
+
+
+def reaches(lcp: np.ndarray) -> np.ndarray:
+    """For each row, how many following rows it meets: to the end of its region at the depth that fits, or its neighbours."""
+    n = len(lcp) + 1
+    reach = np.zeros(n, np.int64)
+    done = np.zeros(n, bool)
+    row = np.arange(n)
+    for depth in range(DEPTH, DEEPEST + 1):
+        new = np.append(True, lcp < depth)
+        first = np.flatnonzero(new)
+        which = np.cumsum(new) - 1
+        end = np.append(first[1:], n)[which]
+        fits = ~done & (end - first[which] <= REGION)
+        reach[fits] = (end - 1 - row)[fits]
+        done |= fits
+    shared = np.append(lcp >= DEPTH, False)
+    near = np.zeros(n, np.int64)
+    going = np.ones(n, bool)
+    for step in range(NEIGHBOURS):
+        going &= np.append(shared[step:], np.zeros(step, bool))
+        near += going
+    return np.maximum(reach, near)
+
+
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates among rows sorted by (region, rest); a partition is read in blocks with a few rows carried over."""
+    """Candidates among rows sorted by (region, rest); a partition is read in blocks with the open region's last rows carried over."""
     carried = None
     for batch in batches:
-        now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("region", "doc_id", "low", "high")]
+        now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("region", "rest", "doc_id", "low", "high")]
         fresh = 0
         if carried is not None:
             fresh = len(carried[0])
             now = [np.concatenate(x) for x in zip(carried, now, strict=True)]
-        region, doc, low, high = now
+        region, rest, doc, low, high = now
+        if len(doc) == 0:
+            continue
+        reach = reaches(prefix_lengths(region, rest))
         found = []
-        for step in range(1, NEIGHBOURS + 1):
+        for step in range(1, max(REGION - 1, NEIGHBOURS) + 1):
             i = np.arange(max(0, fresh - step), len(doc) - step)
-            i = i[(region[i] == region[i + step]) & (doc[i] != doc[i + step])]
+            i = i[(reach[i] >= step) & (doc[i] != doc[i + step])]
             differ = (low[i] ^ low[i + step]) | (high[i] ^ high[i + step])
             i = i[64 - np.bitwise_count(differ.view(np.uint64)).astype(np.int64) >= AGREE]
             found.append(np.stack([np.minimum(doc[i], doc[i + step]), np.maximum(doc[i], doc[i + step])]))
         pairs = np.concatenate(found, axis=1)
-        carried = [x[-NEIGHBOURS:] for x in now]
+        carried = [x[-max(REGION - 1, NEIGHBOURS) :] for x in now]
         yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["u", "v"])
 
 
@@ -271,7 +316,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
     classes = work.keep(usable.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")), "classes")
     named = usable.select("doc_id", "signature").join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi")
     forest = named.mapInArrow(_forest, "region long, rest long, doc_id long, low long, high long")
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(1, min(MOST_PARTS, ORDERS * classes.count() // PART_ROWS))
     nearby = forest.repartitionByRange(parts, "region", "rest", "doc_id").sortWithinPartitions("region", "rest", "doc_id").mapInArrow(_neighbours, "u long, v long")
     candidates = work.keep(nearby.distinct(), "candidates")
     zones = components(candidates, work, "zones")

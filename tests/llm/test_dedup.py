@@ -56,6 +56,44 @@ def test_near_duplicates_in_several_chunks(frame, corpus, monkeypatch):
     assert got == {d: c for d, (_, c, _) in brute_components([(r[0], r[1]) for r in corpus], 2, 80).items()}
 
 
+def test_prefixes_and_adaptive_depth():
+    """Prefix lengths are those of the hash sequences; small regions meet in full, dense ones part deeper, and cuts keep neighbours."""
+    rng = random.Random(9)
+    n = near_dedup.DEEPEST
+    rows = sorted([rng.randrange(4) for _ in range(3)] + [rng.randrange(2) for _ in range(n - 3)] for _ in range(400))
+    region = np.array([at.mix64(np.array([r[0] * 16 + r[1] * 4 + r[2]], np.uint64))[0] for r in rows])
+    order = np.argsort(region, kind="stable")
+    rows, region = [rows[k] for k in order], region[order]
+    rest = np.array([sum(np.uint64(x) << np.uint64(16 * (n - 4 - k)) for k, x in enumerate(r[3:])) for r in rows], np.uint64).view(np.int64)
+    same = lambda a, b: next((k for k in range(n) if a[k] != b[k]), n)
+    want = [k if k >= 3 else 0 for k in map(same, rows, rows[1:])]
+    lcp = near_dedup.prefix_lengths(region, rest)
+    assert lcp.tolist() == want and set(want) > {0, 3, 7}
+    reach = near_dedup.reaches(lcp)
+    for i, r in enumerate(rows):
+        for depth in range(3, n + 1):
+            mates = [j for j in range(len(rows)) if rows[j][:depth] == r[:depth]]
+            if len(mates) <= near_dedup.REGION:
+                assert reach[i] >= mates[-1] - i
+                break
+        if i + 1 < len(rows) and lcp[i]:
+            assert reach[i] >= 1
+
+
+@pytest.mark.parametrize("partitions", [1, 200])
+def test_few_documents_over_many_partitions(spark, partitions):
+    """Three documents find each other however many shuffle partitions there are."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        text = " ".join(f"w{k}" for k in range(60))
+        df = spark.createDataFrame([(3, text), (5, text + " more"), (9, text + " other"), (11, "something else")], "doc_id long, text string")
+        got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df).collect()}
+        assert got == {3: 3, 5: 3, 9: 3, 11: 11}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_near_duplicates_of_nothing_nulls_and_repeats(spark):
     schema = "doc_id long, text string"
     assert near_dedup.near_duplicates(spark.createDataFrame([], schema)).count() == 0
