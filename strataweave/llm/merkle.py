@@ -20,8 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .workspace import Workspace
+
 PIECE = 32
+#: Hex digits of a piece's code in a fingerprint. Different pieces share a code once in 16 million, so likeness counts
+#: about n * m / 16 million pairs too many for texts of n and m pieces; roots, which test equality, have 128 bits.
 CODE = 6
+MOST_PARTS = 8192
 _SECTION = re.compile(r"(?<=\n)(?:[ \t\r]*\n)+")
 _PIECES = re.compile(rf"[^.!?\n]{{1,{PIECE}}}[.!?]*[ \t\r]*\n?|[.!?]+[ \t\r]*\n?|\n")
 
@@ -142,29 +147,38 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for doc_id, text, following in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "next_text")), strict=True):
-            text, following = text or "", following or ""
-            rows.append(_row(doc_id, text, fingerprint(text), following, fingerprint(following)))
-        yield _batch(rows)
+    for whole in batches:
+        for batch in (whole.slice(a, 64) for a in range(0, whole.num_rows, 64)):
+            rows = []
+            for doc_id, text, following in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "next_text")), strict=True):
+                text, following = text or "", following or ""
+                rows.append(_row(doc_id, text, fingerprint(text), following, fingerprint(following)))
+            yield _batch(rows)
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next: one row per input row.
 
     Rows are range-partitioned by id once and meet their next row where they
-    stand; only each partition's first and last row cross to another one. The
-    row after the last is the first. Null text is empty; null ids come first;
-    rows that repeat an id follow each other in the order of their texts.
+    stand; only each partition's first and last row cross to another one, and
+    which partition follows which is told by their numbers alone. The row after
+    the last is the first. Null text is empty; null ids come first; rows that
+    repeat an id follow each other by a hash of their texts, and rows equal in
+    both are alike, so they may be parted over tasks. Other columns are ignored,
+    an empty table gives no rows, and a lone row follows itself.
     """
     spark = docs.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    work = Workspace(spark)
+    parts = min(MOST_PARTS, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    base = base.withColumns({"h": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    ranged = base.repartitionByRange(parts, "doc_id", "h", "row").sortWithinPartitions("doc_id", "h", "row").select("doc_id", "text")
     inner = ranged.mapInArrow(_along, _SCHEMA)
-    order = W.orderBy("part", "kind")
-    ends = ranged.mapInArrow(_ends, "part int, kind int, doc_id long, text string")
-    first = F.first("text").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    following = F.when(F.lead("kind").over(order).isNull(), first).otherwise(F.lead("text").over(order))
-    last = ends.select("kind", "doc_id", "text", following.alias("next_text")).where("kind = 1")
-    return inner.unionByName(last.select("doc_id", "text", "next_text").mapInArrow(_pairs, _SCHEMA))
+    ends = work.keep(ranged.mapInArrow(_ends, "part int, kind int, doc_id long, text string"), "ends")
+    # One number a partition: the next one that has rows, and after the last the first.
+    order = W.orderBy("part")
+    numbers = ends.where("kind = 0").select("part")
+    turn = numbers.select("part", F.coalesce(F.lead("part").over(order), F.first("part").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("next_part"))
+    first = ends.where("kind = 0").select(F.col("part").alias("next_part"), F.col("text").alias("next_text"))
+    last = ends.where("kind = 1").join(turn, "part").join(first, "next_part").select("doc_id", "text", "next_text")
+    return inner.unionByName(last.mapInArrow(_pairs, _SCHEMA))

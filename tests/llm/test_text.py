@@ -124,6 +124,58 @@ def test_fingerprints(frame, corpus):
     assert one.near_next == 1.0
 
 
+def brute_fingerprint(text):
+    """Sections, paragraphs and pieces cut by hand, and the hashes of the tree over them."""
+    import re
+
+    digest = lambda b: hashlib.blake2b(b, digest_size=16).digest()
+    lines = text.split("\n")
+    lines = [x + "\n" for x in lines[:-1]] + ([lines[-1]] if lines[-1] else [])
+    sections = []
+    for k, line in enumerate(lines):
+        blank = line.endswith("\n") and not line.strip(" \t\r\n")
+        ends = k and sections and sections[-1][1]
+        if not sections or (ends and not blank):
+            sections.append(([], False))
+        # A section ends after blank lines that follow a line.
+        sections[-1] = (sections[-1][0] + [line], blank and len(sections[-1][0]) > 0)
+    roots, out = [], []
+    for members, _ in sections:
+        paragraphs = [[digest(p.encode()) for p in re.findall(r"[^.!?\n]{1,32}[.!?]*[ \t\r]*\n?|[.!?]+[ \t\r]*\n?|\n", line)] for line in members]
+        roots.append(digest(b"s" + b"".join(digest(b"p" + b"".join(p)) for p in paragraphs)))
+        out.append(roots[-1][:3].hex() + ":" + ",".join("".join(d[:3].hex() for d in p) for p in paragraphs))
+    if not out:
+        roots, out = [digest(b"s")], [digest(b"s")[:3].hex() + ":"]
+    return digest(b"r" + b"".join(roots)).hex() + "|" + ";".join(out)
+
+
+@settings(max_examples=200, deadline=None)
+@given(text=st.text(alphabet="ab. \n!\té", max_size=120))
+def test_fingerprint_is_the_tree_by_hand(text):
+    assert merkle.fingerprint(text) == brute_fingerprint(text)
+
+
+@settings(max_examples=100, deadline=None)
+@given(a=st.text(alphabet="ab. \n!", max_size=80), b=st.text(alphabet="ab. \n!", max_size=80))
+def test_likeness_counts_pieces(a, b):
+    import re
+
+    pieces = lambda t: Counter(re.findall(r"[^.!?\n]{1,32}[.!?]*[ \t\r]*\n?|[.!?]+[ \t\r]*\n?|\n", t))
+    both, every = (pieces(a) & pieces(b)).total(), (pieces(a) | pieces(b)).total()
+    want = 1.0 if a == b else both / every if both < every else 1 - 1e-9
+    assert abs(merkle.likeness(merkle.fingerprint(a), merkle.fingerprint(b)) - want) < 1e-6
+
+
+def test_fingerprints_of_repeats_nulls_and_ends(spark):
+    """Repeated ids and rows, null ids, a null and a long text, over more partitions than rows."""
+    rows = [(1, "a\nb.", "x")] * 3 + [(1, "z", "x"), (None, "n", "x"), (None, None, "x"), (2, "w " * 50_000, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, part string").withColumn("h", F.lit(1))
+    got = merkle.fingerprints(df).collect()
+    assert Counter((r.doc_id, r.n_chars) for r in got) == Counter((d, len(t or "")) for d, t, _ in rows)
+    assert len({r.fingerprint for r in got if (r.doc_id, r.n_chars) == (1, 4)}) == 1
+    assert sum(r.near_next == 1.0 for r in got if r.doc_id == 1) >= 2
+
+
 @settings(max_examples=100, deadline=None)
 @given(a=st.text(alphabet="ab. \n!", max_size=80), b=st.text(alphabet="ab. \n!", max_size=80))
 def test_roots_test_equality(a, b):
