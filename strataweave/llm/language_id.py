@@ -21,6 +21,8 @@ ORDER = 4
 FIT_DOCS = 600
 #: Further documents of a language that set the score's temperature and the rejection bound.
 CALIBRATION_DOCS = 100
+#: Most frequent values of the language column that a model is fitted for: what reaches the driver stays bounded by it.
+MOST_LANGUAGES = 200
 DISCOUNT = 0.75
 _START, _SPACE = 2, 32
 _U = np.uint64
@@ -230,20 +232,20 @@ def _entropy_rows(model: Model):
     return run
 
 
-def train(labelled: DataFrame, *, fit_docs: int = FIT_DOCS, calibration_docs: int = CALIBRATION_DOCS) -> Model | None:
+def train(labelled: DataFrame, *, fit_docs: int = FIT_DOCS, calibration_docs: int = CALIBRATION_DOCS, languages: int = MOST_LANGUAGES) -> Model | None:
     """Model from (doc_id, lang, text) rows with a language; None if there are none.
 
-    The fit reads whole texts of about ``fit_docs`` documents of each language,
-    chosen by a hash of the id; the tables that reach the driver are bounded by
-    that number and not by the corpus.
+    The fit reads whole texts of about ``fit_docs`` documents of each of the
+    ``languages`` most frequent languages (ties: the lesser name), chosen by a
+    hash of id and text; the tables that reach the driver are bounded by these
+    numbers and not by the corpus. Rows with a null language, null and empty texts
+    teach nothing; repeated rows are drawn together.
     """
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return None
-    draw = F.pmod(F.xxhash64(F.lit(29), F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30)
-    limits = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, float(n))])
-    rank = draw * F.element_at(limits, F.col("lang"))
-    chosen = labelled.withColumn("rank", rank).where(F.col("rank") < fit_docs + calibration_docs)
+    labelled = labelled.select("doc_id", "lang", "text").where("lang is not null")
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("_n")).orderBy(F.col("_n").desc(), "lang").limit(languages)
+    draw = F.pmod(F.xxhash64(F.lit(29), F.col("doc_id"), F.col("text")), F.lit(1 << 30)) / float(1 << 30)
+    # At most ``languages`` rows.
+    chosen = labelled.join(F.broadcast(counts), "lang").withColumn("rank", draw * F.col("_n")).where(F.col("rank") < fit_docs + calibration_docs)
     grams = chosen.where(F.col("rank") < fit_docs).select("lang", "text").mapInArrow(_grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     grams = grams[grams["gram"].str[-1] != chr(_START)]
     if grams.empty:
@@ -266,12 +268,20 @@ def train(labelled: DataFrame, *, fit_docs: int = FIT_DOCS, calibration_docs: in
     return model
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The input's columns without text, plus lang_pred, score, bits_per_symbol, rejected.
+OUTPUTS = ["lang_pred", "score", "bits_per_symbol", "rejected"]
 
-    ``und`` with score 0 where the text is null or has no letter, or no model
-    could be fitted. ``rejected`` says that even the best language's
-    cross-entropy lies above what its calibration documents showed.
+
+def predict(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The input's columns without text, plus lang_pred, score, bits_per_symbol, rejected; one row per input row.
+
+    ``und`` with score 0 where the text is null or empty or has no letter, or no
+    model could be fitted. ``rejected`` says that even the best language's
+    cross-entropy lies above what its calibration documents showed; the language
+    is named all the same. Languages with equal cross-entropy: the lesser name.
+    Repeated rows are judged alike, very long texts as a whole. Input columns with
+    the names of outputs are replaced.
     """
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return docs.mapInArrow(_score(model), f"{fields}, lang_pred string, score double, bits_per_symbol double, rejected boolean".removeprefix(", "))
+    own = docs.drop(*OUTPUTS)
+    own = own.withColumn("text", F.col("text").cast("string"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema if f.name != "text")
+    return own.mapInArrow(_score(model), f"{fields}, lang_pred string, score double, bits_per_symbol double, rejected boolean".removeprefix(", "))

@@ -240,6 +240,62 @@ def test_language_models(spark):
     assert 0.8 < total <= 1.0 + 1e-6
 
 
+def brute_kneser_ney(texts, order=4, discount=0.75):
+    """Interpolated Kneser-Ney by its textbook definition: a function of (history, symbol), over the given alphabet."""
+    grams = [Counter() for _ in range(order + 1)]
+    for s in texts:
+        for k in range(order - 1, len(s)):
+            grams[order][s[k - order + 1 : k + 1]] += 1
+    for n in range(order - 1, 0, -1):
+        for g in grams[n + 1]:
+            grams[n][g[1:]] += 1
+
+    def chance(history, symbol, alphabet):
+        n = len(history) + 1
+        lower = chance(history[1:], symbol, alphabet) if n > 1 else 1 / (alphabet + 1)
+        followers = [g for g in grams[n] if g[:-1] == history]
+        total = sum(grams[n][g] for g in followers)
+        if not total:
+            return lower
+        seen = grams[n][history + symbol]
+        return max(seen - discount, 0) / total + discount * len(followers) / total * lower
+
+    return chance
+
+
+def test_language_chances_match_the_definition(spark):
+    """Scores of single texts against the definition, on fixtures of two languages."""
+    import math
+
+    texts = {"aa": ["abra cadabra", "bar abra", "cab"], "bb": ["xoxo yoyo", "oxo yo", "abra"]}
+    rows = [(k, lang, t) for lang, ts in texts.items() for k, t in enumerate(ts)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, lang string, text string"), fit_docs=10**6, calibration_docs=0)
+    marked = {lang: ["\x02\x02\x02 " + t for t in ts] for lang, ts in texts.items()}
+    alphabet = len({c for ts in marked.values() for t in ts for c in t})
+    for asked in ("abra", "yo xo", "cabyo", "qq a"):
+        raw = np.frombuffer(asked.encode(), np.uint8)
+        got, count = language_id.entropies(model, raw, np.array([0, len(raw)]))
+        s = "\x02\x02\x02 " + asked
+        for k, lang in enumerate(model.languages):
+            chance = brute_kneser_ney(marked[lang])
+            want = -sum(math.log(chance(s[i - 3 : i], s[i], alphabet)) for i in range(3, len(s))) / (len(s) - 3)
+            assert abs(got[0, k] - want) < 1e-4 and count[0] == len(s) - 3
+
+
+def test_language_clashes_ties_repeats_and_many_values(spark):
+    rows = [(k, f"l{k % 30}", "word " * 3) for k in range(60)] + [(None, None, "x"), (3, "l3", None), (4, "l4", ""), (5, "l5", "long text " * 20_000)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = language_id.train(df, languages=5)
+    assert len(model.languages) == 5
+    clashing = df.withColumns({"score": F.lit("s"), "lang_pred": F.lit(1), "rejected": F.lit("r"), "bits_per_symbol": F.lit("b"), "_n": F.lit(0), "rank": F.lit(0)})
+    got = language_id.predict(clashing.unionByName(clashing), model)
+    assert got.columns == ["doc_id", "lang", "_n", "rank", "lang_pred", "score", "bits_per_symbol", "rejected"]
+    rows = got.collect()
+    assert len(rows) == 128 and len({r.lang_pred for r in rows if r.doc_id not in (None, 5) and r.lang_pred != "und"}) == 1
+    assert {r.lang_pred for r in rows if r.doc_id == 3} == {"und", min(model.languages)}
+    assert language_id.predict(clashing.limit(0), model).count() == 0
+
+
 def test_quality_held_out(spark):
     import random
 
