@@ -407,3 +407,19 @@ def test_url_ties_repeats_and_long_paths(spark):
     rows = [(7, "http://t.org/a", True)] * 3 + [(8, "http://t.org/" + "x" * 100_000, None), (None, "http://t.org/a", False), (9, "", None)]
     got = url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, bad boolean"), []).collect()
     assert len(got) == 6 and len({(r.template, r.verdict, r.bad_share) for r in got if r.path == "/a"}) == 1
+
+
+def test_quality_views_are_apart_and_odd_rows_are_fine(spark):
+    """The metadata view is blind to the text; repeated and null ids, nulls, a long text and clashing columns pass."""
+    import inspect
+
+    assert "raw" not in inspect.signature(quality.metadata).parameters
+    rows = [(k, "fine words here. " * (3 + k % 5) if k % 3 else "BUY!!! NOW!!! " * (3 + k % 4), "en" if k % 3 else "xx", f"s{k % 3}", 50 + k % 3) for k in range(240)]
+    rows += [(7, "fine words here. ", "en", "s1", 51)] * 120 + [(None, "fine words", None, None, None), (8000, "w " * 200_000, "en", "s1", 9), (8001, None, None, "s2", None), (8002, "", "en", None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({"good": F.lit("x"), "r": F.lit(1), "kept": F.lit("k"), "score": F.lit("s")})
+    labels = spark.createDataFrame([(k, int(k % 3 > 0)) for k in range(0, 240, 2)] + [(None, 1), (4, 0), (4, 1)], "doc_id long, good int")
+    model = quality.train(docs, labels)
+    got = quality.classify(docs, model).collect()
+    assert len(got) == len(rows) and len({r.score for r in got if r.doc_id == 8001}) == 1
+    assert np.mean([r.kept == bool(r.doc_id % 3) for r in got if r.doc_id is not None and r.doc_id < 240]) > 0.97
+    assert quality.train(docs.limit(0), labels) is None
