@@ -64,10 +64,13 @@ def _edge_key() -> Column:
 
 
 class T:
-    """A traversal: ``df`` has cur (place or value), bulk, and any carried path, labels, loop count and sack."""
+    """A traversal: ``df`` has cur (place or value), bulk, and any carried path, labels, loop count and sack.
 
-    def __init__(self, graph: Graph, df: DataFrame | None = None, kind: str = "", carry: tuple[str, ...] = ()):
-        self.graph, self.frame, self.kind, self.carry = graph, df, kind, carry
+    Inside a filter or a local step, ``starts`` holds the places that the walk set out from.
+    """
+
+    def __init__(self, graph: Graph, df: DataFrame | None = None, kind: str = "", carry: tuple[str, ...] = (), starts: DataFrame | None = None):
+        self.graph, self.frame, self.kind, self.carry, self.starts = graph, df, kind, carry, starts
 
     # Starts ---------------------------------------------------------------
     def V(self, *ids: str) -> T:
@@ -85,7 +88,7 @@ class T:
         return T(self.graph, df.withColumn("bulk", F.lit(1).cast("long")), kind)
 
     def _next(self, df: DataFrame, kind: str | None = None, carry: tuple[str, ...] | None = None) -> T:
-        return T(self.graph, df, self.kind if kind is None else kind, self.carry if carry is None else carry)
+        return T(self.graph, df, self.kind if kind is None else kind, self.carry if carry is None else carry, self.starts)
 
     def _merged(self) -> DataFrame:
         return self.frame.groupBy("cur", *self.carry).agg(F.sum("bulk").alias("bulk"))
@@ -125,7 +128,7 @@ class T:
     def _reached(self, sub: Callable[[T], T]) -> DataFrame:
         """Places from which a sub-traversal yields something; each place is tried once."""
         starts = self.frame.select("cur").distinct()
-        probe = T(self.graph, starts.withColumns({"bulk": F.lit(1).cast("long"), "_start": F.col("cur")}), self.kind, ("_start",))
+        probe = T(self.graph, starts.withColumns({"bulk": F.lit(1).cast("long"), "_start": F.col("cur")}), self.kind, ("_start",), starts.select(F.col("cur").alias("_start")))
         return sub(probe).frame.select(F.col("_start").alias("_hit")).distinct()
 
     def where(self, sub: Callable[[T], T]) -> T:
@@ -148,12 +151,20 @@ class T:
         return self._next(self.frame.where(test if same else ~test))
 
     def coin(self, p: float, seed: int = 0) -> T:
-        return self._next(self.frame.where(F.rand(seed) < p))
-
-    def dedup(self) -> T:
-        keep = tuple(c for c in self.carry if c == "_start")
-        others = [c for c in self.carry if c not in keep]
-        return self._next(self.frame.groupBy("cur", *keep).agg(F.lit(1).cast("long").alias("bulk"), *[F.min(c).alias(c) for c in others]))
+        """Each traverser stays with chance ``p``, by a hash of its place, history and number: repeatable under any partitioning."""
+        bits = F.pmod(F.xxhash64(F.lit(seed), *[F.col(c).cast("string") for c in ("cur", *self.carry)]), F.lit(1 << 40))
+        stay = lambda i: F.pmod(F.xxhash64(bits, i), F.lit(1 << 40)) < F.lit(int(p * (1 << 40)))
+        left = F.size(F.filter(F.sequence(F.lit(1).cast("long"), F.col("bulk")), stay)).cast("long")
+        return self._next(self.frame.withColumn("bulk", left).where("bulk > 0"))
+
+    def dedup(self, *labels: str) -> T:
+        """One traverser for each place, or for each combination of labelled places."""
+        keys = [f"as_{n}" for n in labels] or ["cur"]
+        keep = [c for c in self.carry if c == "_start" and c not in keys]
+        others = [c for c in ("cur", *self.carry) if c not in keys and c not in keep]
+        one = F.min(F.struct(*[F.col(c) for c in others])).alias("_o") if others else F.lit(None).alias("_o")
+        df = self.frame.groupBy(*keys, *keep).agg(one)
+        return self._next(df.select(*keys, *keep, *[F.col(f"_o.{c}").alias(c) for c in others], F.lit(1).cast("long").alias("bulk")))
 
     def simple_path(self) -> T:
         return self._next(self.frame.where(F.size(F.array_distinct("path")) == F.size("path")))
@@ -165,7 +176,7 @@ class T:
     def _hop(self, labels: tuple[str, ...], from_: str, to: str, element: str) -> T:
         e = self.graph.edges.where(F.col("label").isin(list(labels))) if labels else self.graph.edges
         e = e.select(F.col(from_).alias("_from"), (F.col(to) if element == "vertex" else _edge_key()).alias("_to"))
-        df = T(self.graph, self._merged(), self.kind, self.carry).frame.join(e, F.col("cur") == F.col("_from"))
+        df = self._merged().join(e, F.col("cur") == F.col("_from"))
         df = df.withColumn("cur", F.col("_to")).drop("_from", "_to")
         return self._step(df, element)
 
@@ -206,6 +217,21 @@ class T:
     def both_v(self) -> T:
         return self._next(self._end("src").frame.unionByName(self._end("dst").frame), "vertex")
 
+    def other_v(self, label: str) -> T:
+        """The end of the edge that is not the vertex labelled with ``as_(label)`` before it; both ends of a loop are that vertex."""
+        parts = F.split("cur", "\u0001")
+        return self._step(self.frame.withColumn("cur", F.when(parts[1] == F.col(f"as_{label}"), parts[2]).otherwise(parts[1])), "vertex")
+
+    def to_e(self, direction: str, *labels: str) -> T:
+        """``out``, ``in`` or ``both`` edges."""
+        return {"out": self.out_e, "in": self.in_e, "both": self.both_e}[direction](*labels)
+
+    def to_v(self, direction: str, *labels: str) -> T:
+        """``out``, ``in`` or ``both`` neighbours; on edges their ends."""
+        if self.kind == "edge":
+            return {"out": self.out_v, "in": self.in_v, "both": self.both_v}[direction]()
+        return {"out": self.out, "in": self.in_, "both": self.both}[direction](*labels)
+
     # Maps ---------------------------------------------------------------------
     def map(self, f: Callable[[Column], Column]) -> T:
         return self._next(self.frame.withColumn("cur", f(F.col("cur"))), "value")
@@ -234,6 +260,39 @@ class T:
         looked = self._look({"_p": F.create_map(*[x for k in keys for x in (F.lit(k), self._property(k).cast("string"))])})
         return self._next(looked.withColumn("cur", F.map_filter("_p", lambda k, v: v.isNotNull())).drop("_p"), "value")
 
+    def properties(self, *keys: str) -> T:
+        """One value for each set property: struct(element, key, value); without keys, all those of an edge or the text ones of a vertex."""
+        if self.kind == "edge" and not keys:
+            looked = self._look({"_p": F.transform(F.map_entries(F.coalesce("props", F.create_map().cast("map<string,string>"))), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))})
+        else:
+            names = keys or tuple(f.name for f in self.graph.vertices.schema if f.dataType.simpleString() == "string" and f.name not in ("vid", "label"))
+            looked = self._look({"_p": F.filter(F.array(*[F.struct(F.lit(k).alias("key"), self._property(k).cast("string").alias("value")) for k in names]), lambda x: x["value"].isNotNull())})
+        df = looked.withColumn("_e", F.col("cur")).withColumn("_x", F.explode("_p")).withColumn("cur", F.struct(F.col("_e").cast("string").alias("element"), F.col("_x.key").alias("key"), F.col("_x.value").alias("value")))
+        return T(self.graph, df.drop("_e", "_x", "_p"), "property:" + self.kind, self.carry, self.starts)
+
+    def property_map(self, *keys: str) -> T:
+        """Like ``value_map``, each value as struct(element, key, value)."""
+        return self.value_map(*keys)._keyed()
+
+    def _keyed(self) -> T:
+        return self.map(lambda c: F.transform_values(c, lambda k, v: F.struct(k.alias("key"), v.alias("value"))))
+
+    def element(self) -> T:
+        """From properties back to what has them."""
+        return self._next(self.frame.withColumn("cur", F.col("cur.element")), self.kind.removeprefix("property:"))
+
+    def key(self) -> T:
+        return self._next(self.frame.withColumn("cur", F.col("cur.key")), "value")
+
+    def value(self) -> T:
+        return self._next(self.frame.withColumn("cur", F.col("cur.value")), "value")
+
+    def has_key(self, *keys: str) -> T:
+        return self._next(self.frame.where(F.col("cur.key").isin(list(keys))))
+
+    def has_value(self, *values) -> T:
+        return self._next(self.frame.where(F.col("cur.value").isin(list(values))))
+
     def element_map(self, *keys: str) -> T:
         return self.value_map("id" if self.kind == "vertex" else "src", "label", *keys)
 
@@ -339,11 +398,19 @@ class T:
         df = self.frame.groupBy(*keep).agg(value.alias("cur"))
         return self._next(df.withColumn("bulk", F.lit(1).cast("long")), "value", tuple(keep))
 
+    def _for_all_starts(self, t: T, nothing: Column) -> T:
+        """A reducer's result also for places from which nothing was reached."""
+        if self.starts is None or not self._groups():
+            return t
+        full = self.starts.withColumnRenamed("_start", "_s").join(t.frame, F.col("_s").eqNullSafe(F.col("_start")), "left")
+        return t._next(full.select(F.col("_s").alias("_start"), F.coalesce("cur", nothing).alias("cur"), F.lit(1).cast("long").alias("bulk")))
+
     def count(self) -> T:
-        """Inside a filter, places without a result count zero, so ``count().is_(0)`` finds them."""
-        if not self._groups():
-            return self._reduce(F.coalesce(F.sum("bulk"), F.lit(0)))
-        return self._reduce(F.sum("bulk"))
+        """Inside a filter or local step, places without a result count zero, so ``count().is_(0)`` finds them."""
+        return self._for_all_starts(self._reduce(F.coalesce(F.sum("bulk"), F.lit(0))), F.lit(0))
+
+    def count_local(self) -> T:
+        return self.map(F.size)
 
     def sum(self) -> T:
         return self._reduce(F.sum(F.col("cur") * F.col("bulk")))
@@ -357,8 +424,37 @@ class T:
     def mean(self) -> T:
         return self._reduce(F.sum(F.col("cur") * F.col("bulk")) / F.sum("bulk"))
 
+    def sum_local(self) -> T:
+        return self.map(lambda c: F.aggregate(c, F.lit(0).cast("double"), lambda a, x: a + x))
+
+    def min_local(self) -> T:
+        return self.map(F.array_min)
+
+    def max_local(self) -> T:
+        return self.map(F.array_max)
+
+    def mean_local(self) -> T:
+        return self.map(lambda c: F.try_divide(F.aggregate(c, F.lit(0).cast("double"), lambda a, x: a + x), F.size(c)))
+
+    def order_local(self, desc: bool = False) -> T:
+        return self.map(lambda c: F.sort_array(c, not desc))
+
+    def limit_local(self, n: int) -> T:
+        return self.map(lambda c: F.slice(c, 1, n))
+
+    def range_local(self, a: int, b: int) -> T:
+        return self.map(lambda c: F.slice(c, a + 1, b - a))
+
+    def tail_local(self, n: int) -> T:
+        return self.map(lambda c: F.slice(c, F.greatest(F.size(c) - n + 1, F.lit(1)), F.lit(n)))
+
+    def dedup_local(self) -> T:
+        return self.map(F.array_distinct)
+
     def fold(self) -> T:
-        return self._reduce(F.sort_array(F.flatten(F.collect_list(F.array_repeat("cur", F.col("bulk").cast("int"))))))
+        """The values as one sorted list, each as often as it was reached. A list is one value: fold what is small, count what is not."""
+        t = self._reduce(F.sort_array(F.flatten(F.collect_list(F.array_repeat("cur", F.col("bulk").cast("int"))))))
+        return self._for_all_starts(t, F.array().cast(t.frame.schema["cur"].dataType))
 
     def unfold(self) -> T:
         return self._next(self.frame.withColumn("cur", F.explode("cur")), "value")
@@ -375,29 +471,68 @@ class T:
 
     # Order and slices --------------------------------------------------------------
     def order(self, key: str | None = None, desc: bool = False) -> T:
-        df = self.frame.withColumn("_o", F.col("cur")) if key is None else self._look({"_o": self._property(key)})
-        by = F.col("_o").desc_nulls_last() if desc else F.col("_o").asc_nulls_last()
-        return self._next(df.orderBy(by, F.col("cur").cast("string")).drop("_o"))
+        return self.order_by((key, desc))
 
-    def limit(self, n: int) -> T:
-        return self._next(self._spread().limit(n))
+    def order_by(self, *keys: tuple[str | None, bool]) -> T:
+        """By several (property or None for the value, descending); ties by place. The order outlasts later steps up to a reducer."""
+        df = self._look({f"_o{i}": self._property(k) for i, (k, _) in enumerate(keys) if k is not None}) if any(k is not None for k, _ in keys) else self.frame
+        by = [(F.col("cur") if k is None else F.col(f"_o{i}"), desc) for i, (k, desc) in enumerate(keys)]
+        return self._ranked(df, [*by, (F.col("cur").cast("string"), False)])
 
-    def skip(self, n: int) -> T:
-        return self._next(self._spread().offset(n))
+    def shuffle(self, seed: int = 0) -> T:
+        place = F.col("cur").cast("string")
+        return self._ranked(self.frame, [(F.xxhash64(F.lit(seed), place), False), (place, False)])
+
+    def _ranked(self, df: DataFrame, by: list[tuple[Column, bool]]) -> T:
+        names = [f"_sort{i}_{'desc' if desc else 'asc'}" for i, (_, desc) in enumerate(by)]
+        kept = [c for c in self.carry if not c.startswith("_sort")]
+        fresh = df.select("cur", "bulk", *kept, *[c.alias(n) for n, (c, _) in zip(names, by, strict=True)])
+        return self._next(fresh, carry=(*kept, *names))
+
+    def _sorted(self) -> DataFrame:
+        by = [F.col(c).desc_nulls_last() if c.endswith("desc") else F.col(c).asc_nulls_last() for c in self.carry if c.startswith("_sort")]
+        return self.frame.orderBy(*by) if by else self.frame
+
+    def _first(self, n: int) -> DataFrame:
+        """The first rows that hold ``n`` traversers, with ``_run``, the traversers up to and with each; there are at most n rows."""
+        rows = self._sorted().limit(min(n, (1 << 31) - 1)).withColumn("_n", F.monotonically_increasing_id())
+        return rows.withColumn("_run", F.sum("bulk").over(W.partitionBy(F.lit(1)).orderBy("_n")))
 
     def range_(self, a: int, b: int) -> T:
-        return self._next(self._spread().offset(a).limit(b - a))
+        """Traversers a to b, exclusive; rows are cut where their bulk crosses a bound and none is spread out."""
+        part = F.least(F.col("_run"), F.lit(b)) - F.greatest(F.col("_run") - F.col("bulk"), F.lit(a))
+        df = self._first(b).withColumn("bulk", part).where("bulk > 0")
+        return self._next(df.drop("_n", "_run"))
+
+    def limit(self, n: int) -> T:
+        return self.range_(0, n)
+
+    def skip(self, n: int) -> T:
+        """All but the first ``n`` traversers: the row that the bound cuts is found first, the rows before it are an offset."""
+        if n <= 0:
+            return self
+        cut = self._first(n).where(F.col("_run") <= n).agg(F.count("*").alias("rows"), F.coalesce(F.max("_run"), F.lit(0)).alias("held")).first()
+        rest = self._sorted().offset(cut["rows"])
+        if cut["held"] == n or cut["rows"] == 0 and rest.isEmpty():
+            return self._next(rest)
+        left = rest.limit(1).withColumn("bulk", F.col("bulk") - (n - cut["held"])).where("bulk > 0")
+        return self._next(left.unionByName(rest.offset(1)))
 
     def tail(self, n: int, key: str | None = None) -> T:
         return self.order(key, desc=True).limit(n).order(key)
 
-    def sample(self, n: int, seed: int = 0) -> T:
-        return self._next(self._spread().orderBy(F.rand(seed)).limit(n))
+    def sample(self, n: int, seed: int = 0, by: str | None = None) -> T:
+        """``n`` traversers without replacement, or all; ``by`` a numeric property that weighs places.
 
-    def _spread(self) -> DataFrame:
-        """One row a traverser."""
-        each = F.explode(F.array_repeat(F.lit(1).cast("long"), F.col("bulk").cast("int")))
-        return self.frame.withColumn("bulk", each) if self.kind != "spread" else self.frame
+        A place enters by its least exponential draw, scaled by bulk and weight,
+        and, once taken, by the next ones, at most n of them.
+        """
+        df = self.frame.withColumn("_w", F.lit(1.0)) if by is None else self._look({"_w": F.greatest(F.coalesce(self._property(by).cast("double"), F.lit(0.0)), F.lit(0.0))})
+        unit = lambda i: -F.log((F.pmod(F.xxhash64(F.lit(seed), F.col("cur").cast("string"), i), F.lit(1 << 40)) + 1) / float(1 << 40))
+        turns = F.sequence(F.lit(1).cast("long"), F.least(F.col("bulk"), F.lit(n).cast("long")))
+        keys = F.transform(turns, lambda i: F.aggregate(F.sequence(F.lit(1).cast("long"), i), F.lit(0.0), lambda acc, j: acc + unit(j) / (F.col("bulk") - j + 1)) / F.col("_w"))
+        drawn = df.where("_w > 0").withColumn("_k", F.explode(keys)).orderBy("_k", F.col("cur").cast("string")).limit(n).drop("_k", "_w").withColumn("bulk", F.lit(1).cast("long"))
+        return self._next(drawn)
 
     # Labels, paths, sacks -------------------------------------------------------------
     def as_(self, name: str) -> T:
@@ -438,6 +573,57 @@ class T:
     def _joined(self, other: T) -> T:
         return self._next(self.frame.unionByName(other.frame))
 
+    def choose_option(self, key: str, options: dict, otherwise: Callable[[T], T] | None = None) -> T:
+        """A walk for each value of a property; others, and those without it, take ``otherwise`` or stay."""
+        out = None
+        for value, sub in options.items():
+            part = sub(self.has(key, value))
+            out = part if out is None else out._joined(part)
+        rest = self._next(self._look({"_p": self._property(key)}).where(~F.coalesce(F.col("_p").isin(list(options)), F.lit(False))).drop("_p"))
+        return out._joined(otherwise(rest) if otherwise else rest)
+
+    def branch(self, *subs: Callable[[T], T]) -> T:
+        """All walks from every traverser; with tests inside the walks this is a switch."""
+        return self.union(*subs)
+
+    def local(self, sub: Callable[[T], T]) -> T:
+        """A walk whose reducers and slices work for each place by itself; every traverser of a place gets its results."""
+        starts = self.frame.select("cur").distinct()
+        probe = T(self.graph, starts.withColumns({"bulk": F.lit(1).cast("long"), "_start": F.col("cur")}), self.kind, ("_start",), starts.select(F.col("cur").alias("_start")))
+        found = sub(probe)
+        here = self.frame.select(F.col("cur").alias("_at"), F.col("bulk").alias("_b"), *self.carry)
+        df = found.frame.select("cur", "bulk", F.col("_start").alias("_from")).join(here, F.col("_from").eqNullSafe(F.col("_at")))
+        return T(self.graph, df.select("cur", (F.col("bulk") * F.col("_b")).alias("bulk"), *self.carry), found.kind, self.carry, self.starts)
+
+    def fail(self, message: str) -> T:
+        """An error as soon as a traverser gets here."""
+        return self._next(self.frame.where(F.raise_error(F.lit(message)).cast("boolean")))
+
+    def discard(self) -> T:
+        return self._next(self.frame.where(F.lit(False)))
+
+    def aggregate(self, collect: dict[str, DataFrame], name: str) -> T:
+        """Keep the values so far under a name in ``collect``; the walk goes on. ``cap`` reads them."""
+        held = self.frame.select(F.col("cur").alias("value"), "bulk")
+        collect[name] = held if name not in collect else collect[name].unionByName(held)
+        return self
+
+    def cap(self, collect: dict[str, DataFrame], name: str) -> DataFrame:
+        """(value, bulk) that ``aggregate`` kept, equal values together."""
+        return collect[name].groupBy("value").agg(F.sum("bulk").alias("bulk"))
+
+    def subgraph(self) -> Graph:
+        """The edges of an edge walk and the vertices at their ends, as a graph."""
+        e = self.graph.edges.join(self.frame.select("cur").distinct(), _edge_key() == F.col("cur"), "left_semi")
+        ends = e.select(F.col("src").alias("vid")).unionByName(e.select(F.col("dst").alias("vid"))).distinct()
+        return Graph(self.graph.vertices.join(ends, "vid", "left_semi"), e)
+
+    def tree(self) -> DataFrame:
+        """(depth, parent, node, n) of all paths so far: a tree level by level, equal beginnings merged. Needs ``with_path``."""
+        at = F.posexplode(F.transform(F.col("path"), lambda x, i: F.struct(F.slice(F.col("path"), F.lit(1), i).alias("parent"), x.alias("node"))))
+        rows = self.frame.select("bulk", at.alias("depth", "x")).select("bulk", "depth", "x.parent", "x.node")
+        return rows.groupBy("depth", "parent", "node").agg(F.sum("bulk").alias("n"))
+
     def optional(self, sub: Callable[[T], T]) -> T:
         return sub(self)._joined(self.not_(sub))
 
@@ -458,37 +644,54 @@ class T:
             t = t._next(t.frame.where(F.col("cur") == F.col(f"as_{b}"))) if held else t.as_(b)
         return t
 
-    def repeat(self, sub: Callable[[T], T], *, times: int | None = None, until: Callable[[T], T] | None = None, emit: bool = False, max_loops: int = 32) -> T:
-        """Walk ``sub`` again and again; ``until`` stops rows that meet it, ``emit`` keeps every stage.
+    def repeat(self, sub: Callable[[T], T], *, times: int | None = None, until: Callable[[T], T] | None = None, emit: bool = False, count_loops: bool = False, max_loops: int | None = None) -> T:
+        """Walk ``sub`` again and again; ``until`` takes out rows that meet it, ``emit`` keeps every stage.
 
-        Each round's rows are written and read back, so plans stay one round long;
-        without ``times`` the walk ends when no row is left, after ``max_loops`` at
-        most. For closures of unknown depth use the semi-naive one.
+        Without ``times`` the walk ends when no row is left, however many rounds
+        that takes; on a cycle it needs ``until``, ``simple_path`` or ``times``.
+        ``max_loops`` is a guard: rows that are still walking after so many rounds
+        are an error and never a shorter result. ``count_loops`` carries the round
+        as ``loops``. Each round's rows are written and read back, so plans stay
+        one round long. For closures of unknown depth use the semi-naive one.
         """
-        rest, out = self, None
-        for _ in range(times if times is not None else max_loops):
+        rest, out, rounds = self, None, 0
+        if count_loops:
+            rest = rest._next(rest.frame.withColumn("loops", F.lit(0)), carry=(*[c for c in rest.carry if c != "loops"], "loops"))
+        while times is None or rounds < times:
             rest = sub(rest)
-            rest = rest._next(settle(rest.frame))
+            if count_loops:
+                rest = rest._next(rest.frame.withColumn("loops", F.col("loops") + 1))
+            rest = rest._next(settle(rest._merged()))
+            rounds += 1
             if until is not None:
                 done = rest.where(until)
-                done = done._next(settle(done.frame))
                 out = done if out is None else out._joined(done)
                 rest = rest.not_(until)
-                rest = rest._next(settle(rest.frame))
             elif emit:
                 out = rest if out is None else out._joined(rest)
-            if times is None and rest.frame.isEmpty():
-                break
+            if out is not None and rounds % 16 == 0:
+                out = out._next(settle(out.frame))
+            if times is None:
+                if rest.frame.isEmpty():
+                    break
+                if max_loops is not None and rounds >= max_loops:
+                    raise RuntimeError(f"repeat: rows are still walking after {max_loops} rounds")
         return rest if out is None else out
 
+    def loops(self) -> T:
+        """The round in which a row left ``repeat(count_loops=True)``."""
+        return self._next(self.frame.withColumn("cur", F.col("loops")), "value")
+
     # Results -----------------------------------------------------------------------------
     @property
     def df(self) -> DataFrame:
         """(value, bulk) and carried columns."""
-        return self.frame.withColumnRenamed("cur", "value")
+        return self._sorted().withColumnRenamed("cur", "value").drop(*[c for c in self.carry if c.startswith("_sort")])
 
-    def to_list(self, limit: int = MAX_ROWS) -> list:
-        return [r[0] for r in self._spread().select("cur").limit(limit).collect()]
+    def to_list(self, limit: int | None = None) -> list:
+        """Values on the driver, each as often as it was reached; with ``limit`` only so many. The ad-hoc surface asks for ``MAX_ROWS``."""
+        few = self if limit is None else self.limit(limit)
+        return [r[0] for r in few._sorted().select("cur", "bulk").collect() for _ in range(r[1])]
 
     def explain(self) -> None:
         self.frame.explain("formatted")

@@ -160,3 +160,75 @@ def test_whole_part_graph(spark, tmp_path):
     assert {r.node: r.component for r in rows["connected_parts_whole"]} == {x: min(reached(x, both=True)) for x in nodes}
     assert {(r.start, r.node): r.hops for r in rows["shortest_hops_whole"]} == {(min(a for a, _ in pairs), y): h for y, h in reach[min(a for a, _ in pairs)].items()}
     assert {r.node: (r.fan_in, r.fan_out) for r in rows["fan_in_out_whole"]} == {x: (sum(b == x for _, b in pairs), sum(a == x for a, _ in pairs)) for x in nodes}
+
+
+def chain(spark, n):
+    v = spark.createDataFrame([tuple({"vid": f"n{k:03d}", "label": "Thread", "title": f"t{k}"}.get(c) for c in VERTEX.names) for k in range(n)], VERTEX)
+    e = spark.createDataFrame([("BLOCKS", f"n{k:03d}", f"n{k + 1:03d}", "Thread", "Thread", {"w": str(k)}) for k in range(n - 1)], EDGE)
+    return Graph(v, e)
+
+
+def test_repeat_goes_on_until_no_row_is_left(spark):
+    t = TR.T(chain(spark, 41))
+    assert t.V("n000").repeat(lambda x: x.out(), until=lambda x: x.has_id("n040")).to_list() == ["n040"]
+    with pytest.raises(RuntimeError, match="still walking"):
+        t.V("n000").repeat(lambda x: x.out(), until=lambda x: x.has_id("n040"), max_loops=10)
+    assert t.V("n030").repeat(lambda x: x.out(), until=lambda x: x.has_id("n040"), count_loops=True).loops().to_list() == [10]
+    assert sorted(t.V("n036").repeat(lambda x: x.out(), times=3, emit=True).to_list()) == ["n037", "n038", "n039"]
+
+
+def test_counting_zero(spark, graph):
+    """A place from which nothing is reached counts zero, in a filter and in a local walk."""
+    t = TR.T(graph)
+    assert t.V().has_label("Claim").where(lambda x: x.in_("CONTAINS").count().is_(0)).to_list() == ["scope:lit:claim:k1"]
+    assert sorted(t.V().has_label("Claim").local(lambda x: x.out("SOLVED_BY").count()).to_list()) == [0, 0, 1]
+    assert sorted(map(len, t.V().has_label("Claim").local(lambda x: x.out("TOUCHES").fold()).to_list())) == [0, 0, 1]
+    assert t.V().has_label("Thread").where(lambda x: x.out().count().is_(TR.gt(0))).to_list() == []
+
+
+def test_slices_cut_bulk_and_do_not_spread_it(spark):
+    t = TR.T(chain(spark, 6)).V("n002")
+    for _ in range(4):
+        t = t.both()
+    values = t.order().to_list()
+    assert len(values) == 13 and len(values) > len(set(values))
+    ordered = t.order()
+    for a, b in ((0, 3), (2, 9), (5, 5), (0, 100), (12, 20)):
+        assert ordered.range_(a, b).to_list() == values[a:b]
+    for n in (0, 1, 4, 7, 14, 50):
+        assert ordered.skip(n).to_list() == values[n:]
+        assert ordered.limit(n).to_list() == values[:n]
+    assert t.tail(3).to_list() == values[-3:] and t.to_list(limit=5).__len__() == 5
+    huge = t._next(t.frame.withColumn("bulk", F.lit(1 << 40).cast("long")))
+    assert huge.order().limit(1 << 33).count().to_list() == [1 << 33] and len(huge.sample(7).to_list()) == 7
+    picked = [t.sample(5, seed=s).to_list() for s in range(30)]
+    assert all(len(p) == 5 for p in picked) and len({tuple(sorted(p)) for p in picked}) > 3
+    kept = sum(len(t.coin(0.5, seed=s).to_list()) for s in range(20))
+    assert 90 < kept < 190 and t.coin(0.3, 4).to_list() == t.coin(0.3, 4).to_list()
+
+
+def test_branches_side_effects_and_properties(graph, spark):
+    t, held = TR.T(graph), {}
+    s = "scope:main:session:s1"
+    kinds = t.V().has_label("Claim").choose_option("kind", {"problem": lambda x: x.out("SOLVED_BY"), "solution": lambda x: x.in_("SOLVED_BY")})
+    assert sorted(kinds.to_list()) == ["scope:lit:claim:k1", "scope:main:claim:c1", "scope:main:claim:c2"]
+    assert t.V(s).out("CONTAINS").aggregate(held, "x").out("SOLVED_BY").aggregate(held, "x").to_list() == ["scope:main:claim:c2"]
+    assert {(r.value, r.bulk) for r in t.cap(held, "x").collect()} == {("scope:main:claim:c1", 1), ("scope:main:claim:c2", 2)}
+    sub = t.E().has("label", "CONTAINS").subgraph()
+    assert sub.vertices.count() == 3 and sub.edges.count() == 2
+    tree = t.V(s).with_path().out().out().tree()
+    assert {(r.depth, r.node, r.n) for r in tree.collect()} == {(0, s, 2), (1, "scope:main:claim:c1", 2), (2, "scope:main:claim:c2", 1), (2, "artifact:src/a.py", 1)}
+    props = t.V("scope:lit:claim:k1").properties("kind", "description", "title")
+    assert sorted(props.key().to_list()) == ["description", "kind"] and props.has_key("kind").value().to_list() == ["paper/x"]
+    assert props.has_value("Cache theory").element().label().to_list() == ["Claim"]
+    assert t.V().has_label("Artifact").in_e("TOUCHES").properties().value().to_list() == ["m1,m2"]
+    assert t.V("scope:lit:claim:k1").property_map("kind").to_list()[0]["kind"]["value"] == "paper/x"
+    assert t.V("scope:main:claim:c2").as_("a").both_e("SOLVED_BY").other_v("a").to_list() == ["scope:main:claim:c1"]
+    assert t.V(s).to_e("out", "CONTAINS").to_v("in").order_by(("kind", True), (None, False)).values("kind").to_list() == ["solution", "problem"]
+    assert t.inject("b a b", "c").split(" ").dedup_local().order_local().limit_local(1).unfold().to_list() == ["a", "c"]
+    assert t.inject(3, 1).fold().count_local().to_list() == [2] and t.inject(3.0, 1.0).fold().mean_local().to_list() == [2.0]
+    two = t.V(s).as_("s").out("CONTAINS").as_("c")
+    assert len(two.dedup("s").to_list()) == 1 and len(two.dedup("s", "c").to_list()) == 2
+    assert t.V(s).discard().to_list() == []
+    with pytest.raises(Exception, match="stop here"):
+        t.V(s).fail("stop here").to_list()
