@@ -158,23 +158,40 @@ def reconcile_entities(batches: DataFrame) -> DataFrame:
     return out.withColumn("entities", F.array_intersect("entities", F.array_distinct(F.flatten(F.transform("claims", lambda c: c["entities"])))))
 
 
-def ingress_floor(claims: DataFrame, external: DataFrame, *, text: str = "description", group: str = "session", verifiable: bool = True) -> DataFrame:
-    """Tier 2 for claims that are marked or echo the session's external texts; never a rise in trust.
+#: External tokens up to which they are broadcast; they are counted first.
+MOST_TOKENS = 200_000
 
-    An echo has min(terms, 2) of the claim's terms among the external tokens and
-    three tenths of them. Terms meet tokens in an equi-join. If the format cannot
-    carry tool results, everything is floored.
+
+def echoes(own: DataFrame, external: DataFrame, *, key: str, text: str, group: str | None = None, stop: tuple[str, ...] = ()) -> DataFrame:
+    """(key, n, matched, echo): how many of a text's distinct compound terms the external texts (of its group) hold.
+
+    An echo has min(terms, 2) of them and three tenths. Few external tokens are
+    broadcast, so that the only rows shuffled are one count a text; more of them
+    meet the terms in an equi-join.
+    """
+    by = [group] if group else []
+    kept = F.filter(compound_tokens(F.col(text)), lambda t: (F.length(t) > 2) & ~t.isin(list(stop)) if stop else F.length(t) > 2)
+    terms = own.select(key, *by, F.explode(kept).alias("tok"))
+    tokens = external.select(*by, F.explode(compound_tokens(F.col("text"))).alias("tok")).distinct().withColumn("_in", F.lit(1))
+    if tokens.limit(MOST_TOKENS + 1).count() <= MOST_TOKENS:
+        tokens = F.broadcast(tokens)
+    n = terms.join(tokens, [*by, "tok"], "left").groupBy(key).agg(F.count("*").alias("n"), F.count("_in").alias("matched"))
+    return n.withColumn("echo", (F.col("matched") >= F.least("n", F.lit(MIN_TERMS))) & (F.col("matched") / F.col("n") >= MIN_RATIO))
+
+
+def ingress_floor(claims: DataFrame, external: DataFrame, *, text: str = "description", group: str | None = "session", verifiable: bool = True, key: str = "claim_id", stop: tuple[str, ...] = ()) -> DataFrame:
+    """Tier 2 for claims that are marked or echo the (session's) external texts; never a rise in trust.
+
+    If the format cannot carry tool results, everything is floored.
     """
     reason = "transcript-ingress" if verifiable else "transcript-ingress-unverifiable"
     if not verifiable:
         hit = claims.withColumn("_echo", F.lit(True))
     else:
-        own = claims.select("claim_id", group, F.explode(F.filter(compound_tokens(F.col(text)), lambda t: F.length(t) > 2)).alias("tok"))
-        tokens = external.select(group, F.explode(compound_tokens(F.col("text"))).alias("tok")).distinct().withColumn("_in", F.lit(1))
-        n = own.join(tokens, [group, "tok"], "left").groupBy("claim_id").agg(F.count("*").alias("_n"), F.count("_in").alias("_m"))
-        echo = (F.col("_m") >= F.least(F.lit(MIN_TERMS), F.col("_n"))) & (F.col("_m") / F.col("_n") >= MIN_RATIO)
-        hit = claims.join(n.select("claim_id", echo.alias("_echo")), "claim_id", "left").withColumn("_echo", F.coalesce("_echo", F.lit(False)) | F.coalesce("external", F.lit(False)))
-    return hit.select(*[c for c in claims.columns if c not in ("tier", "external", "source")], F.when(F.col("_echo"), F.greatest("tier", F.lit(2))).otherwise(F.col("tier")).alias("tier"), (F.col("_echo") | F.coalesce("external", F.lit(False))).alias("external"), F.when(F.col("_echo"), F.concat(F.lit("session:"), F.col(group), F.lit(f"#{reason}"))).otherwise(F.col("source")).alias("source"))
+        n = echoes(claims, external, key=key, text=text, group=group, stop=stop).select(F.col(key).alias("_key"), F.col("echo").alias("_echo"))
+        hit = claims.join(n, F.col(key) == F.col("_key"), "left").drop("_key").withColumn("_echo", F.coalesce("_echo", F.lit(False)) | F.coalesce("external", F.lit(False)))
+    origin = F.concat(F.lit("session:"), F.col(group) if group else F.lit(""), F.lit(f"#{reason}"))
+    return hit.select(*[c for c in claims.columns if c not in ("tier", "external", "source")], F.when(F.col("_echo"), F.greatest("tier", F.lit(2))).otherwise(F.col("tier")).alias("tier"), (F.col("_echo") | F.coalesce("external", F.lit(False))).alias("external"), F.when(F.col("_echo"), origin).otherwise(F.col("source")).alias("source"))
 
 
 def consultation_refusals(answers: DataFrame, v: DataFrame, e: DataFrame) -> DataFrame:

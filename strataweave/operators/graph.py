@@ -9,25 +9,38 @@ from ..functions.ids import crosses_scope
 from .iterate import settle
 
 
+#: Rounds of single steps before a closure doubles its reach each round.
+STEPS = 8
+
+
 def closure(edges: DataFrame, nodes: DataFrame | None = None, *, src: str = "src", dst: str = "dst", max_depth: int | None = None) -> DataFrame:
     """(src, dst, depth) of the reflexive transitive closure with the least depth.
 
-    Semi-naive: each round joins only the pairs found last with the edges, and
-    drops those already known. Cycles end because no new pair appears. The
-    result is as large as the reachability relation itself.
+    Semi-naive for the first ``STEPS`` rounds: each joins only the pairs found last
+    with the edges. From then on a round doubles the depth: a shortest path of d to
+    2d steps begins with one of exactly d steps, so the pairs at depth d meet all
+    known ones. Long chains end after a logarithm of their length in rounds. Cycles
+    end because no new pair appears. The result is as large as the reachability
+    relation itself.
     """
     step = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src is not null and dst is not null").distinct()
     ends = nodes.select(F.col(nodes.columns[0]).alias("src")) if nodes is not None else step.select("src").unionByName(step.select(F.col("dst").alias("src")))
     known = settle(ends.where("src is not null").distinct().select("src", F.col("src").alias("dst"), F.lit(0).alias("depth")))
     step, delta, depth = settle(step), known, 0
     while max_depth is None or depth < max_depth:
-        depth += 1
-        hop = delta.select("src", F.col("dst").alias("mid")).join(step.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").distinct()
-        delta = settle(hop.join(known.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth)))
+        if depth < STEPS:
+            reach = 1
+            hop = delta.select("src", F.col("dst").alias("mid"), F.lit(depth).alias("far")).join(step.select(F.col("src").alias("mid"), "dst", F.lit(1).alias("near")), "mid")
+        else:
+            reach = depth if max_depth is None else min(depth, max_depth - depth)
+            hop = known.where(F.col("depth") == depth).select("src", F.col("dst").alias("mid"), F.col("depth").alias("far")).join(known.where(F.col("depth").between(1, reach)).select(F.col("src").alias("mid"), "dst", F.col("depth").alias("near")), "mid")
+        found = hop.groupBy("src", "dst").agg(F.min(F.col("far") + F.col("near")).cast("int").alias("depth"))
+        delta = settle(found.join(known.select("src", "dst"), ["src", "dst"], "left_anti"))
+        depth += reach
         if delta.isEmpty():
             break
         known = known.unionByName(delta)
-        if depth % 8 == 0:
+        if depth >= STEPS:
             known = settle(known)
     return known
 
@@ -128,6 +141,29 @@ def fork_roots(rows: DataFrame, *, node: str, parent: str) -> DataFrame:
     return out.select("node", F.when(F.col("true_root"), F.col("up")).otherwise(F.col("up_low")).alias("root"))
 
 
+def corroboration(rows: DataFrame, *, node: str, parent: str, group: str) -> DataFrame:
+    """(group, asserted, independent, corroborated): a group's witnesses, and their distinct roots once forks fall together."""
+    joined = rows.select(F.col(group), F.col(node).alias("node")).join(fork_roots(rows, node=node, parent=parent), "node")
+    return joined.groupBy(group).agg(F.count("*").alias("asserted"), F.count_distinct("root").alias("independent")).withColumn("corroborated", F.col("independent") > 1)
+
+
+def unanimous(rows: DataFrame, *, key: str, value: str) -> DataFrame:
+    """(key, value, n): the one value on which all rows of a key agree, else an empty string; agreement is least = greatest, so nothing is listed."""
+    g = rows.groupBy(key).agg(F.min(value).alias("_a"), F.max(value).alias("_b"), F.count("*").alias("n"))
+    return g.select(key, F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise("").alias("value"), "n")
+
+
+def identity_audit(rows: DataFrame, *, content: str, name: str) -> DataFrame:
+    """(content, spellings, projects, names) of contents that stand under several names."""
+    g = rows.groupBy(content).agg(F.count("*").alias("spellings"), F.array_sort(F.collect_set(name)).alias("_s"))
+    return g.where(F.size("_s") > 1).select(content, "spellings", F.size("_s").cast("long").alias("projects"), F.array_join("_s", ",").alias("names"))
+
+
+def value_verdicts(rows: DataFrame, *, value: str, confirmed: Column, strong: Column | None = None) -> DataFrame:
+    """(value, tested, confirmed, disproved): a value is disproved if it was tested and never confirmed (strongly, where asked)."""
+    return rows.groupBy(F.col(value).alias("value")).agg(F.count("*").alias("tested"), F.count_if(confirmed).alias("confirmed"), (~F.bool_or(F.coalesce(confirmed if strong is None else confirmed & strong, F.lit(False)))).alias("disproved"))
+
+
 def lineage_heads(nodes: DataFrame, supersedes: DataFrame, *, node: str, key: str, at: str, src: str = "src", dst: str = "dst") -> DataFrame:
     """(key, head): of the nodes that nothing supersedes, each key's newest, ties to the greatest id."""
     free = nodes.join(supersedes.select(F.col(dst).alias(node)).distinct(), node, "left_anti")

@@ -6,28 +6,43 @@ no task sees more than one bucket of one key at a time.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 from pyspark.sql.window import Window as W
 
-#: Rows up to which a dimension table is broadcast into a nested-loop join, after counting it.
-BROADCAST_ROWS = 10_000
+from .iterate import settle
+
+#: Names and their characters together up to which one automaton holds them all; both are counted first.
+BROADCAST_ROWS, MOST_CHARS = 10_000, 4_000_000
+#: Rows that a time range of an as-of join without a key holds on average, and the most ranges.
+RANGE_ROWS, MOST_RANGES = 100_000, 8_192
 
 
 def as_of_join(left: DataFrame, right: DataFrame, *, left_ts: str, right_ts: str, value: str, by: Sequence[str] = (), bucket: str = "day", default: str | None = None) -> DataFrame:
     """Adds ``value`` of the last right row at or before the left row's time, else ``default``.
 
     Equal times take the greatest value. Inside a bucket a window finds the last
-    row; what earlier buckets hand on is one value for each (key, bucket).
+    row; what earlier buckets hand on is one value for each (key, bucket). With
+    keys a bucket is a span of time. Without keys that could put everything into
+    a few tasks, so buckets then are ranges of equal size: the rows of both sides
+    are range-partitioned by time once and written to the shared folder.
     """
     by = list(by)
     held = F.struct(F.col(value).alias("v"))
     sides = left.withColumns({"_t": F.col(left_ts), "_side": F.lit(1), "_held": F.lit(None).cast(right.select(held.alias("h")).schema["h"].dataType)})
     given = right.where(F.col(right_ts).isNotNull()).select(*by, F.col(right_ts).alias("_t"), F.lit(0).alias("_side"), held.alias("_held"))
-    both = sides.unionByName(given, allowMissingColumns=True).withColumn("_bucket", F.date_trunc(bucket, "_t"))
-    inside = W.partitionBy(*by, "_bucket").orderBy("_t", "_side", F.col("_held.v")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    both = sides.unionByName(given, allowMissingColumns=True)
+    order = ["_t", "_side", F.col("_held.v")]
+    if by:
+        both = both.withColumn("_bucket", F.date_trunc(bucket, "_t"))
+    else:
+        ranges = max(1, min(MOST_RANGES, both.count() // RANGE_ROWS))
+        both = settle(both.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(ranges, *order, "_row").withColumn("_bucket", F.spark_partition_id()))
+    inside = W.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     both = both.withColumn("_near", F.last("_held", ignorenulls=True).over(inside))
     ends = both.groupBy(*by, "_bucket").agg(F.max_by("_held", F.when(F.col("_side") == 0, F.struct("_t", F.col("_held.v")))).alias("_end"))
     before = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
@@ -36,7 +51,8 @@ def as_of_join(left: DataFrame, right: DataFrame, *, left_ts: str, right_ts: str
     for i, c in enumerate(by):
         on = on & F.col(c).eqNullSafe(F.col(f"_k{i}"))
     out = both.where("_side = 1").join(carry, on, "left")
-    found = F.coalesce("_near", "_carry")
+    # A null time compares with nothing.
+    found = F.when(F.col("_t").isNotNull(), F.coalesce("_near", "_carry"))
     result = F.when(found.isNotNull(), found["v"]).otherwise(F.lit(default)) if default is not None else found["v"]
     return out.select(*left.columns, result.alias(value))
 
@@ -44,18 +60,23 @@ def as_of_join(left: DataFrame, right: DataFrame, *, left_ts: str, right_ts: str
 def interval_join(calls: DataFrame, spans: DataFrame, *, key: str, at: str, start: str, end: str, span_id: str, call_id: Sequence[str], bucket: str = "day") -> DataFrame:
     """Left join of each call to the innermost span of its key that contains it: the last started, then the greatest id.
 
-    A null end is open. Spans are listed once for each bucket that they cover
-    within the range of the calls, so the join itself is an equality.
+    A null end is open: of the open spans only the last started before a call can
+    be its innermost, which an as-of join finds. Closed spans are listed once for
+    each bucket that they cover, so their join is an equality; a call keeps one of
+    them, found by a maximum that combines before it is shuffled.
     """
-    ceiling = calls.agg(F.max(at)).first()[0]
-    until = F.coalesce(F.col(end), F.lit(ceiling).cast(spans.schema[start].dataType))
     step = F.expr(f"INTERVAL 1 {bucket.upper()}")
-    covered = F.when(F.date_trunc(bucket, until) >= F.date_trunc(bucket, start), F.sequence(F.date_trunc(bucket, start), F.date_trunc(bucket, until), step))
-    listed = spans.withColumn("_bucket", F.explode(covered)).select(F.col(key).alias("_key"), "_bucket", F.col(start).alias("_start"), F.col(end).alias("_end"), F.col(span_id).alias(span_id))
-    hit = (F.col(key) == F.col("_key")) & (F.date_trunc(bucket, at) == F.col("_bucket")) & (F.col("_start") <= F.col(at)) & (F.col("_end").isNull() | (F.col(at) <= F.col("_end")))
-    joined = calls.join(listed, hit, "left")
-    inner = joined.groupBy(*call_id).agg(F.max_by(span_id, F.struct("_start", span_id)).alias("_pick"))
-    return calls.join(inner.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(call_id)], F.col("_pick").alias(span_id)), [F.col(c) == F.col(f"_c{i}") for i, c in enumerate(call_id)], "left").drop(*[f"_c{i}" for i in range(len(call_id))])
+    shut = spans.where(F.col(end) >= F.col(start))
+    covered = F.sequence(F.date_trunc(bucket, start), F.date_trunc(bucket, end), step)
+    listed = shut.select(F.col(key).alias("_key"), F.explode(covered).alias("_bucket"), F.col(start).alias("_start"), F.col(end).alias("_end"), F.col(span_id).alias("_span"))
+    hit = (F.col(key) == F.col("_key")) & (F.date_trunc(bucket, at) == F.col("_bucket")) & (F.col("_start") <= F.col(at)) & (F.col(at) <= F.col("_end"))
+    ids = [F.col(c).alias(f"_c{i}") for i, c in enumerate(call_id)]
+    names = [f"_c{i}" for i in range(len(call_id))]
+    inner = calls.join(listed, hit).groupBy(*ids).agg(F.max(F.struct(F.col("_start").alias("s"), F.col("_span").alias("i"))).alias("_shut"))
+    opened = spans.where(F.col(end).isNull() & F.col(start).isNotNull()).select(key, F.col(start).alias("_os"), F.struct(F.col(start).alias("s"), F.col(span_id).alias("i")).alias("_open"))
+    both = as_of_join(calls, opened, left_ts=at, right_ts="_os", value="_open", by=[key], bucket=bucket)
+    joined = both.join(inner, [F.col(c) == F.col(n) for c, n in zip(call_id, names, strict=True)], "left")
+    return joined.select(*calls.columns, F.greatest("_shut", "_open")["i"].alias(span_id))
 
 
 def followed_later(rows: DataFrame, *, key: str, at: str, is_event: Column, class_col: str, expected: dict[str, Sequence[str] | None], tool_col: str) -> DataFrame:
@@ -76,18 +97,36 @@ def followed_later(rows: DataFrame, *, key: str, at: str, is_event: Column, clas
 def rescued(blocks: DataFrame, passes: DataFrame, *, key: str, pos: str, prints: str, least: int = 2) -> DataFrame:
     """Blocks plus ``rescued``: a later pass of the key shares min(least, size) entries of the block's fingerprint.
 
-    Matching goes by exploded entries; a block without entries needs any later pass.
+    A pass is listed under each combination of so many of its distinct entries,
+    with the key's last place for each: a block is rescued if one of its own
+    combinations has a later place. So passes meet in maxima and no block is
+    compared with every later pass. A block without entries needs any later pass.
     """
-    wanted = blocks.select(F.col(key).alias("_k"), F.col(pos).alias("_p"), F.size(F.array_distinct(prints)).alias("_n"), F.explode_outer(F.array_distinct(prints)).alias("_x"))
-    given = passes.select(F.col(key).alias("_k2"), F.col(pos).alias("_p2"), F.explode(F.array_distinct(prints)).alias("_x2"))
-    shared = wanted.where("_n > 0").join(given, (F.col("_k") == F.col("_k2")) & (F.col("_x") == F.col("_x2")) & (F.col("_p2") > F.col("_p")))
-    full = shared.groupBy("_k", "_p", "_p2", "_n").agg(F.count("*").alias("_m")).where(F.col("_m") >= F.least(F.lit(least), F.col("_n"))).select("_k", "_p").distinct()
-    ends = passes.groupBy(F.col(key).alias("_k2")).agg(F.max(pos).alias("_last"))
-    bare = wanted.where("_n <= 0").join(ends, F.col("_k") == F.col("_k2")).where("_last > _p").select("_k", "_p").distinct()
-    hits = full.unionByName(bare).withColumn("rescued", F.lit(True))
+    own = blocks.select(F.col(key).alias("_k"), F.col(pos).alias("_p"), F.array_sort(F.array_distinct(prints)).alias("_f")).distinct()
+    given = passes.select(F.col(key).alias("_k"), F.col(pos).alias("_p"), F.array_sort(F.array_distinct(prints)).alias("_f"))
+    last = None
+    for n in range(0, least + 1):
+        part = given.select("_k", "_p", F.explode(combinations(F.col("_f"), n)).alias("_x")).groupBy("_k", "_x").agg(F.max("_p").alias("_last"))
+        last = part if last is None else last.unionByName(part)
+    need = F.least(F.size("_f"), F.lit(least))
+    chosen = F.when(need == 0, combinations(F.col("_f"), 0))
+    for n in range(1, least + 1):
+        chosen = chosen.when(need == n, combinations(F.col("_f"), n))
+    tries = own.select("_k", "_p", F.explode(chosen).alias("_x")).join(last, ["_k", "_x"]).where("_last > _p")
+    hits = tries.select("_k", "_p").distinct().withColumn("rescued", F.lit(True))
     return blocks.join(hits, (F.col(key) == F.col("_k")) & (F.col(pos) == F.col("_p")), "left").drop("_k", "_p").withColumn("rescued", F.coalesce("rescued", F.lit(False)))
 
 
+def combinations(items: Column, n: int) -> Column:
+    """All combinations of ``n`` items of a sorted array, as arrays in its order; one empty array for none."""
+    if n == 0:
+        return F.array(F.slice(items, 1, 0))
+    if n == 1:
+        return F.transform(items, lambda x: F.array(x))
+    shorter = combinations(items, n - 1)
+    return F.flatten(F.transform(shorter, lambda c: F.transform(F.filter(items, lambda x: x > F.element_at(c, -1)), lambda x: F.concat(c, F.array(x)))))
+
+
 def path_prefixes(path: Column) -> Column:
     """All directory prefixes of a path on ``/`` boundaries, the path itself included."""
     parts = F.split(path, "/")
@@ -108,26 +147,53 @@ def longest_affix(left: DataFrame, right: DataFrame, *, path: str, affix: str, r
     return hits.groupBy(row_id, path).agg(F.max_by("_affix", F.length("_affix")).alias(affix))
 
 
+def _finder(names: list[str]) -> Callable[[Column], Column]:
+    """Which of the names a text contains, each once, by one pass over the text."""
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def find(text: pd.Series) -> pd.Series:
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        for name in names:
+            machine.add_word(name, name)
+        machine.make_automaton()
+        return text.map(lambda x: [] if x is None else sorted({name for _, name in machine.iter(x)}))
+
+    return find
+
+
 def contains_join(texts: DataFrame, names: DataFrame, *, text: str, name: str, gram: int = 8) -> DataFrame:
-    """Pairs where the lower-cased text contains the lower-cased name.
+    """Pairs where the lower-cased text contains the lower-cased name; null and empty names match nothing.
 
-    Up to ``BROADCAST_ROWS`` names, counted first, are broadcast. More of them
-    meet the texts through one gram of each name, which is an equi-join.
+    Names that an automaton can hold, counted first, are found by one pass over
+    each text. More of them meet the texts through one gram of each name, which is
+    an equi-join. No text is compared with every name.
     """
     names = names.where(F.col(name).isNotNull() & (F.col(name) != ""))
-    hit = F.contains(F.lower(text), F.lower(name))
-    if names.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        return texts.join(F.broadcast(names), hit)
+    keyed = names.withColumn("_low", F.lower(name))
+    size = keyed.select("_low").limit(BROADCAST_ROWS + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("_low")), F.lit(0)).alias("chars")).first()
+    if size["n"] <= BROADCAST_ROWS and size["chars"] <= MOST_CHARS:
+        if size["n"] == 0:
+            return texts.join(names, F.lit(False))
+        held = [r[0] for r in keyed.select("_low").distinct().collect()]
+        found = texts.withColumn("_low", F.explode(_finder(held)(F.lower(text))))
+        # As many rows as the automaton has names, at most.
+        return found.join(F.broadcast(keyed), "_low").drop("_low")
     low = F.lower(text)
-    keyed = names.withColumn("_gram", F.substring(F.lower(name), 1, gram))
-    short = keyed.where(F.length("_gram") < gram).drop("_gram")
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - gram + 1, F.lit(1))), lambda i: F.substr(low, i, F.lit(gram))))
-    long_ = texts.withColumn("_gram", F.explode(grams)).join(keyed.where(F.length("_gram") == gram), "_gram").where(hit).drop("_gram")
-    if short.isEmpty():
-        return long_
-    tokens = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(gram - 1)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - n + 1, F.lit(1))), lambda i: F.substr(low, i, n)))))
-    small = texts.withColumn("_gram", F.explode(tokens)).join(short.withColumn("_gram", F.lower(name)), "_gram").drop("_gram")
-    return long_.unionByName(small.select(*long_.columns))
+    hit = F.contains(low, F.col("_low"))
+    keyed = keyed.withColumn("_gram", F.substring("_low", 1, gram))
+    short = keyed.where(F.length("_gram") < gram)
+
+    def pieces(n: int) -> Column:
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - n + 1, F.lit(1))), lambda i: F.substr(low, i, F.lit(n))))
+
+    out = texts.withColumn("_gram", F.explode(pieces(gram))).join(keyed.where(F.length("_gram") == gram), "_gram").where(hit).drop("_gram", "_low")
+    sizes = [r[0] for r in short.select(F.length("_gram")).distinct().collect()]
+    for n in sorted(sizes):
+        small = texts.withColumn("_gram", F.explode(pieces(n))).join(short.where(F.length("_gram") == n), "_gram").drop("_gram", "_low")
+        out = out.unionByName(small.select(*out.columns))
+    return out
 
 
 def unique_in_window(left: DataFrame, right: DataFrame, *, by: Sequence[str], left_ts: str, right_ts: str, seconds: int, left_id: str, right_id: str) -> DataFrame:

@@ -11,113 +11,84 @@ from .registry import Tables, query
 
 
 def _part_edges(t: Tables):
-    """Parts that follow each other within an order, for orders of the first thousand keys."""
-    lines = t.lineitem.where("l_orderkey < 1000").select("l_orderkey", "l_linenumber", "l_partkey")
+    """Parts that follow each other within an order."""
     w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
-    return lines.select((F.col("l_partkey") % 400).alias("src"), (F.lead("l_partkey").over(w) % 400).alias("dst")).where("dst IS NOT NULL AND src % 3 = 0 AND src <> dst").distinct()
+    return t.lineitem.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst")).where("dst IS NOT NULL AND src <> dst").distinct()
+
 
+def _last_followers(t: Tables):
+    """Each part's follower in the greatest order that has one: a sparse graph of long chains that end in cycles."""
+    w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    pairs = t.lineitem.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst")).where("dst IS NOT NULL AND src <> dst")
+    return pairs.groupBy("src").agg(F.max_by("dst", F.struct("l_orderkey", "l_linenumber")).alias("dst"))
 
-_EDGES = """SELECT DISTINCT src, dst FROM (SELECT l_partkey % 400 AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) % 400 AS dst FROM lineitem WHERE l_orderkey < 1000) WHERE dst IS NOT NULL AND src % 3 = 0 AND src <> dst"""
-_REACH = f"WITH RECURSIVE e AS ({_EDGES}), r AS (SELECT src, src AS dst FROM e UNION SELECT dst, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src)"
+
+_PAIRS = "SELECT l_orderkey, l_linenumber, l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst FROM lineitem"
+_EDGES = f"SELECT DISTINCT src, dst FROM ({_PAIRS}) WHERE dst IS NOT NULL AND src <> dst"
+_FOLLOWS = f"SELECT src, arg_max(dst, {{'o': l_orderkey, 'l': l_linenumber}}) AS dst FROM ({_PAIRS}) WHERE dst IS NOT NULL AND src <> dst GROUP BY src"
+_REACH = f"WITH RECURSIVE e AS ({_FOLLOWS}), r AS (SELECT src, src AS dst FROM e UNION SELECT dst, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src)"
 
 
 @query(f"{_REACH} SELECT src, count(*) AS reachable FROM r GROUP BY src")
 def closure_reach(t):
-    return G.closure(_part_edges(t)).groupBy("src").agg(F.count("*").alias("reachable"))
+    return G.closure(_last_followers(t)).groupBy("src").agg(F.count("*").alias("reachable"))
 
 
 @query(f"{_REACH} SELECT a.src AS node, min(a.dst) AS component, count(*) AS size FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src HAVING count(*) > 1")
 def scc_groups(t):
-    return G.strong_components(G.closure(_part_edges(t)))
+    return G.strong_components(G.closure(_last_followers(t)))
 
 
 @query(f"{_REACH} SELECT count(*) AS pairs, count(DISTINCT src) AS modules, count(*) / (count(DISTINCT src) * count(DISTINCT src)) AS propagation_cost FROM r")
 def propagation_cost(t):
-    reach = G.closure(_part_edges(t))
-    return reach.agg(F.count("*").alias("pairs"), F.count_distinct("src").alias("modules")).withColumn("propagation_cost", F.col("pairs") / (F.col("modules") * F.col("modules")))
-
-
-@query(f"""
-WITH RECURSIVE e AS ({_EDGES}), b AS (SELECT src AS u, dst AS v FROM e UNION SELECT dst, src FROM e), r AS (SELECT u AS node, u AS other FROM b UNION SELECT r.node, b.v FROM r JOIN b ON r.other = b.u)
-SELECT node, min(other) AS component FROM r GROUP BY node
-""")
-def connected_parts(t):
-    e = _part_edges(t)
-    return G.connected_components(e, e.select("src").unionByName(e.select(F.col("dst").alias("src"))))
-
-
-@query(f"""
-WITH RECURSIVE e AS ({_EDGES}), r AS (SELECT 3 AS node, 0 AS hops UNION SELECT e.dst, r.hops + 1 FROM r JOIN e ON r.node = e.src WHERE r.hops < 6)
-SELECT 3 AS start, CAST(node AS BIGINT) AS node, CAST(min(hops) AS INTEGER) AS hops FROM r GROUP BY node
-""")
-def shortest_hops(t):
-    start = t.spark.range(3, 4).select(F.col("id").alias("start"))
-    return G.shortest_paths(_part_edges(t), start, max_depth=6).withColumn("start", F.col("start").cast("int"))
-
-
-@query(f"""
-WITH e AS ({_EDGES}), n AS (SELECT src AS v FROM e UNION SELECT dst FROM e)
-SELECT n.v AS node, count(e.src) AS fan_in, (SELECT count(*) FROM e o WHERE o.src = n.v) AS fan_out FROM n LEFT JOIN e ON e.dst = n.v GROUP BY n.v
-""")
-def fan_in_out(t):
-    e = _part_edges(t)
-    nodes = e.select("src").unionByName(e.select(F.col("dst").alias("src"))).distinct()
-    both = G.fan_in(e, nodes).join(G.fan_in(e, nodes, src="dst", dst="src").withColumnRenamed("fan_in", "fan_out"), "node")
-    return both.select("node", "fan_in", "fan_out")
-
-
-def _whole_part_edges(t: Tables):
-    """Parts that follow each other within an order, for all orders and under their own keys."""
-    w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
-    return t.lineitem.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst")).where("dst IS NOT NULL AND src <> dst").distinct()
-
-
-_WHOLE = "SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst FROM lineitem) WHERE dst IS NOT NULL AND src <> dst"
+    e = _last_followers(t)
+    n = e.select("src").unionByName(e.select(F.col("dst").alias("src"))).distinct().count()
+    return G.propagation_cost(G.closure(e), n)
 
 
 @query()
 def closure_reach_whole(t):
-    return G.reach_counts(_whole_part_edges(t))
+    return G.reach_counts(_part_edges(t))
 
 
 @query()
 def scc_groups_whole(t):
-    label = G.strong_labels(_whole_part_edges(t))
+    label = G.strong_labels(_part_edges(t))
     return label.join(label.groupBy("component").agg(F.count("*").alias("size")).where("size > 1"), "component").select("node", "component", "size")
 
 
 @query()
 def propagation_cost_whole(t):
-    reach = G.reach_counts(_whole_part_edges(t))
+    reach = G.reach_counts(_part_edges(t))
     return reach.agg(F.sum("reachable").alias("pairs"), F.count("*").alias("modules")).withColumn("propagation_cost", F.col("pairs") / (F.col("modules") * F.col("modules")))
 
 
 @query(f"""
-WITH RECURSIVE e AS ({_WHOLE}), b AS (SELECT src AS u, dst AS v FROM e UNION SELECT dst, src FROM e),
+WITH RECURSIVE e AS ({_EDGES}), b AS (SELECT src AS u, dst AS v FROM e UNION SELECT dst, src FROM e),
   r(node, component) USING KEY (node) AS (SELECT DISTINCT u, u FROM b UNION SELECT b.v, min(r.component) FROM r JOIN b ON r.node = b.u JOIN recurring.r k ON k.node = b.v WHERE r.component < k.component GROUP BY b.v)
 SELECT node, component FROM r
 """)
-def connected_parts_whole(t):
-    e = _whole_part_edges(t)
+def connected_parts(t):
+    e = _part_edges(t)
     return G.connected_components(e, e.select("src").unionByName(e.select(F.col("dst").alias("src"))))
 
 
 @query(f"""
-WITH RECURSIVE e AS ({_WHOLE}),
+WITH RECURSIVE e AS ({_EDGES}),
   r(node, hops) USING KEY (node) AS (SELECT min(src), 0 FROM e UNION SELECT e.dst, min(r.hops) + 1 FROM r JOIN e ON r.node = e.src LEFT JOIN recurring.r k ON k.node = e.dst WHERE k.node IS NULL GROUP BY e.dst)
 SELECT (SELECT min(src) FROM e) AS start, node, CAST(hops AS INTEGER) AS hops FROM r
 """)
-def shortest_hops_whole(t):
-    e = _whole_part_edges(t)
+def shortest_hops(t):
+    e = _part_edges(t)
     return G.shortest_paths(e, e.agg(F.min("src").alias("start")).where("start IS NOT NULL"))
 
 
 @query(f"""
-WITH e AS ({_WHOLE}), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), i AS (SELECT dst AS node, count(*) AS k FROM e GROUP BY 1), o AS (SELECT src AS node, count(*) AS k FROM e GROUP BY 1)
+WITH e AS ({_EDGES}), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), i AS (SELECT dst AS node, count(*) AS k FROM e GROUP BY 1), o AS (SELECT src AS node, count(*) AS k FROM e GROUP BY 1)
 SELECT node, coalesce(i.k, 0) AS fan_in, coalesce(o.k, 0) AS fan_out FROM n LEFT JOIN i USING (node) LEFT JOIN o USING (node)
 """)
-def fan_in_out_whole(t):
-    e = _whole_part_edges(t)
+def fan_in_out(t):
+    e = _part_edges(t)
     nodes = e.select("src").unionByName(e.select(F.col("dst").alias("src"))).distinct()
     return G.fan_in(e, nodes).join(G.fan_in(e, nodes, src="dst", dst="src").withColumnRenamed("fan_in", "fan_out"), "node").select("node", "fan_in", "fan_out")
 
@@ -147,15 +118,20 @@ def trust_floor(t):
 
 
 @query("""
-SELECT 'scope:' || c_mktsegment || ':customer:' || c_custkey AS src, CASE WHEN s_suppkey % 5 = 0 THEN 'supplier:' || s_suppkey ELSE 'scope:' || CASE WHEN s_suppkey % 2 = 0 THEN 'BUILDING' ELSE 'MACHINERY' END || ':supplier:' || s_suppkey END AS dst,
-  s_suppkey % 5 <> 0 AND c_mktsegment <> CASE WHEN s_suppkey % 2 = 0 THEN 'BUILDING' ELSE 'MACHINERY' END AS crosses
-FROM customer JOIN supplier ON c_custkey % 100 = s_suppkey % 100
+WITH e AS (SELECT DISTINCT o_custkey, l_suppkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
+     n AS (SELECT 'scope:' || c_mktsegment || ':customer:' || c_custkey AS src, CASE WHEN s_acctbal < 0 THEN 'supplier:' || s_suppkey ELSE 'scope:' || CASE WHEN s_nationkey < 12 THEN 'BUILDING' ELSE 'MACHINERY' END || ':supplier:' || s_suppkey END AS dst,
+       s_acctbal >= 0 AND c_mktsegment <> CASE WHEN s_nationkey < 12 THEN 'BUILDING' ELSE 'MACHINERY' END AS crosses
+     FROM e JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey)
+SELECT src, dst, crosses FROM n
 """)
 def scope_crossing(t):
+    """Customers and the suppliers of their orders; suppliers in debt are global and never crossed to."""
     src = F.concat(F.lit("scope:"), "c_mktsegment", F.lit(":customer:"), F.col("c_custkey").cast("string"))
-    side = F.when(F.col("s_suppkey") % 2 == 0, "BUILDING").otherwise("MACHINERY")
-    dst = F.when(F.col("s_suppkey") % 5 == 0, F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string"))).otherwise(F.concat(F.lit("scope:"), side, F.lit(":supplier:"), F.col("s_suppkey").cast("string")))
-    pairs = t.customer.join(t.supplier, F.col("c_custkey") % 100 == F.col("s_suppkey") % 100).select(src.alias("src"), dst.alias("dst"))
+    side = F.when(F.col("s_nationkey") < 12, "BUILDING").otherwise("MACHINERY")
+    name = F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string"))
+    dst = F.when(F.col("s_acctbal") < 0, name).otherwise(F.concat(F.lit("scope:"), side, F.lit(":"), name))
+    e = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey")).join(t.lineitem.select("l_orderkey", F.col("l_suppkey").alias("s_suppkey")), "l_orderkey").select("c_custkey", "s_suppkey").distinct()
+    pairs = e.join(t.customer.select("c_custkey", "c_mktsegment"), "c_custkey").join(t.supplier, "s_suppkey").select(src.alias("src"), dst.alias("dst"))
     return pairs.withColumn("crosses", crosses_scope(F.col("src"), F.col("dst")))
 
 
@@ -165,37 +141,36 @@ def orphans(t):
     return G.orphans(t.customer, edges, node="c_custkey", exempt=F.col("c_nationkey") == 7).select("c_custkey")
 
 
-@query("""
-WITH RECURSIVE p AS (SELECT c_custkey AS node, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey - c_custkey % 4 + (c_custkey % 4) - 1 END AS parent, c_nationkey AS room FROM customer WHERE c_custkey % 9 <> 5),
-  r AS (SELECT node, node AS root FROM p WHERE parent IS NULL OR parent NOT IN (SELECT node FROM p) UNION ALL SELECT p.node, r.root FROM p JOIN r ON p.parent = r.node)
+_FORKS = "SELECT c_custkey AS node, c_nationkey AS room, CASE WHEN c_acctbal >= 0 THEN lag(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) END AS parent FROM customer"
+
+
+@query(f"""
+WITH RECURSIVE p AS ({_FORKS}),
+  r AS (SELECT node, node AS root FROM p WHERE parent IS NULL UNION ALL SELECT p.node, r.root FROM p JOIN r ON p.parent = r.node)
 SELECT p.room, count(*) AS asserted, count(DISTINCT r.root) AS independent, count(DISTINCT r.root) > 1 AS corroborated FROM p JOIN r USING (node) GROUP BY p.room
 """)
 def corroboration(t):
-    """Witnesses of each room, and how many are independent once forks fall together."""
-    k = F.col("c_custkey")
-    rows = t.customer.where(k % 9 != 5).select(k.alias("node"), F.when(k % 4 != 0, k - 1).alias("parent"), F.col("c_nationkey").alias("room"))
-    joined = rows.join(G.fork_roots(rows, node="node", parent="parent"), "node")
-    return joined.groupBy("room").agg(F.count("*").alias("asserted"), F.count_distinct("root").alias("independent")).withColumn("corroborated", F.col("independent") > 1)
+    """Witnesses of each room, and how many are independent once forks fall together; a customer in credit forks from the one before."""
+    before = F.lag("c_custkey").over(W.partitionBy("c_nationkey", "c_mktsegment").orderBy("c_custkey"))
+    rows = t.customer.select(F.col("c_custkey").alias("node"), F.col("c_nationkey").alias("room"), F.when(F.col("c_acctbal") >= 0, before).alias("parent"))
+    return G.corroboration(rows, node="node", parent="parent", group="room")
 
 
-@query("SELECT o_custkey, CASE WHEN count(DISTINCT o_orderpriority) = 1 THEN min(o_orderpriority) ELSE '' END AS anchor, count(*) AS n FROM orders WHERE o_totalprice > 350000 GROUP BY 1")
+@query("SELECT o_custkey, CASE WHEN count(DISTINCT o_orderpriority) = 1 THEN min(o_orderpriority) ELSE '' END AS anchor, count(*) AS n FROM orders GROUP BY 1")
 def unanimity(t):
-    """The one value that all rows agree on, or an empty string; agreement is min = max, no distinct needed."""
-    g = t.orders.where("o_totalprice > 350000").groupBy("o_custkey").agg(F.min("o_orderpriority").alias("a"), F.max("o_orderpriority").alias("b"), F.count("*").alias("n"))
-    return g.select("o_custkey", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise("").alias("anchor"), "n")
+    """The one value that all rows agree on, or an empty string."""
+    return G.unanimous(t.orders, key="o_custkey", value="o_orderpriority").withColumnRenamed("value", "anchor")
 
 
 @query("SELECT sha256(text) AS h, count(*) AS spellings, count(DISTINCT source) AS projects, string_agg(DISTINCT source, ',' ORDER BY source) AS names FROM documents GROUP BY 1 HAVING count(DISTINCT source) > 1")
 def identity_audit(t):
     """One content under several names: split pairs and collisions."""
-    g = t.documents.groupBy(F.sha2("text", 256).alias("h")).agg(F.count("*").alias("spellings"), F.array_sort(F.collect_set("source")).alias("s"))
-    return g.where(F.size("s") > 1).select("h", "spellings", F.size("s").cast("long").alias("projects"), F.array_join("s", ",").alias("names"))
+    return G.identity_audit(t.documents.select(F.sha2("text", 256).alias("h"), "source"), content="h", name="source")
 
 
 @query("SELECT o_orderpriority AS value, count(*) AS tested, count(*) FILTER (o_orderstatus = 'O') AS confirmed, NOT bool_or(o_orderstatus = 'O' AND o_totalprice > 480000) AS disproved FROM orders GROUP BY 1")
 def value_disproved(t):
-    ok = F.col("o_orderstatus") == "O"
-    return t.orders.groupBy(F.col("o_orderpriority").alias("value")).agg(F.count("*").alias("tested"), F.count_if(ok).alias("confirmed"), (~F.bool_or(ok & (F.col("o_totalprice") > 480000))).alias("disproved"))
+    return G.value_verdicts(t.orders, value="o_orderpriority", confirmed=F.col("o_orderstatus") == "O", strong=F.col("o_totalprice") > 480000)
 
 
 @query("""
@@ -233,7 +208,7 @@ def three_hops(t):
     return w.join(t.region, "r_regionkey").select("r_name", "paths", "weight")
 
 
-_C, _S = "SELECT c_nationkey AS k FROM customer WHERE c_custkey % 7 < 3", "SELECT s_nationkey AS k FROM supplier"
+_C, _S = "SELECT c_nationkey AS k FROM customer WHERE c_mktsegment = 'BUILDING'", "SELECT s_nationkey AS k FROM supplier"
 
 
 @query(f"""
@@ -244,7 +219,7 @@ UNION ALL SELECT 'intersect', k, 1 FROM ({_C} INTERSECT {_S})
 UNION ALL SELECT 'except', k, 1 FROM ({_C} EXCEPT {_S})
 """)
 def set_ops(t):
-    c, s = t.customer.where("c_custkey % 7 < 3").select(F.col("c_nationkey").alias("k")), t.supplier.select(F.col("s_nationkey").alias("k"))
+    c, s = t.customer.where("c_mktsegment = 'BUILDING'").select(F.col("c_nationkey").alias("k")), t.supplier.select(F.col("s_nationkey").alias("k"))
     count = lambda op, df: df.groupBy("k").agg(F.count("*").alias("n")).select(F.lit(op).alias("op"), "k", "n")
     parts = [count("union", c.unionByName(s)), count("intersect all", c.intersectAll(s)), count("except all", c.exceptAll(s)), count("intersect", c.intersect(s)), count("except", c.subtract(s))]
     out = parts[0]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text as T
+from ..operators import contract as C
 from ..operators import joins as J
 from ..operators import ranking as R
 from .registry import query
@@ -238,9 +239,8 @@ WITH x AS (SELECT DISTINCT unnest({_COMPOUND.format('text')}) AS tok FROM benchm
 SELECT doc_id, n, matched, matched >= least(n, 2) AND matched / n >= 0.3 AS external, CASE WHEN matched >= least(n, 2) AND matched / n >= 0.3 THEN 2 ELSE 1 END AS tier FROM c
 """)
 def ingress_floor(t):
-    """Texts that echo external passages are floored to tier 2; tokens meet in an equi-join."""
-    outside = t.benchmark.select(F.explode(T.compound_tokens(F.col("text"))).alias("tok")).distinct()
-    own = t.documents.select("doc_id", F.explode(T.compound_tokens(F.col("text"))).alias("tok")).where((F.length("tok") > 2) & ~F.col("tok").isin(T.STOP_WORDS))
-    counts = own.join(outside.withColumn("hit", F.lit(1)), "tok", "left").groupBy("doc_id").agg(F.count("*").alias("n"), F.count("hit").alias("matched"))
-    external = (F.col("matched") >= F.least("n", F.lit(2))) & (F.col("matched") / F.col("n") >= 0.3)
-    return counts.withColumn("external", external).withColumn("tier", F.when(external, 2).otherwise(1))
+    """Texts that echo external passages are floored to tier 2, by the contract's own rule."""
+    own = t.documents.select("doc_id", "text", F.lit(1).alias("tier"), F.lit(False).alias("external"), F.lit("").alias("source"))
+    counts = C.echoes(own, t.benchmark, key="doc_id", text="text", stop=T.STOP_WORDS)
+    floored = C.ingress_floor(own, t.benchmark, text="text", group=None, key="doc_id", stop=T.STOP_WORDS).select("doc_id", "external", "tier")
+    return counts.select("doc_id", "n", "matched").join(floored, "doc_id").select("doc_id", "n", "matched", "external", "tier")

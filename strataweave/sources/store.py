@@ -21,10 +21,30 @@ class Graph:
     edges: DataFrame
 
 
-def upsert_vertices(old: DataFrame, new: DataFrame, *, hold_first: tuple[str, ...] = (), never_lower: tuple[str, ...] = ()) -> DataFrame:
+def _write_order(new: DataFrame, order: str | None) -> Column:
+    """What tells the later of two writes of one key: the given column, then the whole row, so reruns agree."""
+    flat = [F.to_json(F.struct(F.col(f.name))) if f.dataType.typeName() == "map" else F.col(f.name) for f in new.schema]
+    return F.struct(*([F.col(order)] if order else []), *flat)
+
+
+def upsert_vertices(old: DataFrame, new: DataFrame, *, hold_first: tuple[str, ...] = (), never_lower: tuple[str, ...] = (), order: str | None = None) -> DataFrame:
     """Keyed merge on vid: new non-null values win, except that held columns keep their first non-empty value and
-    ``never_lower`` ones take the greater (a tier may only fall in trust)."""
-    one = new.groupBy("vid").agg(*[F.last(c, ignorenulls=True).alias(c) for c in new.columns if c != "vid"])
+    ``never_lower`` ones take the greater (a tier may only fall in trust).
+
+    Of several new rows for a key the one that is last by the column ``order``
+    wins, value by value; rows equal in it are ordered by their values.
+    """
+    at = _write_order(new, order)
+
+    def won(c: str) -> Column:
+        x = F.col(c)
+        if c in never_lower:
+            return F.max(x)
+        if c in hold_first:
+            return F.coalesce(F.min_by(x, F.when(x != "", at)), F.max_by(x, F.when(x.isNotNull(), at)))
+        return F.max_by(x, F.when(x.isNotNull(), at))
+
+    one = new.groupBy("vid").agg(*[won(c).alias(c) for c in new.columns if c not in ("vid", order)])
     names = [c for c in old.columns if c != "vid"]
     a, b = old.alias("a"), one.alias("b")
     joined = a.join(b, F.col("a.vid") == F.col("b.vid"), "full_outer")
@@ -40,10 +60,11 @@ def upsert_vertices(old: DataFrame, new: DataFrame, *, hold_first: tuple[str, ..
     return joined.select(F.coalesce("a.vid", "b.vid").alias("vid"), *[merged(c).alias(c) for c in names])
 
 
-def upsert_edges(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Keyed merge on (label, src, dst); properties of the new edge overwrite those of the old."""
+def upsert_edges(old: DataFrame, new: DataFrame, *, order: str | None = None) -> DataFrame:
+    """Keyed merge on (label, src, dst); properties of the new edge overwrite those of the old, the last write by ``order`` first."""
     key = ["label", "src", "dst"]
-    one = new.groupBy(*key).agg(F.first("src_label").alias("src_label"), F.first("dst_label").alias("dst_label"), F.last("props", ignorenulls=True).alias("props"))
+    at = _write_order(new, order)
+    one = new.groupBy(*key).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c) for c in ("src_label", "dst_label", "props")])
     a, b = old.alias("a"), one.alias("b")
     joined = a.join(b, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in key], "full_outer")
     empty = F.create_map().cast("map<string,string>")
@@ -69,10 +90,10 @@ def source_conflicts(old: DataFrame, new: DataFrame) -> DataFrame:
     return j.select("vid", F.explode(F.filter(F.array(rise, moved), lambda x: x.isNotNull())).alias("conflict"))
 
 
-def apply_thread_refs(threads: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(thread updates, edges) of refs (session, thread, status) to threads that exist."""
+def apply_thread_refs(threads: DataFrame, refs: DataFrame, *, order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(thread updates, edges) of refs (session, thread, status) to threads that exist; the last by ``order`` sets the status."""
     known = refs.join(threads.where("label = 'Thread'").select(F.col("vid").alias("thread")), "thread", "left_semi")
-    update = known.groupBy(F.col("thread").alias("vid")).agg(F.last("status").alias("status"))
+    update = known.groupBy(F.col("thread").alias("vid")).agg(F.max_by("status", _write_order(refs, order)).alias("status"))
     label = F.when(F.col("status").isin(*TERMINAL_STATUS), "RESOLVES").otherwise("CONTINUES")
     edges = known.select(label.alias("label"), F.col("session").alias("src"), F.col("thread").alias("dst"), F.lit("Session").alias("src_label"), F.lit("Thread").alias("dst_label"), F.lit(None).cast("map<string,string>").alias("props"))
     return update, edges
@@ -107,10 +128,12 @@ class GraphStore:
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
     def _current(self) -> str:
-        fs, p = self._fs("CURRENT")
-        if not fs.exists(p):
-            raise GraphUnavailable(f"no graph at {self.path}")
-        return self.spark.read.text(f"{self.path}/CURRENT").first()[0]
+        """The version that the pointer names; between the two renames that move it, the old pointer still answers."""
+        for name in ("CURRENT", "CURRENT.old"):
+            fs, p = self._fs(name)
+            if fs.exists(p):
+                return self.spark.read.text(f"{self.path}/{name}").first()[0]
+        raise GraphUnavailable(f"no graph at {self.path}")
 
     def create(self) -> Graph:
         return self.replace(Graph(self.spark.createDataFrame([], VERTEX), self.spark.createDataFrame([], EDGE)))
@@ -134,8 +157,8 @@ class GraphStore:
         fs, target = self._fs("CURRENT")
         self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/CURRENT.next")
         old = self._fs("CURRENT.old")[1]
-        fs.delete(old, True)
         if fs.exists(target):
+            fs.delete(old, True)
             fs.rename(target, old)
         fs.rename(self._fs("CURRENT.next")[1], target)
 

@@ -151,15 +151,15 @@ def test_whole_part_graph(spark, tmp_path):
         return seen
 
     reach = {x: reached(x) for x in nodes}
-    rows = {n: QUERIES[n](spark, str(tmp_path)).collect() for n in ("closure_reach_whole", "scc_groups_whole", "propagation_cost_whole", "connected_parts_whole", "shortest_hops_whole", "fan_in_out_whole")}
+    rows = {n: QUERIES[n](spark, str(tmp_path)).collect() for n in ("closure_reach_whole", "scc_groups_whole", "propagation_cost_whole", "connected_parts", "shortest_hops", "fan_in_out")}
     assert {r.src: r.reachable for r in rows["closure_reach_whole"]} == {x: len(reach[x]) for x in nodes}
     ring = {x: [y for y in reach[x] if x in reach[y]] for x in nodes}
     assert {r.node: (r.component, r["size"]) for r in rows["scc_groups_whole"]} == {x: (min(ys), len(ys)) for x, ys in ring.items() if len(ys) > 1}
     assert len({len(ys) for ys in ring.values()}) > 1
     assert (rows["propagation_cost_whole"][0].pairs, rows["propagation_cost_whole"][0].modules) == (sum(map(len, reach.values())), len(nodes))
-    assert {r.node: r.component for r in rows["connected_parts_whole"]} == {x: min(reached(x, both=True)) for x in nodes}
-    assert {(r.start, r.node): r.hops for r in rows["shortest_hops_whole"]} == {(min(a for a, _ in pairs), y): h for y, h in reach[min(a for a, _ in pairs)].items()}
-    assert {r.node: (r.fan_in, r.fan_out) for r in rows["fan_in_out_whole"]} == {x: (sum(b == x for _, b in pairs), sum(a == x for a, _ in pairs)) for x in nodes}
+    assert {r.node: r.component for r in rows["connected_parts"]} == {x: min(reached(x, both=True)) for x in nodes}
+    assert {(r.start, r.node): r.hops for r in rows["shortest_hops"]} == {(min(a for a, _ in pairs), y): h for y, h in reach[min(a for a, _ in pairs)].items()}
+    assert {r.node: (r.fan_in, r.fan_out) for r in rows["fan_in_out"]} == {x: (sum(b == x for _, b in pairs), sum(a == x for a, _ in pairs)) for x in nodes}
 
 
 def chain(spark, n):
@@ -232,3 +232,22 @@ def test_branches_side_effects_and_properties(graph, spark):
     assert t.V(s).discard().to_list() == []
     with pytest.raises(Exception, match="stop here"):
         t.V(s).fail("stop here").to_list()
+
+
+def test_closure_doubles_and_stays_exact(spark, monkeypatch):
+    """A chain of 70 into a ring: least depths whatever the depth at which doubling begins, and under a bound."""
+    pairs = [(f"n{k:02d}", f"n{k + 1:02d}") for k in range(70)] + [("n70", "n60"), ("n05", "n50")]
+    nxt = {}
+    for a, b in pairs:
+        nxt.setdefault(a, []).append(b)
+    want = {}
+    for s in {x for p in pairs for x in p}:
+        depth, front = {s: 0}, [s]
+        while front:
+            front = [y for x in front for y in nxt.get(x, []) if depth.setdefault(y, depth[x] + 1) == depth[x] + 1 and y not in front]
+        want |= {(s, d): k for d, k in depth.items()}
+    e = edges(spark, pairs)
+    for steps in (1, 8):
+        monkeypatch.setattr(G, "STEPS", steps)
+        assert {(r.src, r.dst): r.depth for r in G.closure(e).collect()} == want
+        assert {(r.src, r.dst): r.depth for r in G.closure(e, max_depth=21).collect()} == {k: v for k, v in want.items() if v <= 21}

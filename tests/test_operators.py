@@ -178,3 +178,41 @@ def test_ingress_floor_never_raises_trust(spark):
     got = {r.claim_id: (r.tier, r.external) for r in C.ingress_floor(claims, pages).collect()}
     assert got == {"c1": (2, True), "c2": (1, False), "c3": (2, True), "c4": (3, True)}
     assert {r.tier for r in C.ingress_floor(claims, pages, verifiable=False).collect()} == {2, 3}
+
+
+def test_as_of_without_a_key_in_many_ranges(spark, monkeypatch):
+    """Ranges of equal size, ties at their borders, rows before the first and without a time."""
+    import random
+
+    monkeypatch.setattr(J, "RANGE_ROWS", 7)
+    rng = random.Random(3)
+    left = [(k, rng.randrange(40)) for k in range(120)] + [(900, None)]
+    right = [(rng.randrange(5, 40), f"v{k:02d}") for k in range(25)] + [(None, "no")]
+    want = {k: max(((t2, v) for t2, v in right if t2 is not None and t is not None and t2 <= t), default=(0, "none"))[1] for k, t in left}
+    got = J.as_of_join(spark.createDataFrame(left, "id int, t int"), spark.createDataFrame(right, "t2 int, v string"), left_ts="t", right_ts="t2", value="v", default="none").collect()
+    assert {r.id: r.v for r in got} == want and len(got) == len(left)
+
+
+def test_innermost_of_open_and_closed_spans(spark):
+    import random
+    from datetime import datetime, timedelta
+
+    rng = random.Random(4)
+    at = lambda h: datetime(2024, 1, 1) + timedelta(hours=h)
+    spans = [(f"s{k:02d}", rng.choice("ab"), s, None if rng.random() < 0.3 else s + rng.randrange(0, 90)) for k in range(40) for s in [rng.randrange(400)]]
+    calls = [(k, rng.choice("ab"), rng.randrange(450)) for k in range(150)]
+    want = {c: max(((s, i) for i, r2, s, e in spans if r2 == r and s <= t and (e is None or t <= e)), default=(0, None))[1] for c, r, t in calls}
+    df = J.interval_join(spark.createDataFrame([(c, r, at(t)) for c, r, t in calls], "c int, room string, t timestamp"), spark.createDataFrame([(i, r, at(s), None if e is None else at(e)) for i, r, s, e in spans], "i string, room string, s timestamp, e timestamp"), key="room", at="t", start="s", end="e", span_id="i", call_id=["c"])
+    assert {r.c: r.i for r in df.collect()} == want
+
+
+def test_rescue_matches_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(k, rng.choice("xy"), rng.random() < 0.5, sorted({rng.choice("abcde") for _ in range(rng.randrange(0, 4))})) for k in range(80)]
+    blocks, passes = [r for r in rows if r[2]], [r for r in rows if not r[2]]
+    want = {b[0]: any(p[1] == b[1] and p[0] > b[0] and len(set(p[3]) & set(b[3])) >= min(2, len(b[3])) for p in passes) for b in blocks}
+    shape = "pos int, key string, block boolean, prints array<string>"
+    got = J.rescued(spark.createDataFrame(blocks, shape), spark.createDataFrame(passes, shape), key="key", pos="pos", prints="prints").collect()
+    assert {r.pos: r.rescued for r in got} == want and len(set(want.values())) == 2
