@@ -14,6 +14,8 @@ from . import arrowtext as at
 from .workspace import Workspace
 
 OUTPUTS = ["n_lines", "n_dropped", "kept_sha256", "kept_text"]
+#: Rows that are rebuilt at once.
+ROWS = 256
 _U = np.uint64
 _A = (at.constants(41, 256) | _U(1))[at._LOWER]
 _B = (at.constants(42, 256) | _U(1))[at._LOWER]
@@ -61,18 +63,21 @@ def _keys(least: int):
 
 
 def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        lines, dropped, digest, kept = [], [], [], []
-        for text, drop in zip(batch.column("_text").to_pylist(), batch.column("_places").to_pylist(), strict=True):
-            parts = (text or "").split("\n")
-            gone = set(drop or ())
-            body = "\n".join([x for i, x in enumerate(parts) if i not in gone]) if gone else text or ""
-            lines.append(len(parts))
-            dropped.append(len(gone))
-            digest.append(hashlib.sha256(body.encode()).hexdigest())
-            kept.append(body)
-        rest = batch.drop_columns(["_text", "_places"])
-        yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.string())], names=[*rest.schema.names, *OUTPUTS])
+    for whole in batches:
+        # Python texts exist for a slice of rows at a time.
+        for batch in (whole.slice(a, ROWS) for a in range(0, whole.num_rows, ROWS)):
+            lines, dropped, digest, kept = [], [], [], []
+            for text, drop in zip(batch.column("_text"), batch.column("_places"), strict=True):
+                text = text.as_py() or ""
+                gone = set(drop.as_py() or ())
+                parts = text.split("\n")
+                body = "\n".join([x for i, x in enumerate(parts) if i not in gone]) if gone else text
+                lines.append(len(parts))
+                dropped.append(len(gone))
+                digest.append(hashlib.sha256(body.encode()).hexdigest())
+                kept.append(body)
+            rest = batch.drop_columns(["_text", "_places"])
+            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.string())], names=[*rest.schema.names, *OUTPUTS])
 
 
 def dedup_lines(docs: DataFrame, *, threshold: int = 3, least_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -83,8 +88,9 @@ def dedup_lines(docs: DataFrame, *, threshold: int = 3, least_chars: int = 20, i
     ``threshold`` or more documents hold lose all their lines except in the
     greatest id that holds them. Null or empty text is one empty line. Rows that
     repeat an id count as one document and share their dropped positions; rows
-    with a null id lose nothing and are not counted. Input columns with the names
-    of outputs are replaced.
+    with a null id lose nothing and are not counted. Very long texts are read
+    whole; an empty table gives no rows. Input columns with the names of outputs
+    are replaced.
     """
     work = Workspace(docs.sparkSession)
     light = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
