@@ -328,23 +328,29 @@ def classify(docs: DataFrame, model: Classifier | None, *, id_col: str = "doc_id
     return _shape(docs, id_col).mapInArrow(_score(model), "doc_id long, score double, kept boolean, text_logit double, page_logit double")
 
 
-def _keep(model: Classifier):
+def _keep(model: Classifier, read: dict[str, str], extra: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, off = at.utf8(batch.column("_text"))
-            given = [batch.column(f"_{c}").to_pylist() for c in _INPUT]
+            raw, off = at.utf8(batch.column(read["text"]))
+            given = [batch.column(read[c]).to_pylist() for c in _INPUT]
             good = np.zeros(batch.num_rows, bool)
             for a, b in at.slices(off):
                 good[a:b] = model.score(raw[off[a] : off[b]], off[a : b + 1] - off[a], *(x[a:b] for x in given))[0] >= model.threshold
-            yield batch.drop_columns(["_text", *[f"_{c}" for c in _INPUT]]).filter(pa.array(good))
+            yield batch.drop_columns(extra).filter(pa.array(good))
 
     return run
 
 
 def keep_good(docs: DataFrame, model: Classifier | None) -> DataFrame:
-    """The rows that ``classify`` keeps, with all their columns, in one pass; without a model all rows."""
+    """The rows that ``classify`` keeps, with all their columns, in one pass; without a model all rows.
+
+    A column that is there with the right type is read as it is; others travel as casts beside the input.
+    """
     if model is None:
         return docs
-    kinds = {"text": "string", "source": "string", "lang": "string", "n_chars": "long"}
-    wide = docs.withColumns({f"_{c}": (F.col(c) if c in docs.columns else F.lit(None)).cast(k) for c, k in kinds.items()})
-    return wide.mapInArrow(_keep(model), docs.schema)
+    kinds = {"text": "string", "source": "string", "lang": "string", "n_chars": "bigint"}
+    have = {f.name: f.dataType.simpleString() for f in docs.schema}
+    read = {c: c if have.get(c) == k else f"_{c}" for c, k in kinds.items()}
+    extra = [name for c, name in read.items() if name != c]
+    wide = docs.withColumns({name: (F.col(c) if c in have else F.lit(None)).cast(kinds[c]) for c, name in read.items() if name != c}) if extra else docs
+    return wide.mapInArrow(_keep(model, read, extra), docs.schema)
