@@ -118,63 +118,9 @@ def uuid_antijoin(t):
     return fork.unionByName(t.supplier.where("s_nationkey = 3").select(F.lit(None).cast("long").alias("o_orderkey"), F.col("s_suppkey").alias("o_custkey")))
 
 
-@query("""
-SELECT n_name AS scope, CASE WHEN c_nationkey = s_nationkey THEN 'pinned' ELSE 'consulted' END AS role, count(*) AS returns, count(*) FILTER (l_returnflag = 'N') AS used, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS chars
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2
-""")
-def pinned_vs_consulted(t):
-    lines = t.lineitem.select("l_orderkey", "l_suppkey", "l_returnflag", F.col("l_quantity").cast("long").alias("q"))
-    joined = lines.join(t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey").join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey")), "l_orderkey").join(t.customer.select("c_custkey", "c_nationkey"), "c_custkey")
-    role = F.when(F.col("c_nationkey") == F.col("s_nationkey"), "pinned").otherwise("consulted")
-    named = joined.groupBy("s_nationkey", role.alias("role")).agg(F.count("*").alias("returns"), F.count_if(F.col("l_returnflag") == "N").alias("used"), F.sum("q").alias("chars"))
-    return named.join(t.nation.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("scope")), "s_nationkey").select("scope", "role", "returns", "used", "chars")
-
-
 _CENTS = "CAST(round(value * 100) AS BIGINT)"
 
 
-@query(f"""
-SELECT event_type AS tool, count(*) AS traces, count(DISTINCT user_id) AS sessions, count(*) FILTER ({_DUCK_K} = 0) AS misses,
-  CAST(sum({_CENTS}) AS BIGINT) AS injected, CAST(sum(CASE WHEN {_DUCK_K} >= 50 THEN {_CENTS} ELSE 0 END) AS BIGINT) AS used,
-  CAST(sum({_CENTS} // nullif({_DUCK_K}, 0)) AS BIGINT) AS node_share
-FROM events GROUP BY 1
-""")
-def scope_report(t):
-    cents, k = F.round(F.col("value") * 100).cast("long"), _k()
-    e = t.events.select("event_type", "user_id", cents.alias("c"), k.alias("k"))
-    return e.groupBy(F.col("event_type").alias("tool")).agg(F.count("*").alias("traces"), F.count_distinct("user_id").alias("sessions"), F.count_if(F.col("k") == 0).alias("misses"), F.sum("c").alias("injected"), F.sum(F.when(F.col("k") >= 50, F.col("c")).otherwise(0)).alias("used"), F.sum(F.expr("c div nullif(k, 0)")).alias("node_share"))
-
-
-@query(f"SELECT user_id, CAST(sum({_CENTS}) AS BIGINT) AS wasted, count(*) AS ignored FROM events WHERE {_DUCK_K} < 50 GROUP BY 1 ORDER BY wasted DESC, ignored DESC, user_id LIMIT 5")
-def most_ignored(t):
-    ignored = t.events.where(_k() < 50).groupBy("user_id").agg(F.sum(F.round(F.col("value") * 100).cast("long")).alias("wasted"), F.count("*").alias("ignored"))
-    return ignored.orderBy(F.col("wasted").desc(), F.col("ignored").desc(), "user_id").limit(5)
-
-
-@query(f"""
-SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, CASE WHEN event_type = 'signup' THEN 'extract' WHEN user_id % 3 = 0 THEN 'expert:' || CAST(user_id % 9 AS VARCHAR) WHEN event_type = 'error' THEN 'other' ELSE 'interactive' END AS bucket,
-  count(*) AS calls, count(DISTINCT user_id) AS sessions,
-  CAST(sum(CAST(trunc(1.0 * {_DUCK_K} + 1.25 * (event_id % 100) + 0.1 * (event_id % 1000) + 5.0 * (user_id % 20)) AS BIGINT)) AS BIGINT) AS weight
-FROM events WHERE ts >= TIMESTAMP '2024-01-05' GROUP BY 1, 2
-""")
-def cost_buckets(t):
-    """Weighted tokens by day and operation; weights are truncated call by call."""
-    e = t.events.where(F.col("ts") >= F.lit("2024-01-05").cast("timestamp_ntz"))
-    bucket = F.when(F.col("event_type") == "signup", "extract").when(F.col("user_id") % 3 == 0, F.concat(F.lit("expert:"), (F.col("user_id") % 9).cast("string"))).when(F.col("event_type") == "error", "other").otherwise("interactive")
-    weight = S.weighted_tokens(_k(), F.col("event_id") % 100, F.col("event_id") % 1000, F.col("user_id") % 20)
-    return e.groupBy(F.to_date("ts").cast("string").alias("day"), bucket.alias("bucket")).agg(F.count("*").alias("calls"), F.count_distinct("user_id").alias("sessions"), F.sum(weight).alias("weight"))
-
-
-@query(f"""
-SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) FILTER ({_DUCK_K} >= 50) AS used, count(*) FILTER ({_DUCK_K} < 50) AS ignored,
-  round(100.0 * count(*) FILTER ({_DUCK_K} >= 50) / count(*), 2) AS used_pct
-FROM events GROUP BY 1
-""")
-def daily_trend(t):
-    e = t.events.select(F.to_date("ts").cast("string").alias("day"), _k().alias("k"))
-    return e.groupBy("day").agg(F.count_if(F.col("k") >= 50).alias("used"), F.count_if(F.col("k") < 50).alias("ignored"), F.round(100.0 * F.count_if(F.col("k") >= 50) / F.count("*"), 2).alias("used_pct"))
-
-
 @query(f"""
 WITH u AS (SELECT user_id, max(ts) AS last_ts, count(*) AS recalls, count(*) FILTER ({_DUCK_K} >= 50) AS used FROM events GROUP BY 1 ORDER BY last_ts DESC, user_id LIMIT 20)
 SELECT u.user_id, u.recalls, u.used, string_agg(e.event_type, '|' ORDER BY e.event_id) AS calls FROM u JOIN events e USING (user_id) GROUP BY ALL
@@ -193,32 +139,6 @@ def tap_classes(t):
     return t.events.select("event_id", "user_id", kind.alias("class"), inside.alias("in_window"))
 
 
-@query("SELECT event_type, user_id % 20 AS bucket, max(event_id) AS last_id, arg_max(props, event_id) AS props, count(*) AS versions FROM events GROUP BY 1, 2")
-def dedup_latest(t):
-    return t.events.groupBy("event_type", (F.col("user_id") % 20).alias("bucket")).agg(F.max("event_id").alias("last_id"), F.max_by("props", "event_id").alias("props"), F.count("*").alias("versions"))
-
-
-@query(f"""
-WITH l AS (SELECT user_id, event_id, event_type, {_DUCK_K} AS k FROM events),
-     f AS (SELECT user_id, min(event_id) FILTER (event_type = 'signup') AS start_at, min(event_id) FILTER (event_type = 'purchase') AS close_at, max(event_id) FILTER (event_type = 'error') AS last_error FROM l GROUP BY 1)
-SELECT user_id, 'closed before start' AS finding FROM f WHERE close_at < start_at
-UNION ALL SELECT user_id, 'never started' FROM f WHERE start_at IS NULL
-UNION ALL SELECT user_id, 'error after close' FROM f WHERE last_error > close_at
-""")
-def ledger_audit(t):
-    """Findings over one ordered ledger, from one aggregation of positions."""
-    at = lambda kind: F.when(F.col("event_type") == kind, F.col("event_id"))
-    f = t.events.groupBy("user_id").agg(F.min(at("signup")).alias("start_at"), F.min(at("purchase")).alias("close_at"), F.max(at("error")).alias("last_error"))
-    found = F.array(F.when(F.col("close_at") < F.col("start_at"), F.lit("closed before start")), F.when(F.col("start_at").isNull(), F.lit("never started")), F.when(F.col("last_error") > F.col("close_at"), F.lit("error after close")))
-    return f.select("user_id", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("finding"))
-
-
-@query("SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS BIGINT) AS occasion_index, coalesce(props <> lag(props) OVER (PARTITION BY user_id, event_type ORDER BY event_id), true) AS changed FROM events")
-def occasion_index(t):
-    w = W.partitionBy("user_id", "event_type").orderBy("event_id")
-    return t.events.select("event_id", F.row_number().over(w).cast("long").alias("occasion_index"), F.coalesce(F.col("props") != F.lag("props").over(w), F.lit(True)).alias("changed"))
-
-
 @query("""
 WITH d AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1)
 SELECT CAST(day AS VARCHAR) AS day, n, CAST(sum(n) OVER (ORDER BY day) AS BIGINT) AS total, day >= (SELECT max(day) FROM d) - 14 AS recent FROM d

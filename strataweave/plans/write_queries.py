@@ -65,14 +65,6 @@ def render_cap(t):
     return R.running_cap(t.documents.select("doc_id", "n_chars"), order=[F.col("n_chars"), F.col("doc_id")], size=F.col("n_chars"), max_rows=50, max_size=8000)
 
 
-@query("SELECT event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS previous, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS next_id FROM events QUALIFY event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id)")
-def change_points(t):
-    """Rows at which a session's tool changes, with what came before and what follows."""
-    w = W.partitionBy("user_id").orderBy("event_id")
-    e = t.events.select("event_id", "event_type", F.lag("event_type").over(w).alias("previous"), F.lead("event_id").over(w).alias("next_id"))
-    return e.where("NOT (event_type <=> previous)")
-
-
 @query("""
 WITH n AS (SELECT 'before' AS scan, count(*) FILTER (o_orderstatus = 'O') AS a, count(*) FILTER (o_orderstatus = 'F') AS b FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT 'after', count(*) FILTER (o_orderstatus = 'O'), NULL FROM orders)
 SELECT 'open' AS metric, (SELECT a FROM n WHERE scan = 'before') AS before, (SELECT a FROM n WHERE scan = 'after') AS after
