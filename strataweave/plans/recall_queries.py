@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import contract as C
 from ..operators import joins as J
 from ..operators import ranking as R
+from . import evaluation as EV
 from .registry import query
 
 ASK = "the nature of pour les enre rthe erti"
@@ -149,27 +150,27 @@ _PATH = r"regexp_extract(url, '://([^?#]*)', 1)"
 
 
 @query(f"""
-WITH p AS (SELECT page_id, string_split({_PATH}, '/') AS s FROM pages),
-     k AS (SELECT DISTINCT array_to_string(s[1:2], '/') AS a FROM p WHERE page_id % 3 = 0),
+WITH p AS (SELECT page_id, url, string_split({_PATH}, '/') AS s FROM pages),
+     k AS (SELECT DISTINCT array_to_string(s[1:2], '/') AS a FROM p WHERE starts_with(url, 'https')),
      e AS (SELECT page_id, array_to_string(s[1:i], '/') AS a, i FROM (SELECT page_id, s, unnest(range(1, len(s) + 1)) AS i FROM p))
 SELECT page_id, arg_max(a, i) AS prefix FROM e SEMI JOIN k USING (a) WHERE a <> '' GROUP BY page_id
 """)
 def longest_prefix(t):
-    paths = t.pages.select("page_id", F.regexp_extract("url", "://([^?#]*)", 1).alias("path"))
-    known = paths.where("page_id % 3 = 0").select(F.array_join(F.slice(F.split("path", "/"), 1, 2), "/").alias("prefix"))
+    paths = t.pages.select("page_id", "url", F.regexp_extract("url", "://([^?#]*)", 1).alias("path"))
+    known = paths.where("startswith(url, 'https')").select(F.array_join(F.slice(F.split("path", "/"), 1, 2), "/").alias("prefix"))
     return J.longest_affix(paths, known, path="path", affix="prefix", row_id="page_id").select("page_id", "prefix")
 
 
 @query(f"""
-WITH p AS (SELECT page_id, string_split({_PATH}, '/') AS s FROM pages),
-     k AS (SELECT DISTINCT array_to_string(s[2:], '/') AS a FROM p WHERE page_id % 2 = 0),
+WITH p AS (SELECT page_id, url, string_split({_PATH}, '/') AS s FROM pages),
+     k AS (SELECT DISTINCT array_to_string(s[2:], '/') AS a FROM p WHERE starts_with(url, 'https')),
      e AS (SELECT page_id, array_to_string(s[i:], '/') AS a FROM (SELECT page_id, s, unnest(range(1, len(s) + 1)) AS i FROM p))
 SELECT page_id, arg_max(a, length(a)) AS suffix FROM e SEMI JOIN k USING (a) WHERE a <> '' GROUP BY page_id
 """)
 def longest_suffix(t):
-    paths = t.pages.select("page_id", F.regexp_extract("url", "://([^?#]*)", 1).alias("path"))
+    paths = t.pages.select("page_id", "url", F.regexp_extract("url", "://([^?#]*)", 1).alias("path"))
     parts = F.split("path", "/")
-    known = paths.where("page_id % 2 = 0").select(F.array_join(F.slice(parts, F.lit(2), F.size(parts)), "/").alias("suffix"))
+    known = paths.where("startswith(url, 'https')").select(F.array_join(F.slice(parts, F.lit(2), F.size(parts)), "/").alias("suffix"))
     return J.longest_affix(paths, known, path="path", affix="suffix", row_id="page_id", suffix=True).select("page_id", "suffix")
 
 
@@ -220,13 +221,13 @@ WITH a AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORD
 SELECT conv_id, turn, n_terms, matched, n_terms > 0 AND matched >= least(n_terms, 2) AND matched / nullif(n_terms, 0) >= 0.3 AS used FROM c
 """)
 def verdict_used(t):
-    """Whether the next turn uses enough of a turn's terms: two of them and three tenths."""
+    """Whether the next turn uses enough of a turn's terms, by the judge's own rule."""
     w = W.partitionBy("conv_id").orderBy("turn")
-    turns = t.conversations.select("conv_id", "turn", "text", F.lead("text").over(w).alias("reply"))
-    terms, said = T.terms(F.col("text")), T.tokens(F.coalesce("reply", F.lit("")))
-    counted = turns.select("conv_id", "turn", terms.alias("terms"), said.alias("said")).select("conv_id", "turn", F.size("terms").cast("long").alias("n_terms"), F.size(F.array_intersect("terms", "said")).cast("long").alias("matched"))
-    used = (F.col("n_terms") > 0) & (F.col("matched") >= F.least("n_terms", F.lit(2))) & (F.coalesce(F.try_divide("matched", "n_terms"), F.lit(0.0)) >= 0.3)
-    return counted.withColumn("used", used)
+    turns = t.conversations.select("conv_id", "turn", "text", F.coalesce(F.lead("text").over(w), F.lit("")).alias("reply"))
+    terms, said = T.terms(F.col("text")), T.tokens(F.col("reply"))
+    # No text holds this id, so only the terms decide.
+    used, _ = EV.verdict(F.lit("no such vertex\u0000"), F.col("text"), F.col("reply"))
+    return turns.select("conv_id", "turn", F.size(terms).cast("long").alias("n_terms"), F.size(F.array_intersect(terms, said)).cast("long").alias("matched"), used.alias("used"))
 
 
 _COMPOUND = "list_distinct(list_concat(regexp_extract_all(lower({0}), '[a-z0-9_./-]+'), regexp_extract_all(lower({0}), '[a-z0-9]+')))"

@@ -28,18 +28,19 @@ def upsert_merge(t):
 
 
 @query("""
-WITH a AS (SELECT o_custkey AS src, o_orderkey % 50 AS dst, max(o_orderpriority) AS p FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1, 2), b AS (SELECT o_custkey AS src, o_orderkey % 50 AS dst, max(o_orderstatus) AS s FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1, 2)
+WITH r AS (SELECT o_custkey AS src, l_suppkey AS dst, o_orderstatus, o_orderpriority FROM orders JOIN lineitem ON o_orderkey = l_orderkey), a AS (SELECT src, dst, max(o_orderpriority) AS p FROM r WHERE o_orderstatus = 'F' GROUP BY 1, 2), b AS (SELECT src, dst, max(o_orderstatus) AS s FROM r WHERE o_orderstatus <> 'F' GROUP BY 1, 2)
 SELECT CAST(coalesce(a.src, b.src) AS VARCHAR) AS src, CAST(coalesce(a.dst, b.dst) AS VARCHAR) AS dst, a.p AS priority, b.s AS status FROM a FULL JOIN b ON a.src = b.src AND a.dst = b.dst
 """)
 def edge_upsert(t):
     """Edges merge on their ends; properties of both sides stay, the newer win."""
 
     def side(rows, name, column):
-        g = rows.groupBy(F.col("o_custkey").cast("string").alias("src"), (F.col("o_orderkey") % 50).cast("string").alias("dst")).agg(F.max(column).alias("v"))
+        g = rows.groupBy(F.col("o_custkey").cast("string").alias("src"), F.col("l_suppkey").cast("string").alias("dst")).agg(F.max(column).alias("v"))
         nothing = F.lit(None).cast("string")
         return g.select(F.lit("ASKS").alias("label"), "src", "dst", nothing.alias("src_label"), nothing.alias("dst_label"), F.create_map(F.lit(name), F.col("v")).alias("props"))
 
-    merged = ST.upsert_edges(side(t.orders.where("o_orderkey % 2 = 0"), "priority", "o_orderpriority"), side(t.orders.where("o_orderkey % 3 = 0"), "status", "o_orderstatus"))
+    rows = t.orders.join(t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey"), "o_orderkey")
+    merged = ST.upsert_edges(side(rows.where("o_orderstatus = 'F'"), "priority", "o_orderpriority"), side(rows.where("o_orderstatus <> 'F'"), "status", "o_orderstatus"))
     return merged.select("src", "dst", F.try_element_at("props", F.lit("priority")).alias("priority"), F.try_element_at("props", F.lit("status")).alias("status"))
 
 
@@ -66,7 +67,7 @@ def render_cap(t):
 
 
 @query("""
-WITH n AS (SELECT 'before' AS scan, count(*) FILTER (o_orderstatus = 'O') AS a, count(*) FILTER (o_orderstatus = 'F') AS b FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT 'after', count(*) FILTER (o_orderstatus = 'O'), NULL FROM orders)
+WITH n AS (SELECT 'before' AS scan, count(*) FILTER (o_orderstatus = 'O') AS a, count(*) FILTER (o_orderstatus = 'F') AS b FROM orders WHERE o_orderdate < TIMESTAMP '1995-06-01' UNION ALL SELECT 'after', count(*) FILTER (o_orderstatus = 'O'), NULL FROM orders)
 SELECT 'open' AS metric, (SELECT a FROM n WHERE scan = 'before') AS before, (SELECT a FROM n WHERE scan = 'after') AS after
 UNION ALL SELECT 'final', (SELECT b FROM n WHERE scan = 'before'), NULL
 """)
@@ -78,7 +79,7 @@ def scan_diff(t):
         name = F.when(F.col("o_orderstatus") == "O", "open").when(F.col("o_orderstatus") == "F", "final")
         return g.where(F.col("o_orderstatus").isin(statuses)).select(name.alias("metric"), "value")
 
-    return G.metric_diff(metrics(t.orders.where("o_orderkey % 2 = 0"), ["O", "F"]), metrics(t.orders, ["O"]))
+    return G.metric_diff(metrics(t.orders.where(F.col("o_orderdate") < F.lit("1995-06-01").cast("timestamp_ntz")), ["O", "F"]), metrics(t.orders, ["O"]))
 
 
 @query("""
