@@ -10,17 +10,21 @@ from pyspark.sql.window import Window as W
 
 from ..sources.ledgers import place
 
-OUTCOMES = ("delivered", "revised", "dropped", "superseded")
+# The ledger's vocabulary.
+KINDS = ("open", "review", "acceptance", "retrospective", "close")
+EVENTS = ("assigned", "start", "end", "skipped", "deliverable", "revision", "commitment", "resolution", "comparator")
+OUTCOMES = ("appeared", "absent", "superseded")
+ARMS = ("solo", "ticket")
 
 
 def occasion_indices(rows: DataFrame) -> DataFrame:
     """Started and skipped occasions numbered from 1 within their room and kind."""
     w = W.partitionBy("room", "ceremony_kind").orderBy("path", "line_no")
-    return rows.where("event IN ('started', 'skipped')").withColumn("index", F.row_number().over(w))
+    return rows.where("event IN ('start', 'skipped')").withColumn("index", F.row_number().over(w))
 
 
 def next_index(rows: DataFrame) -> DataFrame:
-    return rows.where("event IN ('started', 'skipped')").groupBy("room", "ceremony_kind").agg((F.count("*") + 1).alias("next_index"))
+    return rows.where("event IN ('start', 'skipped')").groupBy("room", "ceremony_kind").agg((F.count("*") + 1).alias("next_index"))
 
 
 def deliverable_history(rows: DataFrame) -> DataFrame:
@@ -49,11 +53,11 @@ def assignment_space(counts: list[int]) -> int:
 
 
 def audit(rows: DataFrame) -> DataFrame:
-    """(finding, subject) over one ordered ledger. An occasion that is not ended is no defect."""
+    """(finding, subject) over one ordered ledger. An occasion that is not ended is no defect; acknowledged findings stay in the report."""
     at = lambda event, also=None: F.min(F.when((F.col("event") == event) & (F.lit(True) if also is None else also), place()))
-    o = rows.where("occasion_id IS NOT NULL").groupBy("occasion_id").agg(at("started").alias("started"), at("ended").alias("ended"), at("assigned").alias("assigned"), F.count_if(F.col("event") == "started").alias("starts"), F.count_if(F.col("event") == "ended").alias("ends"), at("acknowledged").alias("ack"))
-    d = rows.where("deliverable_id IS NOT NULL").groupBy("deliverable_id").agg(at("committed").alias("committed"), at("resolved").alias("resolved"), at("compared").alias("compared"), F.count_if(F.col("event") == "resolved").alias("resolutions"), F.count_if((F.col("event") == "resolved") & ~F.coalesce(F.col("outcome").isin(list(OUTCOMES)), F.lit(False))).alias("odd"), F.count_if((F.col("event") == "resolved") & (F.coalesce("evidence", F.lit("")) == "")).alias("bare"))
-    live = o.where("ack IS NULL")
+    o = rows.where("occasion_id IS NOT NULL").groupBy("occasion_id").agg(at("start").alias("started"), at("end").alias("ended"), at("assigned").alias("assigned"), F.count_if(F.col("event") == "start").alias("starts"), F.count_if(F.col("event") == "end").alias("ends"))
+    d = rows.where("deliverable_id IS NOT NULL").groupBy("deliverable_id").agg(at("commitment").alias("committed"), at("resolution").alias("resolved"), at("comparator").alias("compared"), F.count_if(F.col("event") == "resolution").alias("resolutions"), F.count_if((F.col("event") == "resolution") & ~F.coalesce(F.col("outcome").isin(list(OUTCOMES)), F.lit(False))).alias("odd"), F.count_if((F.col("event") == "resolution") & (F.coalesce("evidence", F.lit("")) == "")).alias("bare"))
+    live = o
     found = [
         ("ended without start", live.where("ended IS NOT NULL AND started IS NULL").select(F.col("occasion_id").alias("s"))),
         ("ended before start", live.where("ended < started").select(F.col("occasion_id").alias("s"))),
@@ -69,8 +73,38 @@ def audit(rows: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("finding"), F.col("s").alias("subject")) for name, df in found])
 
 
+def unacknowledged(findings: DataFrame, acknowledgements: DataFrame) -> DataFrame:
+    """Findings that no acknowledgement names as ``finding:subject``."""
+    name = F.concat_ws(":", F.regexp_replace("finding", " ", "-"), "subject")
+    return findings.join(acknowledgements.select(F.col("finding").alias("_f")), name == F.col("_f"), "left_anti")
+
+
+def refused_acknowledgements(findings: DataFrame, asked: DataFrame) -> DataFrame:
+    """(finding, why): acknowledgements (finding, reason) without a reason, or of what the audit does not report now."""
+    live = findings.select(F.concat_ws(":", F.regexp_replace("finding", " ", "-"), "subject").alias("finding")).distinct()
+    bare = asked.where(F.coalesce(F.trim("reason"), F.lit("")) == "").select("finding", F.lit("no reason").alias("why"))
+    return bare.unionByName(asked.join(live, "finding", "left_anti").select("finding", F.lit("not a current finding").alias("why")))
+
+
+def refused_rows(rows: DataFrame) -> DataFrame:
+    """(rule, subject, detail): rows with an event, kind, outcome or arm outside the vocabulary, and resolutions without evidence."""
+    def rule(where, name: str, detail: str) -> DataFrame:
+        return rows.where(where).select(F.lit(name).alias("rule"), F.coalesce("deliverable_id", "occasion_id").alias("subject"), F.coalesce(F.col(detail).cast("string"), F.lit("none")).alias("detail"))
+
+    outside = lambda c, names: ~F.coalesce(F.col(c).isin(list(names)), F.lit(False))
+    resolution = F.col("event") == "resolution"
+    parts = [
+        rule(outside("event", EVENTS), "unknown-event", "event"),
+        rule(F.col("ceremony_kind").isNotNull() & outside("ceremony_kind", KINDS), "unknown-kind", "ceremony_kind"),
+        rule(F.col("arm").isNotNull() & outside("arm", ARMS), "unknown-arm", "arm"),
+        rule(resolution & outside("outcome", OUTCOMES), "unknown-outcome", "outcome"),
+        rule(resolution & (F.coalesce(F.trim("evidence"), F.lit("")) == ""), "no-evidence", "evidence"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def open_commitments(rows: DataFrame) -> DataFrame:
-    return rows.where("event = 'committed'").join(rows.where("event = 'resolved'").select("deliverable_id").distinct(), "deliverable_id", "left_anti")
+    return rows.where("event = 'commitment'").join(rows.where("event = 'resolution'").select("deliverable_id").distinct(), "deliverable_id", "left_anti")
 
 
 def agent_closes(edges: DataFrame, closes: DataFrame) -> DataFrame:

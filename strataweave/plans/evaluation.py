@@ -123,8 +123,8 @@ def occasion_burn(usage: DataFrame, pins: DataFrame, ceremonies: DataFrame) -> D
     """(room, occasion, calls, weight): every call in the innermost occasion of its room that contains it, or in none."""
     calls = usage.join(L.pin_rooms(pins).withColumnRenamed("session_id", "session"), "session").withColumn("call", F.struct("session", "path", "ts", "weight"))
     calls = calls.withColumn("call_id", F.xxhash64("session", "path", "ts", F.monotonically_increasing_id()))
-    starts = ceremonies.where("event = 'started'").select("room", "occasion_id", L.parse_time(F.coalesce("ts_start", "ts")).alias("s"))
-    ends = L.last_wins(ceremonies.where("event = 'ended'").withColumn("e", L.parse_time(F.coalesce("ts_end", "ts"))), key="occasion_id", value="e")
+    starts = ceremonies.where("event = 'start'").select("room", "occasion_id", L.parse_time(F.coalesce("ts_start", "ts")).alias("s"))
+    ends = L.last_wins(ceremonies.where("event = 'end'").withColumn("e", L.parse_time(F.coalesce("ts_end", "ts"))), key="occasion_id", value="e")
     spans = starts.join(ends, "occasion_id", "left")
     from ..operators.iterate import settle
 

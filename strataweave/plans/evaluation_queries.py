@@ -150,13 +150,13 @@ def withholding_last(t):
 def _ceremonies(t: Tables) -> DataFrame:
     """Sign-ups start occasions, purchases end them, errors are skipped ones, clicks commit and views resolve deliverables."""
     e = t.events.select("event_id", "user_id", "event_type", k().alias("k"))
-    event = F.when(F.col("event_type") == "signup", "started").when(F.col("event_type") == "purchase", "ended").when(F.col("event_type") == "error", "skipped").when(F.col("event_type") == "click", "committed").otherwise("resolved")
+    event = F.when(F.col("event_type") == "signup", "start").when(F.col("event_type") == "purchase", "end").when(F.col("event_type") == "error", "skipped").when(F.col("event_type") == "click", "commitment").otherwise("resolution")
     occasion = F.col("event_type").isin("signup", "purchase")
     thing = F.col("event_type").isin("click", "view")
     return e.select(
         event.alias("event"), F.concat(F.lit("room"), (F.col("user_id") % 5).cast("string")).alias("room"), F.lit("review").alias("ceremony_kind"),
         F.when(occasion, F.concat(F.lit("o"), F.col("user_id").cast("string"))).alias("occasion_id"), F.when(thing, F.concat(F.lit("d"), F.col("k").cast("string"))).alias("deliverable_id"),
-        F.when(F.col("event_type") == "view", F.when(F.col("k") % 3 == 0, "delivered").when(F.col("k") % 3 == 1, "lost").otherwise("revised")).alias("outcome"), F.when(F.col("k") % 4 != 0, "e").alias("evidence"), F.when(F.col("event_type") == "click", F.concat(F.lit("arm"), (F.col("event_id") % 2).cast("string"))).alias("arm"), F.lit("c").alias("path"), F.col("event_id").alias("line_no"),
+        F.when(F.col("event_type") == "view", F.when(F.col("k") % 3 == 0, "appeared").when(F.col("k") % 3 == 1, "lost").otherwise("absent")).alias("outcome"), F.when(F.col("k") % 4 != 0, "e").alias("evidence"), F.when(F.col("event_type") == "click", F.concat(F.lit("arm"), (F.col("event_id") % 2).cast("string"))).alias("arm"), F.lit("c").alias("path"), F.col("event_id").alias("line_no"),
     )
 
 
@@ -186,7 +186,7 @@ def open_commitments(t):
     return CE.open_commitments(_ceremonies(t)).select(F.col("line_no").alias("event_id"))
 
 
-@query(f"{_EV} SELECT 'd' || k AS deliverable_id, string_agg(CASE WHEN event_type = 'view' THEN CASE k % 3 WHEN 0 THEN 'delivered' WHEN 1 THEN 'lost' ELSE 'revised' END END, ',' ORDER BY event_id) AS outcomes, arg_max('arm' || (event_id % 2), event_id) FILTER (event_type = 'click') AS arm FROM ev WHERE event_type IN ('click', 'view') GROUP BY 1")
+@query(f"{_EV} SELECT 'd' || k AS deliverable_id, string_agg(CASE WHEN event_type = 'view' THEN CASE k % 3 WHEN 0 THEN 'appeared' WHEN 1 THEN 'lost' ELSE 'absent' END END, ',' ORDER BY event_id) AS outcomes, arg_max('arm' || (event_id % 2), event_id) FILTER (event_type = 'click') AS arm FROM ev WHERE event_type IN ('click', 'view') GROUP BY 1")
 def deliverable_history(t):
     outcomes = F.array_join("outcomes", ",")
     return CE.deliverable_history(_ceremonies(t)).select("deliverable_id", F.when(outcomes != "", outcomes).alias("outcomes"), "arm")
@@ -198,3 +198,9 @@ def change_points(t):
     at = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
     rows = t.events.select(at.alias("ts"), (k() % 3).cast("string").alias("fingerprint"), F.col("event_id").alias("line_no"), F.lit("r").alias("path"))
     return L.ranker_changes(rows).select(F.unix_micros("ts").alias("at_us"), "fingerprint")
+
+
+@query(f"{_EV}, r AS (SELECT *, coalesce('d' || CASE WHEN event_type IN ('click', 'view') THEN k END, 'o' || user_id) AS subject FROM ev) SELECT 'unknown-arm' AS rule, subject, 'arm' || (event_id % 2) AS detail FROM r WHERE event_type = 'click' UNION ALL SELECT 'unknown-outcome', subject, 'lost' FROM r WHERE event_type = 'view' AND k % 3 = 1 UNION ALL SELECT 'no-evidence', subject, 'none' FROM r WHERE event_type = 'view' AND k % 4 = 0")
+def ceremony_refusals(t):
+    """Rows that the ledger's vocabulary refuses; every click names an arm that there is not."""
+    return CE.refused_rows(_ceremonies(t)).where("subject IS NOT NULL")

@@ -10,6 +10,7 @@ from ..operators import ranking as R
 from ..operators.traversal import T
 from .memory_graph import MEMORY_SQL, memory_graph
 from .recall import Recall
+from . import writers as WR
 from .recipes import RECIPES
 from .registry import query
 
@@ -122,6 +123,73 @@ _register(
     lambda g: Recall(g, _BOTH).keyword(ASK, 10).select("kind", "node", "position", "source_title"),
 )
 
+_register(
+    "recall_consultations",
+    "SELECT vid, expert, status, (SELECT count(*) FROM e WHERE label = 'REFERENCES' AND src = vid) AS citations FROM exc WHERE expert = 'exp2' OR from_scope = 'exp2' ORDER BY ts_us DESC, vid LIMIT 12",
+    lambda g: _consultations(g),
+)
+_register("sessions_with_claims", "SELECT session, count(*) AS claims FROM clm GROUP BY 1", lambda g: Recall(g).sessions_with_claims())
+_register("known_claims", "SELECT vid AS claim, session, kind, description FROM clm WHERE session = (SELECT min(vid) FROM ses)", lambda g: Recall(g).known_claims(g.vertices.where("label = 'Session'").agg(F.min("vid")).first()[0] or ""))
+
+
+def _consultations(g):
+    """Exchanges of one expert; the caller's grant is main, where exchanges live, and the expert's scope."""
+    own = Recall(g, ["main"])
+    own.scopes = ["exp2"]
+    return own.consultations(12).select("vid", "expert", "status", "citations")
+
+
+# Writers -------------------------------------------------------------------------------
+_NOW = F.lit("2024-03-01").cast("timestamp")
+
+
+def _opened(g):
+    """Every session asks an expert and shows its first claim."""
+    s = g.vertices.where("label = 'Session'")
+    first = g.edges.where("label = 'CONTAINS'").groupBy(F.col("src").alias("vid")).agg(F.min("dst").alias("claim"))
+    asked = s.join(first, "vid").select(F.concat(F.lit("t"), "session_id").alias("ticket"), F.col("session_id").alias("session"), F.lit("exp1").alias("expert"), F.lit("main").alias("from_scope"), F.col("summary").alias("question"), F.array("claim", "claim").alias("brief"))
+    v, e = WR.open_exchanges(asked, s, _NOW)
+    return v.select(F.lit("vertex").alias("what"), "vid", F.col("status").alias("detail")).unionByName(e.select(F.col("label").alias("what"), F.concat_ws(">", "src", "dst").alias("vid"), F.coalesce(F.try_element_at("props", F.lit("role")), F.lit("")).alias("detail")))
+
+
+_register("write_open_exchanges", """SELECT 'vertex' AS what, 'scope:main:exchange:t' || session_id AS vid, 'open' AS detail FROM ses UNION ALL SELECT 'CONSULTS', vid || '>scope:main:exchange:t' || session_id, '' FROM ses
+UNION ALL SELECT 'REFERENCES', 'scope:main:exchange:t' || conv_id || '>' || min(vid), 'brief' FROM clm GROUP BY conv_id""", _opened)
+
+
+def _closed(g):
+    """All exchanges are answered at once; those of exp3 are refused, and those already answered stay."""
+    x = g.vertices.where("label = 'Exchange'")
+    answers = x.select(F.col("vid").alias("exchange"), F.lit("yes").alias("answer"), F.array(F.lit("scope:lit:claim:b1"), F.lit("scope:lit:claim:b1")).alias("cited"), F.lit("agent").alias("agent"))
+    refused = x.where("expert = 'exp3'").select(F.col("vid").alias("subject"))
+    v, e = WR.close_exchanges(answers, x, refused, _NOW)
+    return v.join(e.select(F.col("src").alias("vid"), "dst"), "vid").select("vid", "status", "dst")
+
+
+_register("write_close_exchanges", "SELECT vid, 'answered' AS status, 'scope:lit:claim:b1' AS dst FROM exc WHERE status = 'open' AND expert <> 'exp3'", _closed)
+
+
+def _threads_closed(g):
+    closes = g.vertices.where("label = 'Thread'").select(F.col("vid").alias("thread"), F.lit("op").alias("agent"), F.lit("resolved").alias("status"), F.col("title").alias("basis"), F.lit("r1").alias("approval_ref"))
+    gone = closes.select(F.concat("thread", F.lit("-gone")).alias("thread"), "agent", "status", "basis", "approval_ref")
+    v, e, missing = WR.close_threads(closes.unionByName(gone), g.vertices, _NOW)
+    ends = e.select(F.col("dst").alias("vid"), F.try_element_at("props", F.lit("basis")).alias("basis"))
+    return v.join(ends, "vid").select("vid", "status", "basis").unionByName(missing.select(F.col("thread").alias("vid"), F.lit("missing").alias("status"), F.lit("").alias("basis")))
+
+
+_register("write_close_threads", "SELECT vid, 'resolved' AS status, title AS basis FROM thr UNION ALL SELECT vid || '-gone', 'missing', '' FROM thr", _threads_closed)
+
+
+def _landed(g):
+    tr = g.vertices.where("label = 'Trace'").select(F.element_at(F.split("vid", ":"), -1).alias("trace_id"), F.lit("main").alias("trace_scope"), "session_id", "tool", "injected_chars", "returned_count", "ts")
+    back = g.edges.where("label = 'RETURNS'").select(F.element_at(F.split("src", ":"), -1).alias("trace_id"), F.col("dst").alias("node"), (F.try_element_at("props", F.lit("used")) == "true").alias("used"))
+    unknown = back.select("trace_id", F.concat("node", F.lit("-gone")).alias("node"), "used")
+    sessions = g.vertices.where("label = 'Session'")
+    v, e = WR.land_traces(tr, back.unionByName(unknown), sessions, g.vertices, _NOW)
+    return v.groupBy(F.lit("Trace").alias("what")).agg(F.count("*").alias("n"), F.sum("injected_chars").alias("chars")).unionByName(e.groupBy(F.concat_ws(" ", "label", "dst_label", F.try_element_at("props", F.lit("used"))).alias("what")).agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("chars")))
+
+
+_register("write_land_traces", "SELECT 'Trace' AS what, count(*) AS n, CAST(sum(cents) AS BIGINT) AS chars FROM trc UNION ALL SELECT 'QUERIES Trace', count(*), 0 FROM e WHERE label = 'QUERIES' UNION ALL SELECT concat_ws(' ', 'RETURNS Claim', used), count(*), 0 FROM e WHERE label = 'RETURNS' GROUP BY used", _landed)
+
 # Contract -----------------------------------------------------------------------------
 _register("contract_vertices", "SELECT 'provenance-hole' AS rule, vid AS subject, '' AS detail FROM v WHERE tier IS NULL UNION ALL SELECT 'laundered-claim', vid, CAST(tier AS VARCHAR) FROM v WHERE kind = 'paper/x' AND tier < 2", lambda g: C.check_vertices(g.vertices))
 _register("contract_edges", "SELECT 'illegal-crossing' AS rule, label || ' ' || src || ' ' || dst AS subject, '' AS detail FROM e WHERE label = 'SOLVED_BY' AND dst LIKE 'scope:lit:%' UNION ALL SELECT 'uncited-close', label || ' ' || src || ' ' || dst, '' FROM e WHERE src = 'agent:bot' AND approval_ref IS NULL", lambda g: C.check_edges(g.edges))

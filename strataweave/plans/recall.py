@@ -113,6 +113,26 @@ class Recall:
         """One exchange, or nothing to those who took no part in it."""
         return self.of("Exchange").where((F.col("vid") == vid) & (F.col("expert").isin(self.scopes) | F.col("from_scope").isin(self.scopes)))
 
+    def consultations(self, limit: int = 5) -> DataFrame:
+        """The newest exchanges that a granted scope took part in, with how many nodes each answer cites."""
+        x = self.of("Exchange").where(F.col("expert").isin(self.scopes) | F.col("from_scope").isin(self.scopes))
+        newest = x.orderBy(F.coalesce("answered_at", "ts").desc_nulls_last(), F.col("vid")).limit(limit)
+        cited = self.edges("REFERENCES").where(F.try_element_at("props", F.lit("role")) == "citation").groupBy(F.col("src").alias("vid")).agg(F.count("*").alias("citations"))
+        out = newest.join(cited, "vid", "left").withColumn("citations", F.coalesce("citations", F.lit(0)))
+        return out.orderBy(F.coalesce("answered_at", "ts").desc_nulls_last(), "vid")
+
+    def exchange_by_ticket(self, ticket: str) -> DataFrame:
+        """What a writer needs of one exchange, whatever its parties."""
+        return self.of("Exchange").where((F.col("exchange_id") == ticket) | F.col("vid").endswith(f":exchange:{ticket}"))
+
+    def known_claims(self, session: str) -> DataFrame:
+        """Claims that a session holds already."""
+        return self._contained().where(F.col("session") == session).join(self.of("Claim").select(F.col("vid").alias("claim"), "kind", "description"), "claim")
+
+    def sessions_with_claims(self) -> DataFrame:
+        """(session, claims): sessions that hold any."""
+        return self._contained().groupBy("session").agg(F.count("*").alias("claims"))
+
     def brief(self, question: str, limit: int = 5) -> DataFrame:
         """(section, node) of what a consulted expert should see first; each node once, in its first section."""
         parts = [

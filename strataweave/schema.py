@@ -80,6 +80,7 @@ LEDGERS = {
     "conditioning": _ddl(ts=_S, session_id=_S, scope=_S, event=_S, harness=_S, agent=_S, **{"class": _S}, version=_I),
     "pins": _ddl(session_id=_S, scope=_S, agent=_S, room=_S, forked_from=_S, cwd=_S, entrypoint=_S, tmux_pane=_S, repo_root=_S, project=_S, ts=_S, event=_S),
     "ceremonies": _ddl(event=_S, room=_S, ceremony_kind=_S, occasion_index=_I, occasion_id=_S, participant_scopes="ARRAY<STRING>", deliverable_ids="ARRAY<STRING>", deliverable_id=_S, arm=_S, units="ARRAY<STRING>", arms="ARRAY<STRING>", counts="ARRAY<INT>", assignment="MAP<STRING,STRING>", assignment_seed=_S, prereg_id=_S, ts=_S, ts_start=_S, ts_end=_S, outcome=_S, resolver=_S, evidence=_S, reason=_S),
+    "acknowledgements": _ddl(finding=_S, reason=_S, ts=_S),
     "closes": _ddl(event=_S, ref=_S, thread_id=_S, scope=_S, basis=_S, disposition=_S, rationale=_S, proposed_by=_S, surface=_S, approver_evidence=_S, approved_by=_S, reason=_S, ts=_S),
     "rankers": _ddl(ts=_S, fingerprint=_S, pid=_S, version=_S),
     "policy": _ddl(version=_S, rate=_D, session_id=_S, scope=_S, tool=_S, ts=_S, seed=_S, offered="ARRAY<STRING>", withheld="ARRAY<STRING>", response_sha256=_S),

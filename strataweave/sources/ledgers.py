@@ -163,8 +163,9 @@ def pending_closes(closes: DataFrame) -> DataFrame:
     return closes.where("event = 'proposed'").join(closes.where("event IN ('approved', 'rejected')").select("ref").distinct(), "ref", "left_anti")
 
 
-def acknowledgements(ceremonies: DataFrame) -> DataFrame:
-    return last_wins(ceremonies.where("event = 'acknowledged'"), key="occasion_id", value="reason")
+def acknowledgements(rows: DataFrame) -> DataFrame:
+    """(finding, reason): the last reason for each acknowledged finding."""
+    return last_wins(rows.where("coalesce(finding, '') <> ''").withColumn("reason", F.coalesce("reason", F.lit("no reason given"))), key="finding", value="reason")
 
 
 def unique_prefix(rows: DataFrame, prefix: str, *, key: str = "session_id") -> DataFrame:

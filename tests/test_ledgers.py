@@ -30,7 +30,7 @@ def home(tmp_path_factory):
     lines(at / "pins/pins.jsonl", [{"session_id": "s1", "scope": "old", "room": "", "ts": "2026-07-01T00:00:00Z"}, {"session_id": "s1", "scope": "main", "room": "red"}, {"event": "engaged", "session_id": "s1", "scope": "x"}, {"session_id": "s3", "scope": "lit", "cwd": "/w"}, "junk", {"session_id": "s3", "scope": "lit2", "ts": "2026-01-01T00:00:00Z", "cwd": ""}])
     lines(at / "guards/2026-07.jsonl", [{"ts": f"2026-07-01T00:00:0{k}Z", "session_id": "g", "verdict": v, "branch": b, "fingerprint": f, "command_hash": h} for k, (v, b, f, h) in enumerate([("block", "", "v,out", "h1"), ("pass", "terminal", "v,out,count", "h2"), ("block", "", "v,in", "h3"), ("block", "", "v,in", "h4"), ("pass", "terminal", "e", "h5"), ("note", "", "", "")])])
     lines(at / "conditioning/2026-07.jsonl", [{"ts": "2026-07-02T09:59:00Z", "session_id": "s1", "class": "retrospect"}, {"ts": "2026-07-02T10:30:00Z", "session_id": "s1", "class": "design"}, {"ts": "2026-06-01T08:00:00Z", "session_id": "s2", "class": "milestone", "harness": "codex"}])
-    lines(at / "ceremonies/c.jsonl", [{"event": "assigned", "occasion_id": "o1"}, {"event": "started", "room": "red", "ceremony_kind": "retro", "occasion_id": "o1", "ts_start": "2026-07-02T09:00:00Z"}, {"event": "ended", "occasion_id": "o1", "ts_end": "2026-07-02T12:00:00Z"}, {"event": "started", "room": "red", "ceremony_kind": "retro", "occasion_id": "o2", "ts_start": "2026-07-02T10:00:00Z"}, {"event": "ended", "occasion_id": "o2", "ts_end": "2026-07-02T10:30:00Z"}, {"event": "ended", "occasion_id": "lost"}, {"event": "skipped", "room": "red", "ceremony_kind": "retro", "occasion_id": "o3"}, {"event": "committed", "deliverable_id": "d1"}, {"event": "resolved", "deliverable_id": "d2", "outcome": "magic", "evidence": ""}])
+    lines(at / "ceremonies/c.jsonl", [{"event": "assigned", "occasion_id": "o1"}, {"event": "start", "room": "red", "ceremony_kind": "retro", "occasion_id": "o1", "ts_start": "2026-07-02T09:00:00Z"}, {"event": "end", "occasion_id": "o1", "ts_end": "2026-07-02T12:00:00Z"}, {"event": "start", "room": "red", "ceremony_kind": "retro", "occasion_id": "o2", "ts_start": "2026-07-02T10:00:00Z"}, {"event": "end", "occasion_id": "o2", "ts_end": "2026-07-02T10:30:00Z"}, {"event": "end", "occasion_id": "lost"}, {"event": "skipped", "room": "red", "ceremony_kind": "retro", "occasion_id": "o3"}, {"event": "commitment", "deliverable_id": "d1"}, {"event": "resolution", "deliverable_id": "d2", "outcome": "magic", "evidence": ""}])
     usage = lambda ts, **u: {"type": "assistant", "timestamp": ts, "message": {"content": "x", "usage": u}}
     lines(at / "projects/p/s1.jsonl", [
         {"type": "user", "uuid": "u1", "timestamp": "2026-07-02T09:50:00Z", "cwd": "/w", "message": {"content": "please fix the parser"}},
