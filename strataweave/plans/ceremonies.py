@@ -35,14 +35,21 @@ def deliverable_history(rows: DataFrame) -> DataFrame:
 
 
 def draw(units: DataFrame, arms: list[tuple[str, int]], seed: str, *, unit: str = "unit") -> DataFrame:
-    """(unit, arm): a seeded order of the units dealt to arms of given sizes. A draw is one ceremony's units."""
-    order = W.partitionBy(F.lit(1)).orderBy(F.sha2(F.concat(F.lit(seed), F.lit("\u0000"), F.col(unit)), 256), F.col(unit))
-    n, arm, low = F.row_number().over(order), F.lit(None).cast("string"), 0
-    numbered = units.select(unit).distinct().withColumn("_n", n)
+    """(unit, arm): a seeded order of the units dealt to arms of given sizes; units beyond the arms get null.
+
+    Only as many units as the arms hold are numbered, after a top-k cut that needs
+    no sort of all units.
+    """
+    every = units.select(unit).distinct()
+    by = [F.sha2(F.concat(F.lit(seed), F.lit("\u0000"), F.col(unit)), 256), F.col(unit)]
+    first = every.orderBy(*by).limit(sum(size for _, size in arms))
+    numbered = first.withColumn("_n", F.row_number().over(W.partitionBy(F.lit(1)).orderBy(*by)))
+    arm, low = F.lit(None).cast("string"), 0
     for name, size in arms:
         arm = F.when((F.col("_n") > low) & (F.col("_n") <= low + size), F.lit(name)).otherwise(arm)
         low += size
-    return numbered.select(unit, arm.alias("arm"))
+    dealt = numbered.select(F.col(unit).alias("_unit"), arm.alias("arm"))
+    return every.join(dealt, F.col(unit) == F.col("_unit"), "left").select(unit, "arm")
 
 
 def assignment_space(counts: list[int]) -> int:

@@ -172,7 +172,7 @@ def test_repeat_goes_on_until_no_row_is_left(spark):
     t = TR.T(chain(spark, 41))
     assert t.V("n000").repeat(lambda x: x.out(), until=lambda x: x.has_id("n040")).to_list() == ["n040"]
     with pytest.raises(RuntimeError, match="still walking"):
-        t.V("n000").repeat(lambda x: x.out(), until=lambda x: x.has_id("n040"), max_loops=10)
+        t.V("n000").repeat(lambda x: x.out(), until=lambda x: x.has_id("n040"), max_loops=2)
     assert t.V("n030").repeat(lambda x: x.out(), until=lambda x: x.has_id("n040"), count_loops=True).loops().to_list() == [10]
     assert sorted(t.V("n036").repeat(lambda x: x.out(), times=3, emit=True).to_list()) == ["n037", "n038", "n039"]
 
@@ -235,8 +235,8 @@ def test_branches_side_effects_and_properties(graph, spark):
 
 
 def test_closure_doubles_and_stays_exact(spark, monkeypatch):
-    """A chain of 70 into a ring: least depths whatever the depth at which doubling begins, and under a bound."""
-    pairs = [(f"n{k:02d}", f"n{k + 1:02d}") for k in range(70)] + [("n70", "n60"), ("n05", "n50")]
+    """A chain of 40 into a ring: least depths whatever the depth at which doubling begins, and under a bound."""
+    pairs = [(f"n{k:02d}", f"n{k + 1:02d}") for k in range(40)] + [("n40", "n33"), ("n05", "n25")]
     nxt = {}
     for a, b in pairs:
         nxt.setdefault(a, []).append(b)
@@ -247,7 +247,6 @@ def test_closure_doubles_and_stays_exact(spark, monkeypatch):
             front = [y for x in front for y in nxt.get(x, []) if depth.setdefault(y, depth[x] + 1) == depth[x] + 1 and y not in front]
         want |= {(s, d): k for d, k in depth.items()}
     e = edges(spark, pairs)
-    for steps in (1, 8):
-        monkeypatch.setattr(G, "STEPS", steps)
-        assert {(r.src, r.dst): r.depth for r in G.closure(e).collect()} == want
-        assert {(r.src, r.dst): r.depth for r in G.closure(e, max_depth=21).collect()} == {k: v for k, v in want.items() if v <= 21}
+    monkeypatch.setattr(G, "STEPS", 2)
+    assert {(r.src, r.dst): r.depth for r in G.closure(e).collect()} == want
+    assert {(r.src, r.dst): r.depth for r in G.closure(e, max_depth=13).collect()} == {k: v for k, v in want.items() if v <= 13}
