@@ -179,16 +179,18 @@ def echoes(own: DataFrame, external: DataFrame, *, key: str, text: str, group: s
     return n.withColumn("echo", (F.col("matched") >= F.least("n", F.lit(MIN_TERMS))) & (F.col("matched") / F.col("n") >= MIN_RATIO))
 
 
-def ingress_floor(claims: DataFrame, external: DataFrame, *, text: str = "description", group: str | None = "session", verifiable: bool = True, key: str = "claim_id", stop: tuple[str, ...] = ()) -> DataFrame:
+def ingress_floor(claims: DataFrame, external: DataFrame, *, text: str = "description", group: str | None = "session", verifiable: bool = True, key: str = "claim_id", stop: tuple[str, ...] = (), counts: DataFrame | None = None) -> DataFrame:
     """Tier 2 for claims that are marked or echo the (session's) external texts; never a rise in trust.
 
-    If the format cannot carry tool results, everything is floored.
+    If the format cannot carry tool results, everything is floored. ``counts`` are
+    the claims' ``echoes`` where the caller has them already.
     """
     reason = "transcript-ingress" if verifiable else "transcript-ingress-unverifiable"
     if not verifiable:
         hit = claims.withColumn("_echo", F.lit(True))
     else:
-        n = echoes(claims, external, key=key, text=text, group=group, stop=stop).select(F.col(key).alias("_key"), F.col("echo").alias("_echo"))
+        found = echoes(claims, external, key=key, text=text, group=group, stop=stop) if counts is None else counts
+        n = found.select(F.col(key).alias("_key"), F.col("echo").alias("_echo"))
         hit = claims.join(n, F.col(key) == F.col("_key"), "left").drop("_key").withColumn("_echo", F.coalesce("_echo", F.lit(False)) | F.coalesce("external", F.lit(False)))
     origin = F.concat(F.lit("session:"), F.col(group) if group else F.lit(""), F.lit(f"#{reason}"))
     return hit.select(*[c for c in claims.columns if c not in ("tier", "external", "source")], F.when(F.col("_echo"), F.greatest("tier", F.lit(2))).otherwise(F.col("tier")).alias("tier"), (F.col("_echo") | F.coalesce("external", F.lit(False))).alias("external"), F.when(F.col("_echo"), origin).otherwise(F.col("source")).alias("source"))

@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import contract as C
 from ..operators import joins as J
 from ..operators import ranking as R
+from ..operators.iterate import settle
 from . import evaluation as EV
 from .registry import query
 
@@ -242,6 +243,6 @@ SELECT doc_id, n, matched, matched >= least(n, 2) AND matched / n >= 0.3 AS exte
 def ingress_floor(t):
     """Texts that echo external passages are floored to tier 2, by the contract's own rule."""
     own = t.documents.select("doc_id", "text", F.lit(1).alias("tier"), F.lit(False).alias("external"), F.lit("").alias("source"))
-    counts = C.echoes(own, t.benchmark, key="doc_id", text="text", stop=T.STOP_WORDS)
-    floored = C.ingress_floor(own, t.benchmark, text="text", group=None, key="doc_id", stop=T.STOP_WORDS).select("doc_id", "external", "tier")
+    counts = settle(C.echoes(own, t.benchmark, key="doc_id", text="text", stop=T.STOP_WORDS))
+    floored = C.ingress_floor(own, t.benchmark, text="text", group=None, key="doc_id", counts=counts).select("doc_id", "external", "tier")
     return counts.select("doc_id", "n", "matched").join(floored, "doc_id").select("doc_id", "n", "matched", "external", "tier")
