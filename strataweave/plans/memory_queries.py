@@ -140,7 +140,9 @@ def _consultations(g):
 
 
 # Writers -------------------------------------------------------------------------------
-_NOW = F.lit("2024-03-01").cast("timestamp")
+def _now():
+    return F.lit("2024-03-01").cast("timestamp")
+
 
 
 def _opened(g):
@@ -148,7 +150,7 @@ def _opened(g):
     s = g.vertices.where("label = 'Session'")
     first = g.edges.where("label = 'CONTAINS'").groupBy(F.col("src").alias("vid")).agg(F.min("dst").alias("claim"))
     asked = s.join(first, "vid").select(F.concat(F.lit("t"), "session_id").alias("ticket"), F.col("session_id").alias("session"), F.lit("exp1").alias("expert"), F.lit("main").alias("from_scope"), F.col("summary").alias("question"), F.array("claim", "claim").alias("brief"))
-    v, e = WR.open_exchanges(asked, s, _NOW)
+    v, e = WR.open_exchanges(asked, s, _now())
     return v.select(F.lit("vertex").alias("what"), "vid", F.col("status").alias("detail")).unionByName(e.select(F.col("label").alias("what"), F.concat_ws(">", "src", "dst").alias("vid"), F.coalesce(F.try_element_at("props", F.lit("role")), F.lit("")).alias("detail")))
 
 
@@ -161,7 +163,7 @@ def _closed(g):
     x = g.vertices.where("label = 'Exchange'")
     answers = x.select(F.col("vid").alias("exchange"), F.lit("yes").alias("answer"), F.array(F.lit("scope:lit:claim:b1"), F.lit("scope:lit:claim:b1")).alias("cited"), F.lit("agent").alias("agent"))
     refused = x.where("expert = 'exp3'").select(F.col("vid").alias("subject"))
-    v, e = WR.close_exchanges(answers, x, refused, _NOW)
+    v, e = WR.close_exchanges(answers, x, refused, _now())
     return v.join(e.select(F.col("src").alias("vid"), "dst"), "vid").select("vid", "status", "dst")
 
 
@@ -171,7 +173,7 @@ _register("write_close_exchanges", "SELECT vid, 'answered' AS status, 'scope:lit
 def _threads_closed(g):
     closes = g.vertices.where("label = 'Thread'").select(F.col("vid").alias("thread"), F.lit("op").alias("agent"), F.lit("resolved").alias("status"), F.col("title").alias("basis"), F.lit("r1").alias("approval_ref"))
     gone = closes.select(F.concat("thread", F.lit("-gone")).alias("thread"), "agent", "status", "basis", "approval_ref")
-    v, e, missing = WR.close_threads(closes.unionByName(gone), g.vertices, _NOW)
+    v, e, missing = WR.close_threads(closes.unionByName(gone), g.vertices, _now())
     ends = e.select(F.col("dst").alias("vid"), F.try_element_at("props", F.lit("basis")).alias("basis"))
     return v.join(ends, "vid").select("vid", "status", "basis").unionByName(missing.select(F.col("thread").alias("vid"), F.lit("missing").alias("status"), F.lit("").alias("basis")))
 
@@ -184,7 +186,7 @@ def _landed(g):
     back = g.edges.where("label = 'RETURNS'").select(F.element_at(F.split("src", ":"), -1).alias("trace_id"), F.col("dst").alias("node"), (F.try_element_at("props", F.lit("used")) == "true").alias("used"))
     unknown = back.select("trace_id", F.concat("node", F.lit("-gone")).alias("node"), "used")
     sessions = g.vertices.where("label = 'Session'")
-    v, e = WR.land_traces(tr, back.unionByName(unknown), sessions, g.vertices, _NOW)
+    v, e = WR.land_traces(tr, back.unionByName(unknown), sessions, g.vertices, _now())
     return v.groupBy(F.lit("Trace").alias("what")).agg(F.count("*").alias("n"), F.sum("injected_chars").alias("chars")).unionByName(e.groupBy(F.concat_ws(" ", "label", "dst_label", F.try_element_at("props", F.lit("used"))).alias("what")).agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("chars")))
 
 
