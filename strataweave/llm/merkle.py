@@ -103,7 +103,7 @@ def edited(text: str, following: str) -> str:
 
 
 _COLUMNS = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-_SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_SCHEMA = "doc_id {id}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
 def _row(doc_id, text: str, own: str, following: str, next_print: str) -> tuple:
@@ -113,16 +113,29 @@ def _row(doc_id, text: str, own: str, following: str, next_print: str) -> tuple:
     return doc_id, len(text), sha, own, print_, likeness(own, print_), likeness(own, next_print)
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+def _batch(rows: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
+    types = [id_type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
     columns = list(zip(*rows, strict=True)) if rows else [[]] * len(types)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=_COLUMNS)
 
 
+def _part_batch(kind: int, rows: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
+    """Rows (doc_id, text) at an end of this task's range."""
+    ids, texts = zip(*rows, strict=True)
+    body = _batch([], id_type).schema
+    columns = [pa.array([TaskContext.get().partitionId()] * len(rows), pa.int32()), pa.array([kind] * len(rows), pa.int32()), pa.array(texts, pa.string()), pa.array(ids, id_type)]
+    empty = [pa.nulls(len(rows), f.type) for f in body if f.name != "doc_id"]
+    return pa.RecordBatch.from_arrays([*columns, *empty], names=["part", "kind", "text", *_COLUMNS])
+
+
 def _along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one range partition in order: all but the last meet their next one here."""
-    held = None
+    """Rows of one range partition in order: all but the last meet their next one here (kind 0).
+
+    The partition's first row (kind 1) and its last (kind 2) leave as they are, to meet those of other partitions.
+    """
+    held = id_type = None
     for whole in batches:
+        id_type = whole.column("doc_id").type
         for batch in (whole.slice(a, 256) for a in range(0, whole.num_rows, 256)):
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -130,20 +143,14 @@ def _along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own = fingerprint(text)
                 if held:
                     rows.append(_row(*held, text, own))
+                else:
+                    yield _part_batch(1, [(doc_id, text)], id_type)
                 held = doc_id, text, own
-            yield _batch(rows)
-
-
-def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first and the last row of a range partition."""
-    first = last = None
-    for batch in batches:
-        if batch.num_rows:
-            first = first if first is not None else batch.slice(0, 1)
-            last = batch.slice(batch.num_rows - 1, 1)
-    for kind, row in enumerate((first, last)):
-        if row is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([kind], pa.int32()), row.column("doc_id"), row.column("text")], names=["part", "kind", "doc_id", "text"])
+            done = _batch(rows, id_type)
+            front = [pa.nulls(len(rows), pa.int32()), pa.array([0] * len(rows), pa.int32()), pa.nulls(len(rows), pa.string())]
+            yield pa.RecordBatch.from_arrays([*front, *done.columns], names=["part", "kind", "text", *_COLUMNS])
+    if held:
+        yield _part_batch(2, [held[:2]], id_type)
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,16 +160,18 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for doc_id, text, following in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "next_text")), strict=True):
                 text, following = text or "", following or ""
                 rows.append(_row(doc_id, text, fingerprint(text), following, fingerprint(following)))
-            yield _batch(rows)
+            yield _batch(rows, whole.column("doc_id").type)
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next: one row per input row.
 
-    Rows are range-partitioned by id once and meet their next row where they
-    stand; only each partition's first and last row cross to another one, and
-    which partition follows which is told by their numbers alone. The row after
-    the last is the first. Null text is empty; null ids come first; rows that
+    Rows are range-partitioned by id and meet their next row where they stand;
+    only each partition's first and last row cross to another one, and which
+    partition follows which is told by their numbers alone. Ranges are cut anew
+    whenever a job runs, so one job writes both the finished rows and the ends,
+    and everything later reads what it wrote. The row after
+    the last is the first. Ids may be of any type that orders. Null text is empty; null ids come first; rows that
     repeat an id follow each other by a hash of their texts, and rows equal in
     both are alike, so they may be parted over tasks. Other columns are ignored,
     an empty table gives no rows, and a lone row follows itself.
@@ -170,15 +179,16 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     work = Workspace(spark)
     parts = min(MOST_PARTS, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     base = base.withColumns({"h": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
     ranged = base.repartitionByRange(parts, "doc_id", "h", "row").sortWithinPartitions("doc_id", "h", "row").select("doc_id", "text")
-    inner = ranged.mapInArrow(_along, _SCHEMA)
-    ends = work.keep(ranged.mapInArrow(_ends, "part int, kind int, doc_id long, text string"), "ends")
+    schema = _SCHEMA.format(id=base.schema["doc_id"].dataType.simpleString())
+    walked = work.keep(ranged.mapInArrow(_along, f"part int, kind int, text string, {schema}"), "walked")
+    ends = work.keep(walked.where("kind > 0").select("part", "kind", "doc_id", "text"), "ends")
     # One number a partition: the next one that has rows, and after the last the first.
     order = W.orderBy("part")
-    numbers = ends.where("kind = 0").select("part")
+    numbers = ends.where("kind = 1").select("part")
     turn = numbers.select("part", F.coalesce(F.lead("part").over(order), F.first("part").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("next_part"))
-    first = ends.where("kind = 0").select(F.col("part").alias("next_part"), F.col("text").alias("next_text"))
-    last = ends.where("kind = 1").join(turn, "part").join(first, "next_part").select("doc_id", "text", "next_text")
-    return inner.unionByName(last.mapInArrow(_pairs, _SCHEMA))
+    first = ends.where("kind = 1").select(F.col("part").alias("next_part"), F.col("text").alias("next_text"))
+    last = ends.where("kind = 2").join(turn, "part").join(first, "next_part").select("doc_id", "text", "next_text")
+    return walked.where("kind = 0").select(*_COLUMNS).unionByName(last.mapInArrow(_pairs, schema))

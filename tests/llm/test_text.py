@@ -176,6 +176,34 @@ def test_fingerprints_of_repeats_nulls_and_ends(spark):
     assert sum(r.near_next == 1.0 for r in got if r.doc_id == 1) >= 2
 
 
+@pytest.mark.parametrize("ranges", [8, 64])
+def test_fingerprints_of_many_rows_over_many_ranges(spark, ranges):
+    """Far more rows a partition than a range cut samples: every id comes out once and meets its true successor."""
+    n = 24_000
+    rng = np.random.default_rng(4)
+    ids = rng.permutation(n) * 2
+    text = {int(i): f"t{i * 7919 % 9973}. and {i % 17} more words of row {i}" for i in ids}
+    df = spark.createDataFrame([(int(i), text[int(i)]) for i in ids], "doc_id long, text string").coalesce(2)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
+    try:
+        got = merkle.fingerprints(df).select("doc_id", "n_chars", "edited_sha256").toPandas()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(got) == n and set(got.doc_id) == set(text)
+    for r in got.itertuples():
+        own, following = text[r.doc_id], text[(r.doc_id + 2) % (2 * n)]
+        cut = len(own) // 4
+        assert r.edited_sha256 == hashlib.sha256((own[: len(own) - cut] + following[:cut]).encode()).hexdigest()
+
+
+def test_fingerprints_of_text_ids(spark):
+    df = spark.createDataFrame([("b", "one two"), ("a", "three four"), (None, "x")], "doc_id string, text string")
+    got = {r.doc_id: r for r in merkle.fingerprints(df).collect()}
+    assert set(got) == {"a", "b", None}
+    assert got["a"].edited_sha256 == hashlib.sha256(b"three foon").hexdigest()
+
+
 @settings(max_examples=100, deadline=None)
 @given(a=st.text(alphabet="ab. \n!", max_size=80), b=st.text(alphabet="ab. \n!", max_size=80))
 def test_roots_test_equality(a, b):
