@@ -1,11 +1,11 @@
-"""The queries of the ten operators, with DuckDB SQL where SQL can express the result."""
+"""The queries of the thirteen operators, with DuckDB SQL where SQL can express the result."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_id, length_histogram, line_dedup, merkle, mixing, near_dedup, quality, url_filter
+from . import bpe, exact_dedup, filter_audit, language_id, length_histogram, line_dedup, merkle, mixing, near_dedup, quality, url_filter
 from .workspace import table
 
 #: Fixed rules of the URL query.
@@ -125,5 +125,43 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.select("doc_id", held_out.alias("held_out"), F.col("text").cast("string").alias("text")), model)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_cotraining, op2_near_dedup, op3_exact_dedup, op4_fingerprints, op5_url_filter, op6_line_dedup, op7_length_histogram, op8_bpe, op9_mixing, op10_language_id)}
-SQL = {"op2_near_dedup": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op6_line_dedup": OP6_SQL}
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), l AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id
+), m AS (
+  SELECT d.part, coalesce(l.good, 0) AS good, coalesce(l.toxic, 0) AS toxic,
+         CASE WHEN len(ws) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 2 ELSE 0 END
+         + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 4 ELSE 0 END
+         + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN d.doc_id > min(d.doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS mask
+  FROM d LEFT JOIN l ON l.doc_id = d.doc_id
+), c AS (
+  SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, mask
+), f AS (
+  SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS v(letter, bit)
+), o AS (
+  SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order
+  FROM f a, f b, f c, f d, f e WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31
+), s AS (
+  SELECT filter_order, i::INT AS step, f.bit, (SELECT coalesce(sum(g.bit), 0) FROM f g WHERE contains(left(filter_order, i::INT - 1), g.letter))::INT AS prior
+  FROM o, range(1, 6) AS r(i), f WHERE f.letter = filter_order[i::INT]
+), r AS (
+  SELECT c.part, filter_order, step, bit,
+         sum(CASE WHEN mask & (prior | bit) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN mask & bit > 0 AND mask & prior = 0 THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN mask & bit > 0 AND mask & prior > 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN mask & bit > 0 AND mask & prior = 0 THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN mask & bit > 0 AND mask & prior = 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM c, s GROUP BY ALL
+)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+       good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM r
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_cotraining, op2_near_dedup, op3_exact_dedup, op4_fingerprints, op5_url_filter, op6_line_dedup, op7_length_histogram, op8_bpe, op9_mixing, op10_language_id, op13_filter_audit)}
+SQL = {"op2_near_dedup": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op6_line_dedup": OP6_SQL, "op13_filter_audit": OP13_SQL}
