@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, filter_audit, language_id, length_histogram, line_dedup, merkle, mixing, near_dedup, quality, url_filter
+from . import bpe, collocations, exact_dedup, filter_audit, language_id, length_histogram, line_dedup, merkle, mixing, near_dedup, quality, url_filter
 from .workspace import table
 
 #: Fixed rules of the URL query.
@@ -125,6 +125,40 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.select("doc_id", held_out.alias("held_out"), F.col("text").cast("string").alias("text")), model)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), longest=3, least=10, top=2000, cover=50)
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), p AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)
+), g AS (
+  SELECT lang, k, ws[i:i + k - 1] AS w FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM p, (VALUES (1), (2), (3)) AS v(k))
+), f AS (
+  SELECT lang, w, len(w) AS k, count(*) AS a FROM g GROUP BY lang, w
+), s AS (
+  SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang
+), c AS (
+  SELECT lang, w, k, a FROM f WHERE k >= 2 AND a >= 10
+), u AS (
+  SELECT lang, w, k, a, 1 AS cut FROM c UNION ALL SELECT lang, w, k, a, 2 FROM c WHERE k = 3
+), x AS (
+  SELECT u.lang, u.w, u.k, u.a, u.cut, fl.a AS l, fr.a AS r, ((1000000::HUGEINT * u.a * u.a) // (fl.a::HUGEINT * fr.a))::BIGINT AS score
+  FROM u JOIN f fl ON fl.lang = u.lang AND fl.w = u.w[1:u.cut] JOIN f fr ON fr.lang = u.lang AND fr.w = u.w[u.cut + 1:]
+), b AS (
+  SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, cut) = 1
+), h AS (
+  SELECT lang, w, max(a) AS most FROM (SELECT lang, w[1:2] AS w, a FROM c WHERE k = 3 UNION ALL SELECT lang, w[2:3], a FROM c WHERE k = 3) GROUP BY lang, w
+), q AS (
+  SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, array_to_string(b.w, ' ')) AS rank, array_to_string(b.w, ' ') AS phrase, b.a, l, r, score
+  FROM b LEFT JOIN h ON h.lang = b.lang AND h.w = b.w WHERE h.most IS NULL OR 100 * h.most < 50 * b.a
+)
+SELECT q.lang, rank, phrase, a, l, r, n, score FROM q JOIN s ON s.lang = q.lang WHERE rank <= 2000
+"""
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -163,5 +197,5 @@ FROM r
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_cotraining, op2_near_dedup, op3_exact_dedup, op4_fingerprints, op5_url_filter, op6_line_dedup, op7_length_histogram, op8_bpe, op9_mixing, op10_language_id, op13_filter_audit)}
-SQL = {"op2_near_dedup": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op6_line_dedup": OP6_SQL, "op13_filter_audit": OP13_SQL}
+QUERIES = {f.__name__: f for f in (op1_quality_cotraining, op2_near_dedup, op3_exact_dedup, op4_fingerprints, op5_url_filter, op6_line_dedup, op7_length_histogram, op8_bpe, op9_mixing, op10_language_id, op11_collocations, op13_filter_audit)}
+SQL = {"op2_near_dedup": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op6_line_dedup": OP6_SQL, "op11_collocations": OP11_SQL, "op13_filter_audit": OP13_SQL}
