@@ -133,27 +133,30 @@ OP11_SQL = r"""
 WITH d AS (
   SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
 ), p AS (
-  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)
-), g AS (
-  SELECT lang, k, ws[i:i + k - 1] AS w FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM p, (VALUES (1), (2), (3)) AS v(k))
+  SELECT lang, row_number() OVER () AS piece, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)
+), v AS (
+  SELECT lang, w1, lead(w1) OVER o AS w2, lead(w1, 2) OVER o AS w3
+  FROM (SELECT lang, piece, unnest(ws) AS w1, generate_subscripts(ws, 1) AS i FROM p) WINDOW o AS (PARTITION BY piece ORDER BY i)
 ), f AS (
-  SELECT lang, w, len(w) AS k, count(*) AS a FROM g GROUP BY lang, w
+  SELECT lang, w1 AS phrase, 1 AS k, NULL AS l1, NULL AS r1, NULL AS l2, NULL AS r2, count(*) AS a FROM v GROUP BY lang, w1
+  UNION ALL SELECT lang, w1 || ' ' || w2, 2, w1, w2, NULL, NULL, count(*) FROM v WHERE w2 IS NOT NULL GROUP BY lang, w1, w2
+  UNION ALL SELECT lang, w1 || ' ' || w2 || ' ' || w3, 3, w1, w2 || ' ' || w3, w1 || ' ' || w2, w3, count(*) FROM v WHERE w3 IS NOT NULL GROUP BY lang, w1, w2, w3
+), e AS MATERIALIZED (
+  SELECT * FROM f WHERE a >= 10
 ), s AS (
   SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang
-), c AS (
-  SELECT lang, w, k, a FROM f WHERE k >= 2 AND a >= 10
 ), u AS (
-  SELECT lang, w, k, a, 1 AS cut FROM c UNION ALL SELECT lang, w, k, a, 2 FROM c WHERE k = 3
+  SELECT lang, phrase, k, a, 1 AS cut, l1 AS lp, r1 AS rp FROM e WHERE k >= 2 UNION ALL SELECT lang, phrase, k, a, 2, l2, r2 FROM e WHERE k = 3
 ), x AS (
-  SELECT u.lang, u.w, u.k, u.a, u.cut, fl.a AS l, fr.a AS r, ((1000000::HUGEINT * u.a * u.a) // (fl.a::HUGEINT * fr.a))::BIGINT AS score
-  FROM u JOIN f fl ON fl.lang = u.lang AND fl.w = u.w[1:u.cut] JOIN f fr ON fr.lang = u.lang AND fr.w = u.w[u.cut + 1:]
+  SELECT u.*, fl.a AS l, fr.a AS r, ((1000000::HUGEINT * u.a * u.a) // (fl.a::HUGEINT * fr.a))::BIGINT AS score
+  FROM u JOIN e fl ON fl.lang = u.lang AND fl.phrase = u.lp JOIN e fr ON fr.lang = u.lang AND fr.phrase = u.rp
 ), b AS (
-  SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, cut) = 1
+  SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
 ), h AS (
-  SELECT lang, w, max(a) AS most FROM (SELECT lang, w[1:2] AS w, a FROM c WHERE k = 3 UNION ALL SELECT lang, w[2:3], a FROM c WHERE k = 3) GROUP BY lang, w
+  SELECT lang, phrase, max(a) AS most FROM (SELECT lang, l2 AS phrase, a FROM e WHERE k = 3 UNION ALL SELECT lang, r1, a FROM e WHERE k = 3) GROUP BY lang, phrase
 ), q AS (
-  SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, array_to_string(b.w, ' ')) AS rank, array_to_string(b.w, ' ') AS phrase, b.a, l, r, score
-  FROM b LEFT JOIN h ON h.lang = b.lang AND h.w = b.w WHERE h.most IS NULL OR 100 * h.most < 50 * b.a
+  SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, b.phrase) AS rank, b.phrase, b.a, l, r, score
+  FROM b LEFT JOIN h ON h.lang = b.lang AND h.phrase = b.phrase WHERE h.most IS NULL OR 100 * h.most < 50 * b.a
 )
 SELECT q.lang, rank, phrase, a, l, r, n, score FROM q JOIN s ON s.lang = q.lang WHERE rank <= 2000
 """
