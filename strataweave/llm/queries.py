@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, collocations, exact_dedup, filter_audit, language_id, length_histogram, line_dedup, merkle, mixing, near_dedup, quality, url_filter
+from . import bpe, collocations, exact_dedup, filter_audit, language_id, length_histogram, line_dedup, merkle, mixing, near_dedup, quality, suffix_dedup, url_filter
 from .workspace import table
 
 #: Fixed rules of the URL query.
@@ -162,6 +162,36 @@ SELECT q.lang, rank, phrase, a, l, r, n, score FROM q JOIN s ON s.lang = q.lang
 """
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=400).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+OP12_SQL = r"""
+WITH b AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS raw, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), w AS (
+  SELECT doc_id, i, md5(raw[i:i + 399]) AS h FROM (SELECT doc_id, raw, unnest(range(1, n - 398)) AS i FROM b)
+), s AS (
+  SELECT doc_id, i FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)
+), e AS (
+  SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 THEN 0 ELSE 1 END AS opens FROM s
+), r AS (
+  SELECT doc_id, min(i) AS a, max(i) + 400 AS z, run FROM (SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM e) GROUP BY doc_id, run
+), k AS (
+  SELECT doc_id, run, a, z, lead(a) OVER (PARTITION BY doc_id ORDER BY run) AS following FROM r
+), p AS (
+  SELECT b.doc_id, 0 AS run, hex(raw[1:coalesce(f.a, n + 1) - 1]) AS part FROM b LEFT JOIN k f ON f.doc_id = b.doc_id AND f.run = 1
+  UNION ALL SELECT k.doc_id, k.run, hex(raw[z:coalesce(following, n + 1) - 1]) FROM k JOIN b ON b.doc_id = k.doc_id
+), t AS (
+  SELECT doc_id, string_agg(part, '' ORDER BY run) AS body FROM p GROUP BY doc_id
+), c AS (
+  SELECT doc_id, sum(z - a)::BIGINT AS gone, count(*) AS runs FROM r GROUP BY doc_id
+)
+SELECT b.doc_id, b.n AS n_bytes, coalesce(c.gone, 0) AS n_removed, coalesce(c.runs, 0) AS n_spans, sha256(unhex(t.body)) AS kept_sha256
+FROM b JOIN t ON t.doc_id = b.doc_id LEFT JOIN c ON c.doc_id = b.doc_id
+"""
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -200,5 +230,5 @@ FROM r
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_cotraining, op2_near_dedup, op3_exact_dedup, op4_fingerprints, op5_url_filter, op6_line_dedup, op7_length_histogram, op8_bpe, op9_mixing, op10_language_id, op11_collocations, op13_filter_audit)}
-SQL = {"op2_near_dedup": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op6_line_dedup": OP6_SQL, "op11_collocations": OP11_SQL, "op13_filter_audit": OP13_SQL}
+QUERIES = {f.__name__: f for f in (op1_quality_cotraining, op2_near_dedup, op3_exact_dedup, op4_fingerprints, op5_url_filter, op6_line_dedup, op7_length_histogram, op8_bpe, op9_mixing, op10_language_id, op11_collocations, op12_suffix_dedup, op13_filter_audit)}
+SQL = {"op2_near_dedup": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op6_line_dedup": OP6_SQL, "op11_collocations": OP11_SQL, "op12_suffix_dedup": OP12_SQL, "op13_filter_audit": OP13_SQL}
