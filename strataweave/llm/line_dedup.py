@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from . import arrowtext as at
 from .workspace import Workspace
@@ -67,7 +68,7 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Python texts exist for a slice of rows at a time.
         for batch in (whole.slice(a, ROWS) for a in range(0, whole.num_rows, ROWS)):
             lines, dropped, digest, kept = [], [], [], []
-            for text, drop in zip(batch.column("_text"), batch.column("_places"), strict=True):
+            for text, drop in zip(batch.column("text"), batch.column("places"), strict=True):
                 text = text.as_py() or ""
                 gone = set(drop.as_py() or ())
                 parts = text.split("\n")
@@ -76,11 +77,11 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 dropped.append(len(gone))
                 digest.append(hashlib.sha256(body.encode()).hexdigest())
                 kept.append(body)
-            rest = batch.drop_columns(["_text", "_places"])
+            rest = batch.drop_columns(["text", "places"])
             yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.string())], names=[*rest.schema.names, *OUTPUTS])
 
 
-def dedup_lines(docs: DataFrame, *, threshold: int = 3, least_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, *, threshold: int = 3, least_chars: int = 20, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """The input's columns without the text, plus n_lines, n_dropped, kept_sha256, kept_text.
 
     A line's key is the line stripped of ``[\\x20\\x09-\\x0D]`` with A-Z lower-cased,
@@ -88,20 +89,23 @@ def dedup_lines(docs: DataFrame, *, threshold: int = 3, least_chars: int = 20, i
     ``threshold`` or more documents hold lose all their lines except in the
     greatest id that holds them. Null or empty text is one empty line. Rows that
     repeat an id count as one document and share their dropped positions; rows
-    with a null id lose nothing and are not counted. Very long texts are read
-    whole; an empty table gives no rows. Input columns with the names of outputs
-    are replaced.
+    with a null id lose nothing and are not counted. Ids may be of any type that
+    orders. Very long texts are read whole; an empty table gives no rows. Input
+    columns with the names of outputs are replaced; with ``carry`` a column
+    ``input`` holds them all as a struct instead, whatever their names.
     """
     work = Workspace(docs.sparkSession)
-    light = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    keys = work.keep(light.mapInArrow(_keys(least_chars), "doc_id long, place int, k1 long, k2 long"), "keys")
+    kind = docs.schema[id_col].dataType.simpleString()
+    light = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+    keys = work.keep(light.mapInArrow(_keys(least_chars), f"doc_id {kind}, place int, k1 long, k2 long"), "keys")
     once = keys.select("k1", "k2", "doc_id").distinct()
     common = work.keep(once.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= threshold).select("k1", "k2", "keeper"), "common")
     # Both right sides grow with the corpus, so they are merged and never broadcast.
-    gone = keys.join(common.hint("merge"), ["k1", "k2"]).where("doc_id <> keeper").groupBy("doc_id").agg(F.collect_set("place").alias("_places"))
+    gone = keys.join(common.hint("merge"), ["k1", "k2"]).where("doc_id <> keeper").groupBy("doc_id").agg(F.collect_set("place").alias("places"))
     gone = work.keep(gone, "gone")
-    rest = [c for c in docs.columns if c not in (text_col, *OUTPUTS)]
-    base = docs.select(*rest, F.col(text_col).cast("string").alias("_text"))
-    marked = base.join(gone.withColumnRenamed("doc_id", "_gone_id").hint("merge"), F.col(id_col) == F.col("_gone_id"), "left").drop("_gone_id")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name != "_text")
-    return marked.mapInArrow(_rebuild, f"{fields}, n_lines long, n_dropped long, kept_sha256 string, kept_text string")
+    rest = [c for c in docs.columns if c != text_col]
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("input"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    marked = base.join(gone.hint("merge"), "doc_id", "left").select("input", "text", "places")
+    counts = [StructField(c, LongType() if c.startswith("n_") else StringType()) for c in OUTPUTS]
+    out = marked.mapInArrow(_rebuild, StructType([base.schema["input"], *counts]))
+    return out if carry else out.select(*[F.col("input").getField(c).alias(c) for c in rest if c not in OUTPUTS], *OUTPUTS)

@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from . import arrowtext as at
 from .components import components
@@ -305,12 +306,27 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
     is the row's own id, ``class_id`` is the least id with an equal shingle set.
     Texts without words (null, empty, blank) have no shingles and no links.
     Fewer words than ``width`` form one shingle. Rows that repeat an id share its
-    result; a null id gets a null component and stays. Other columns are ignored.
-    Candidate search is tuned for percent >= 80.
+    links; a null id gets a null component and stays. Ids may be of any type that
+    orders: those that are no whole numbers are numbered by a 64-bit hash inside, and
+    the least of a component is found among the ids themselves. Other columns are
+    ignored. Candidate search is tuned for percent >= 80.
     """
-    spark = docs.sparkSession
-    work = Workspace(spark)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    work = Workspace(docs.sparkSession)
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    if isinstance(base.schema["doc_id"].dataType, IntegralType):
+        return _numbered(base.withColumn("doc_id", F.col("doc_id").cast("long")), work, width, percent)
+    number = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id"))
+    out = work.keep(_numbered(base.select(number.alias("doc_id"), "text"), work, width, percent), "by-number")
+    names = work.keep(base.where("doc_id is not null").select(number.alias("number"), F.col("doc_id").alias("name")).distinct(), "names")
+    own = out.join(names.hint("merge"), F.col("doc_id") == F.col("number"), "left")
+    least = lambda c, to: own.where(F.col(c).isNotNull()).groupBy(c).agg(F.min("name").alias(to))
+    named = own.join(least("component_id", "component").hint("merge"), "component_id", "left").join(least("class_id", "class").hint("merge"), "class_id", "left")
+    kept = F.coalesce(F.col("name") == F.col("component"), F.lit(True)).alias("kept")
+    return named.select(F.col("name").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), kept, F.col("class").alias("class_id"))
+
+
+def _numbered(base: DataFrame, work: Workspace, width: int, percent: int) -> DataFrame:
+    """``near_duplicates`` of rows (doc_id, text) with long ids."""
     prints = work.keep(base.mapInArrow(_fingerprints(width), "doc_id long, n_shingles long, d1 long, d2 long, signature binary"), "prints")
     usable = prints.where("n_shingles > 0 and doc_id is not null")
     classes = work.keep(usable.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")), "classes")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrowtext as at
-from .workspace import Workspace
+from .workspace import Workspace, fresh
 
 #: Labelled documents that the fit reads, about; chosen by hash.
 LABELLED = 6000
@@ -344,13 +344,16 @@ def _keep(model: Classifier, read: dict[str, str], extra: list[str]):
 def keep_good(docs: DataFrame, model: Classifier | None) -> DataFrame:
     """The rows that ``classify`` keeps, with all their columns, in one pass; without a model all rows.
 
-    A column that is there with the right type is read as it is; others travel as casts beside the input.
+    A column that is there with the right type is read as it is; others travel as casts
+    beside the input, under names that no column has. Ids play no part: null, repeated
+    and text ids are rows like others, equal rows share their fate. Null and empty texts
+    are scored as empty ones, long texts whole, and an empty table stays empty.
     """
     if model is None:
         return docs
     kinds = {"text": "string", "source": "string", "lang": "string", "n_chars": "bigint"}
     have = {f.name: f.dataType.simpleString() for f in docs.schema}
-    read = {c: c if have.get(c) == k else f"_{c}" for c, k in kinds.items()}
+    read = {c: c if have.get(c) == k else fresh(f"_{c}", docs.columns) for c, k in kinds.items()}
     extra = [name for c, name in read.items() if name != c]
     wide = docs.withColumns({name: (F.col(c) if c in have else F.lit(None)).cast(kinds[c]) for c, name in read.items() if name != c}) if extra else docs
     return wide.mapInArrow(_keep(model, read, extra), docs.schema)

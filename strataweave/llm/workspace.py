@@ -34,10 +34,10 @@ class Workspace:
         self.spark = spark
         self.base = f"{shared_dir(spark)}/strataweave-{uuid.uuid4().hex}"
 
-    def keep(self, df: DataFrame, name: str, *, rows: int | None = None, per_file: int = ROWS_PER_FILE) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, *, rows: int | None = None, per_file: int = ROWS_PER_FILE, compression: str = "snappy") -> DataFrame:
         """Write and read back. Where the number of ``rows`` is known, so many tasks write files of ``per_file`` rows each."""
         path = f"{self.base}/{name}"
-        (df if rows is None else df.coalesce(1 + rows // per_file)).write.parquet(path)
+        (df if rows is None else df.coalesce(1 + rows // per_file)).write.option("compression", compression).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -47,5 +47,13 @@ class Workspace:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, with underscores before it until no column has it."""
+    have = {c.lower() for c in taken}
+    while name.lower() in have:
+        name = f"_{name}"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
