@@ -453,7 +453,7 @@ class T:
 
     def fold(self) -> T:
         """The values as one sorted list, each as often as it was reached. A list is one value: fold what is small, count what is not."""
-        t = self._reduce(F.sort_array(F.flatten(F.collect_list(F.array_repeat("cur", F.col("bulk").cast("int"))))))
+        t = self._reduce(F.sort_array(F.flatten(F.collect_list(F.array_repeat("cur", F.expr("IF(bulk > 2147483647, raise_error('fold: more values than a list holds'), CAST(bulk AS INT))"))))))
         return self._for_all_starts(t, F.array().cast(t.frame.schema["cur"].dataType))
 
     def unfold(self) -> T:
@@ -508,9 +508,14 @@ class T:
         return self.range_(0, n)
 
     def skip(self, n: int) -> T:
-        """All but the first ``n`` traversers: the row that the bound cuts is found first, the rows before it are an offset."""
+        """All but the first ``n`` traversers: the row that the bound cuts is found first, the rows before it are an offset.
+
+        The frame is read more than once, so one without an order is put in the order of places first.
+        """
         if n <= 0:
             return self
+        if not any(c.startswith("_sort") for c in self.carry):
+            return self._ranked(self._merged(), [(F.col("cur").cast("string"), False), *[(F.col(c).cast("string"), False) for c in self.carry]]).skip(n)
         cut = self._first(n).where(F.col("_run") <= n).agg(F.count("*").alias("rows"), F.coalesce(F.max("_run"), F.lit(0)).alias("held")).first()
         rest = self._sorted().offset(cut["rows"])
         if cut["held"] == n or cut["rows"] == 0 and rest.isEmpty():
