@@ -57,22 +57,44 @@ def as_of_join(left: DataFrame, right: DataFrame, *, left_ts: str, right_ts: str
     return out.select(*left.columns, result.alias(value))
 
 
+#: Bits by which a level of time cells is coarser than the one below; a span has at most 30 cells a level.
+CELL_BITS = 4
+
+
+def _cells(at: Column, level: Column) -> Column:
+    """The cell of a level that a time, in microseconds, lies in."""
+    return F.call_function("shiftright", at, (level * CELL_BITS).cast("int"))
+
+
 def interval_join(calls: DataFrame, spans: DataFrame, *, key: str, at: str, start: str, end: str, span_id: str, call_id: Sequence[str], bucket: str = "day") -> DataFrame:
     """Left join of each call to the innermost span of its key that contains it: the last started, then the greatest id.
 
-    A null end is open: of the open spans only the last started before a call can
-    be its innermost, which an as-of join finds. Closed spans are listed once for
-    each bucket that they cover, so their join is an equality; a call keeps one of
-    them, found by a maximum that combines before it is shuffled.
+    A closed span is cut into cells of time, each sixteen times as long as those of
+    the level below, as few as cover it: some dozens, whether it lasts a second or
+    ten years. A cell keeps only the last started of the spans that cover it, found
+    by a maximum that combines before it is shuffled; a call looks up the one cell
+    of each level that it lies in. So no call meets a list of spans, however long or
+    deeply nested they are. A null end is open: of the open spans only the last
+    started before a call can be its innermost, which an as-of join finds.
     """
-    step = F.expr(f"INTERVAL 1 {bucket.upper()}")
-    shut = spans.where(F.col(end) >= F.col(start))
-    covered = F.sequence(F.date_trunc(bucket, start), F.date_trunc(bucket, end), step)
-    listed = shut.select(F.col(key).alias("_key"), F.explode(covered).alias("_bucket"), F.col(start).alias("_start"), F.col(end).alias("_end"), F.col(span_id).alias("_span"))
-    hit = (F.col(key) == F.col("_key")) & (F.date_trunc(bucket, at) == F.col("_bucket")) & (F.col("_start") <= F.col(at)) & (F.col(at) <= F.col("_end"))
+    shut = spans.where((F.col(end) >= F.col(start)) & F.col(key).isNotNull())
+    shut = shut.select(F.col(key).alias("_key"), F.unix_micros(F.col(start).cast("timestamp")).alias("_lo"), (F.unix_micros(F.col(end).cast("timestamp")) + 1).alias("_hi"), F.struct(F.col(start).alias("s"), F.col(span_id).alias("i")).alias("_span"))
+    # 64 bits of microseconds have 16 levels; more than that no span needs.
+    level = F.explode(F.sequence(F.lit(0), F.lit(64 // CELL_BITS - 1))).alias("_level")
+    up = lambda x, n: -F.call_function("shiftright", -x, n)
+    by = (F.col("_level") * CELL_BITS).cast("int")
+    edge = shut.select("*", level).select("*", up(F.col("_lo"), by).alias("_a"), F.call_function("shiftright", F.col("_hi"), by).alias("_b")).where("_a < _b")
+    one = F.lit(CELL_BITS)
+    full = lambda x: F.call_function("shiftleft", x, one)
+    inner_a, inner_b = full(up(F.col("_a"), one)), full(F.call_function("shiftright", F.col("_b"), one))
+    run = lambda x, y: F.when(x < y, F.sequence(x, y - 1)).otherwise(F.array().cast("array<bigint>"))
+    cell = F.explode(F.concat(run(F.col("_a"), F.least(inner_a, F.col("_b"))), run(F.greatest(inner_b, inner_a), F.col("_b")))).alias("_cell")
+    cells = edge.select("_key", "_level", "_span", cell).groupBy("_key", "_level", "_cell").agg(F.max("_span").alias("_last"))
     ids = [F.col(c).alias(f"_c{i}") for i, c in enumerate(call_id)]
     names = [f"_c{i}" for i in range(len(call_id))]
-    inner = calls.join(listed, hit).groupBy(*ids).agg(F.max(F.struct(F.col("_start").alias("s"), F.col("_span").alias("i"))).alias("_shut"))
+    asked = calls.select(*ids, F.col(key).alias("_key"), F.unix_micros(F.col(at).cast("timestamp")).alias("_at"), level).where("_at IS NOT NULL")
+    asked = asked.select(*names, "_key", "_level", _cells(F.col("_at"), F.col("_level")).alias("_cell"))
+    inner = asked.join(cells, ["_key", "_level", "_cell"]).groupBy(*names).agg(F.max("_last").alias("_shut"))
     opened = spans.where(F.col(end).isNull() & F.col(start).isNotNull()).select(key, F.col(start).alias("_os"), F.struct(F.col(start).alias("s"), F.col(span_id).alias("i")).alias("_open"))
     both = as_of_join(calls, opened, left_ts=at, right_ts="_os", value="_open", by=[key], bucket=bucket)
     joined = both.join(inner, [F.col(c) == F.col(n) for c, n in zip(call_id, names, strict=True)], "left")

@@ -250,3 +250,34 @@ def test_closure_doubles_and_stays_exact(spark, monkeypatch):
     monkeypatch.setattr(G, "STEPS", 2)
     assert {(r.src, r.dst): r.depth for r in G.closure(e).collect()} == want
     assert {(r.src, r.dst): r.depth for r in G.closure(e, max_depth=13).collect()} == {k: v for k, v in want.items() if v <= 13}
+
+
+def test_chains_and_rings_by_jumping_pointers(spark, monkeypatch):
+    import random
+
+    rng = random.Random(9)
+    n = 400
+    after = {k: rng.randrange(n) for k in range(n) if rng.random() < 0.97}
+    after |= {1000 + k: 1001 + k for k in range(700)} | {5000: 5000, 5001: 5000, 6000: 6001, 6001: 6000}
+    got = {r.src: (r.reachable, r.ring) for r in G.chain_reach(spark.createDataFrame(list(after.items()), "src long, dst long")).collect()}
+    want = {}
+    for start in set(after) | set(after.values()):
+        seen, at = [], start
+        while at not in seen:
+            seen.append(at)
+            if at not in after:
+                break
+            at = after[at]
+        want[start] = (len(seen), min(seen[seen.index(at) :]) if at in after else None)
+    assert got == want
+    with pytest.raises(ValueError):
+        G.chain_reach(spark.createDataFrame([(1, 2), (1, 3)], "src long, dst long"))
+
+
+def test_a_chain_of_a_hundred_thousand_takes_few_rounds(spark, monkeypatch):
+    rounds = []
+    settle = G.settle
+    monkeypatch.setattr(G, "settle", lambda df: rounds.append(1) or settle(df))
+    chain = spark.range(100_000).selectExpr("id AS src", "id + 1 AS dst")
+    out = G.chain_reach(chain).selectExpr("count(*) AS n", "max(reachable) AS far", "sum(reachable) AS pairs").first()
+    assert (out.n, out.far, out.pairs) == (100_001, 100_001, 100_001 * 100_002 // 2) and len(rounds) < 45

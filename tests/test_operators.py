@@ -216,3 +216,22 @@ def test_rescue_matches_brute_force(spark):
     shape = "pos int, key string, block boolean, prints array<string>"
     got = J.rescued(spark.createDataFrame(blocks, shape), spark.createDataFrame(passes, shape), key="key", pos="pos", prints="prints").collect()
     assert {r.pos: r.rescued for r in got} == want and len(set(want.values())) == 2
+
+
+def test_innermost_of_long_and_deeply_nested_spans(spark):
+    """Ten thousand nested spans of one key, spans of ten years, ends that touch calls, times before 1970."""
+    import random
+    from datetime import datetime, timedelta
+
+    rng = random.Random(4)
+    t0 = datetime(2026, 1, 1)
+    spans = [("k", f"n{i:05}", t0 + timedelta(seconds=i), t0 + timedelta(seconds=40_000 - i)) for i in range(10_000)]
+    spans += [("k", f"y{i}", t0 - timedelta(days=3650 + i), t0 + timedelta(days=i)) for i in range(20)]
+    spans += [("m", f"r{i}", (a := datetime(1969, 6, 1) + timedelta(microseconds=rng.randrange(10**14))), a + timedelta(microseconds=rng.choice([0, 1, 10**6, 10**12]))) for i in range(200)]
+    spans += [("m", "bad", t0, t0 - timedelta(days=1)), (None, "none", t0, t0)]
+    calls = [(f"a{i}", "k", t0 + timedelta(seconds=rng.randrange(-100, 41_000), microseconds=rng.choice([0, 1]))) for i in range(300)]
+    calls += [(f"b{i}", "m", rng.choice(spans[10_020:10_220])[rng.choice([2, 3])] + timedelta(microseconds=rng.choice([-1, 0, 1]))) for i in range(300)]
+    calls += [("c", "k", None), ("d", None, t0), ("e", "k", t0 - timedelta(days=3000))]
+    got = J.interval_join(spark.createDataFrame(calls, "id string, key string, at timestamp"), spark.createDataFrame(spans, "key string, span string, s timestamp, e timestamp"), key="key", at="at", start="s", end="e", span_id="span", call_id=["id"])
+    want = {i: max(((s, n) for k, n, s, e in spans if k == key and key is not None and at is not None and s <= at <= e), default=(None, None))[1] for i, key, at in calls}
+    assert {r.id: r.span for r in got.collect()} == want
