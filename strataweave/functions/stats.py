@@ -67,6 +67,27 @@ def sens_slope(points: DataFrame, x: str, y: str, group: list[str] | None = None
     return slopes.groupBy(*group).agg(F.coalesce(median, F.lit(0.0)).alias("slope"))
 
 
+#: Registers of a distinct-count sketch are 2**LG_K; DISTINCT_ERROR is its relative standard error.
+LG_K = 12
+DISTINCT_ERROR = 1.04 / 2 ** (LG_K / 2)
+#: Size of a quantile sketch, and how far the rank of an estimate may be off, with 99% certainty.
+KLL_K = 800
+RANK_ERROR = 2.3 / KLL_K**0.9
+
+
+def sketches(rows: DataFrame, keys: list[str], *, distinct: str, values: str) -> DataFrame:
+    """(keys, n, distinct_sketch, quantile_sketch): mergeable sketches of bounded size, a few kilobytes whatever they have seen."""
+    kll = F.call_function("kll_sketch_agg_double", F.col(values).cast("double"), F.lit(KLL_K))
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.hll_sketch_agg(F.col(distinct), LG_K).alias("distinct_sketch"), kll.alias("quantile_sketch"))
+
+
+def merged_sketches(daily: DataFrame, keys: list[str], ranks: list[float]) -> DataFrame:
+    """(keys, n, distinct, quantiles) of the merged sketches of each group: no row is read again."""
+    merged = daily.groupBy(*keys).agg(F.sum("n").alias("n"), F.hll_union_agg("distinct_sketch").alias("d"), F.call_function("kll_merge_agg_double", F.col("quantile_sketch")).alias("q"))
+    quantiles = F.call_function("kll_sketch_get_quantile_double", F.col("q"), F.array(*[F.lit(float(r)) for r in ranks]))
+    return merged.select(*keys, "n", F.hll_sketch_estimate("d").alias("distinct"), quantiles.alias("quantiles"))
+
+
 def luminance(colour: Column) -> Column:
     """Relative luminance of a ``#rrggbb`` colour."""
 

@@ -113,6 +113,130 @@ def content_digest(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("rows"), F.hex(F.coalesce(F.bit_xor(h), F.lit(0))).alias("digest"))
 
 
+def reduced_edges(new: DataFrame, key: list[str], at: Column) -> DataFrame:
+    """One row an edge: later writes set their properties over those of earlier ones. A write counts once, so a list holds as many maps as writes."""
+    order = F.array_sort(F.collect_list(F.when(F.col("props").isNotNull(), F.struct(at.alias("at"), F.map_entries("props").alias("own")))))
+    empty = F.create_map().cast("map<string,string>")
+    over = lambda a, b: F.map_concat(F.map_filter(a, lambda k, v: ~F.array_contains(F.map_keys(b), k)), b)
+    props = F.aggregate(order, empty, lambda acc, w: over(acc, F.map_from_entries(w["own"])))
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c)
+    return new.groupBy(*key).agg(last("src_label"), last("dst_label"), F.when(F.count("props") > 0, props).alias("props"))
+
+
+class DeltaStore:
+    """A graph whose writes are small: each appends one delta, and a read merges deltas over the last compacted tables.
+
+    ``base-<n>`` and ``delta-<n>`` are folders of two Parquet tables, laid out by a
+    bucket of the key (of an edge its source). A folder counts once its ``DONE``
+    marker is there, written last, so readers never see half a write and a write
+    that failed is no write. Reads take the newest base and the deltas after it.
+    ``compact`` makes both one base; it is due after ``DELTAS`` writes and leaves
+    old folders to readers that still use them, until ``vacuum``.
+    """
+
+    DELTAS = 16
+
+    def __init__(self, spark: SparkSession, path: str, *, buckets: int = 64, hold_first: tuple[str, ...] = (), never_lower: tuple[str, ...] = ()):
+        self.spark, self.path, self.buckets = spark, path, buckets
+        self.rules = {"hold_first": hold_first, "never_lower": never_lower}
+
+    def _at(self, name: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+
+    def _parts(self) -> tuple[int, list[int]]:
+        """The newest complete base, and the complete deltas after it."""
+        fs, top = self._at("")
+        done = [s.getPath().getName() for s in fs.listStatus(top)] if fs.exists(top) else []
+        done = [n for n in done if "-" in n and fs.exists(self._at(f"{n}/DONE")[1])]
+        base = max((int(n[5:]) for n in done if n.startswith("base-")), default=-1)
+        return base, sorted(k for n in done if n.startswith("delta-") and (k := int(n[6:])) > base)
+
+    def _bucket(self, key: str) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+
+    def _put(self, name: str, vertices: DataFrame | None, edges: DataFrame | None) -> None:
+        fs, folder = self._at(name)
+        fs.delete(folder, True)  # what a failed write of this number has left
+        for kind, df, key in (("vertices", vertices, "vid"), ("edges", edges, "src")):
+            if df is not None:
+                df.withColumn("bucket", self._bucket(key)).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{name}/{kind}")
+        fs.create(self._at(f"{name}/DONE")[1]).close()
+
+    def _next(self) -> int:
+        base, deltas = self._parts()
+        return max([base, *deltas]) + 1
+
+    def append(self, vertices: DataFrame | None = None, edges: DataFrame | None = None, *, order: str | None = None) -> int:
+        """Write a delta and return its number; it has one file for each bucket that its keys fall into. Columns may be missing: they keep their values."""
+        n = self._next()
+        # Within a delta the row that is last by ``order`` wins; whole numbers and times keep their order.
+        at = F.lit(None).cast("long") if order is None else F.col(order).cast("long")
+        rows = None if vertices is None else vertices.withColumn("_at", at).drop(*([order] if order else []))
+        self._put(f"delta-{n}", rows, None if edges is None else edges.select(*EDGE.names))
+        return n
+
+    def _table(self, name: str, kind: str) -> DataFrame | None:
+        fs, folder = self._at(f"{name}/{kind}")
+        return self.spark.read.option("basePath", f"{self.path}/{name}/{kind}").parquet(folder.toString()) if fs.exists(folder) else None
+
+    def read(self, vids: list[str] | None = None) -> Graph:
+        """The merged graph; with ``vids`` these vertices and the edges that leave them, from their buckets' files alone."""
+        base, deltas = self._parts()
+        empty = Graph(self.spark.createDataFrame([], VERTEX), self.spark.createDataFrame([], EDGE))
+        buckets = None if vids is None else [r[0] for r in self.spark.createDataFrame([(v,) for v in vids], "vid string").select(self._bucket("vid")).distinct().collect()]
+
+        def some(df: DataFrame | None, key: str) -> DataFrame | None:
+            if df is None:
+                return None
+            near = df if buckets is None else df.where(F.col("bucket").isin(buckets) & F.col(key).isin(vids))
+            return near.drop("bucket")
+
+        v = some(self._table(f"base-{base}", "vertices"), "vid") if base >= 0 else None
+        e = some(self._table(f"base-{base}", "edges"), "src") if base >= 0 else None
+        v, e = v if v is not None else empty.vertices, e if e is not None else empty.edges
+        new_v = [(n, d) for n in deltas if (d := some(self._table(f"delta-{n}", "vertices"), "vid")) is not None]
+        new_e = [(n, d) for n in deltas if (d := some(self._table(f"delta-{n}", "edges"), "src")) is not None]
+        if new_v:
+            union = None
+            for n, d in new_v:
+                d = d.withColumn("_write", F.struct(F.lit(n).alias("n"), F.col("_at"))).drop("_at")
+                union = d if union is None else union.unionByName(d, allowMissingColumns=True)
+            v = upsert_vertices(v, union, order="_write", **self.rules)
+        if new_e:
+            key = ["label", "src", "dst"]
+            union = None
+            for n, d in new_e:
+                d = d.withColumn("_n", F.lit(n))
+                union = d if union is None else union.unionByName(d)
+            one = reduced_edges(union, key, F.struct("_n", F.to_json("props").alias("p")))
+            e = upsert_edges(e, one.select(*EDGE.names))
+        return Graph(v.select(*VERTEX.names), e.select(*EDGE.names))
+
+    def compact(self) -> int:
+        """Merge what there is into a new base and return its number; a reader sees the old parts until it is complete."""
+        n = self._next()
+        whole = self.read()
+        self._put(f"base-{n}", whole.vertices, whole.edges)
+        return n
+
+    def write(self, vertices: DataFrame | None = None, edges: DataFrame | None = None, *, order: str | None = None) -> Graph:
+        """``append``, and ``compact`` where it is due."""
+        self.append(vertices, edges, order=order)
+        if len(self._parts()[1]) >= self.DELTAS:
+            self.compact()
+        return self.read()
+
+    def vacuum(self) -> list[str]:
+        """Delete what no new reader takes, and return its names."""
+        fs, top = self._at("")
+        base, _ = self._parts()
+        old = sorted(n for n in (s.getPath().getName() for s in fs.listStatus(top)) if n.startswith(("base-", "delta-")) and int(n.split("-")[1]) < base)
+        for name in old:
+            fs.delete(self._at(name)[1], True)
+        return old
+
+
 class GraphStore:
     """Versions ``v<n>`` of two Parquet tables under one folder, and a pointer file that names the current one.
 

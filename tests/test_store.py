@@ -178,3 +178,44 @@ def test_recall_endpoints(spark):
     drawn = RC.withhold(r.keyword("parser cache"), rate=1.0, seed="x").collect()
     assert sum(not x.withheld for x in drawn) == 1
     assert I.scope_of is not None
+
+
+def test_deltas_touch_only_their_buckets_and_merge_in_order(spark, tmp_path):
+    from strataweave.schema import EDGE, VERTEX
+    from strataweave.sources.store import DeltaStore
+
+    def rows(data, ddl, schema):
+        df = spark.createDataFrame(data, ddl)
+        return df.select(*[F.col(f.name).cast(f.dataType) for f in schema if f.name in df.columns])
+
+    vertices = lambda data: rows(data, "vid string, label string, title string, tier int, origin string", VERTEX)
+    edges = lambda data: rows(data, "label string, src string, dst string, props map<string,string>", EDGE).selectExpr("label", "src", "dst", "CAST(NULL AS STRING) AS src_label", "CAST(NULL AS STRING) AS dst_label", "props").select(*EDGE.names)
+    store = DeltaStore(spark, str(tmp_path / "graph"), buckets=16, hold_first=("origin",), never_lower=("tier",))
+    assert store.read().vertices.count() == 0
+    store.append(vertices([(f"v{k}", "Claim", "t", 1, "") for k in range(200)]), edges([("R", f"v{k}", f"v{k + 1}", {"a": "1"}) for k in range(199)]))
+    assert store.compact() == 1 and store._parts() == (1, [])
+    # A column that is missing keeps its values; of two rows of one delta the last by the order wins.
+    n = store.append(vertices([("v7", "Claim", "new", 0, "web"), ("w", "Claim", "fresh", 2, "x")]).withColumn("at", F.lit(1)).unionByName(vertices([("v7", "Claim", "newest", 3, "other")]).withColumn("at", F.lit(2))), order="at")
+    files = [p for p in (tmp_path / "graph" / f"delta-{n}").rglob("part-*.parquet")]
+    assert 1 <= len(files) <= 2
+    store.append(edges=edges([("R", "v7", "v8", {"b": "2"})]))
+    store.append(vertices([("v7", None, None, 2, "late")]), edges([("R", "v7", "v8", {"a": "3"}), ("S", "v7", "w", None)]))
+    row = lambda g: tuple(g.vertices.where("vid = 'v7'").select("label", "title", "tier", "origin").first())
+    edge = lambda g: g.edges.where("label = 'R' AND src = 'v7'").first().props
+    for g in (store.read(), store.read(["v7"])):
+        assert row(g) == ("Claim", "newest", 3, "web") and edge(g) == {"a": "3", "b": "2"}
+    few = store.read(["v7"])
+    assert few.vertices.count() == 1 and few.edges.count() == 2
+    before = sorted(map(str, store.read().vertices.collect())), sorted(map(str, store.read().edges.collect()))
+    base = store.compact()
+    assert store._parts() == (base, []) and (sorted(map(str, store.read().vertices.collect())), sorted(map(str, store.read().edges.collect()))) == before
+    # A write without its marker is no write, and its number is used again.
+    torn = store.append(vertices([("torn", "Claim", "t", 1, "")]))
+    (tmp_path / "graph" / f"delta-{torn}" / "DONE").unlink()
+    assert store.read().vertices.where("vid = 'torn'").isEmpty()
+    assert store.append(vertices([("whole", "Claim", "t", 1, "")])) == torn
+    assert {r.vid for r in store.read().vertices.where("vid IN ('torn', 'whole')").collect()} == {"whole"}
+    assert store.vacuum() and store.read().vertices.count() == 202
+    store.DELTAS = 2
+    store.write(vertices([("more", "Claim", "t", 1, "")]))
+    assert store._parts()[1] == [] and store.read().vertices.count() == 203
