@@ -178,8 +178,10 @@ def quote_block(text: Column) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
+    """With one decimal; halves go to the even digit."""
     kib, mib, gib = 1 << 10, 1 << 20, 1 << 30
-    return F.when(n < kib, F.format_string("%d B", n)).when(n < mib, F.format_string("%.1f KiB", n / kib)).when(n < gib, F.format_string("%.1f MiB", n / mib)).otherwise(F.format_string("%.1f GiB", n / gib))
+    shown = lambda unit, name: F.format_string(f"%.1f {name}", F.bround(n / unit, 1))
+    return F.when(n < kib, F.format_string("%d B", n)).when(n < mib, shown(kib, "KiB")).when(n < gib, shown(mib, "MiB")).otherwise(shown(gib, "GiB"))
 
 
 def question_kind(question: Column) -> Column:

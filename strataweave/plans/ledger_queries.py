@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 from ..functions import stats as S
 from ..operators import joins as J
 from . import architecture as AR
+from ..sources.transcripts import fork_delta
 from .registry import Tables, query
 
 NOISE = "(user_id * 7 + event_id) % 5"
@@ -107,16 +108,17 @@ def shape_reuse(t):
     recipes = [(1, "error|click|view"), (2, "signup|purchase"), (3, "view|view|view|view|view|view")]
     steps = F.array_sort(F.collect_list(F.struct("event_id", "event_type")))
     shape = t.events.groupBy("user_id").agg(F.concat(F.lit("|"), F.array_join(F.transform(steps, lambda x: x["event_type"]), "|"), F.lit("|")).alias("shape"))
-    first = F.coalesce(*[F.when(F.contains("shape", F.lit(f"|{s}|")), F.lit(n)) for n, s in recipes])
-    return shape.select("user_id", first.alias("recipe")).where("recipe IS NOT NULL")
+    stored = t.events.sparkSession.createDataFrame([(n, f"|{s}|") for n, s in recipes], "recipe int, steps string")
+    return J.contains_join(shape, stored, text="shape", name="steps").groupBy("user_id").agg(F.min("recipe").alias("recipe"))
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders ANTI JOIN (SELECT l_orderkey AS o_orderkey FROM lineitem WHERE l_quantity > 5) USING (o_orderkey) UNION ALL SELECT CAST(NULL AS BIGINT), s_suppkey FROM supplier")
 def uuid_antijoin(t):
     """Fork rows whose id the parent lacks, and rows without an id."""
     parent = t.lineitem.where("l_quantity > 5").select(F.col("l_orderkey").alias("o_orderkey"))
-    fork = t.orders.select("o_orderkey", "o_custkey").join(parent, "o_orderkey", "left_anti")
-    return fork.unionByName(t.supplier.select(F.lit(None).cast("long").alias("o_orderkey"), F.col("s_suppkey").alias("o_custkey")))
+    fork = t.orders.select("o_orderkey", "o_custkey").unionByName(t.supplier.select(F.lit(None).cast("long").alias("o_orderkey"), F.col("s_suppkey").alias("o_custkey")))
+    named = fork_delta(fork.withColumnRenamed("o_orderkey", "uuid"), parent.withColumnRenamed("o_orderkey", "uuid"))
+    return named.withColumnRenamed("uuid", "o_orderkey")
 
 
 _CENTS = "CAST(round(value * 100) AS BIGINT)"

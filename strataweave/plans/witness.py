@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import evaluation_queries, graph_queries, ledger_queries, memory_queries, more_queries, recall_queries, text_queries, write_queries  # noqa: F401
+from . import evaluation_queries, graph_queries, ledger_queries, memory_queries, more_queries, recall_queries, set_queries, text_queries, write_queries  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
