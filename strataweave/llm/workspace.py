@@ -23,6 +23,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Rows of an Arrow batch, set where the session leaves Spark's 10,000: whole texts travel in it, several copies a worker.
+ARROW_ROWS = 2048
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 class Workspace:
     """One run's intermediate Parquet tables.
 
@@ -32,6 +37,8 @@ class Workspace:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        if spark.conf.get(_ARROW_ROWS) == "10000":
+            spark.conf.set(_ARROW_ROWS, ARROW_ROWS)
         self.base = f"{shared_dir(spark)}/strataweave-{uuid.uuid4().hex}"
 
     def keep(self, df: DataFrame, name: str, *, rows: int | None = None, per_file: int = ROWS_PER_FILE, compression: str = "snappy") -> DataFrame:
