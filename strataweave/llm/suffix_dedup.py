@@ -51,6 +51,7 @@ CHUNK = 1 << 20
 BATCH_BYTES = 32 << 20
 #: Rows of an array that one bucket holds on average.
 BUCKET_ROWS = 262_144
+HOT_SHARE = 1000
 _PLACE = np.uint64((1 << 21) - 1)
 _U = np.uint64
 
@@ -319,10 +320,17 @@ class ArrayFamily:
             self._forget(name)
 
 
-def _spans(units: DataFrame, keys: list[str]) -> DataFrame:
-    """(r1, r2, at, n) of the units whose digest occurs twice or more. Both sides grow with the corpus, so they are merged."""
-    twice = units.where(F.col(keys[0]).isNotNull()).groupBy(*keys).agg(F.count("*").alias("times")).where("times > 1").select(*keys)
-    return units.join(twice.hint("merge"), keys).select("r1", "r2", "at", "n")
+def _spans(units: DataFrame, keys: list[str], work: Workspace, name: str) -> DataFrame:
+    """(r1, r2, at, n) of the units whose digest occurs twice or more.
+
+    A digest with more than a thousandth of all units meets them by broadcast, of which there are under a
+    thousand; the others grow with the corpus and are merged.
+    """
+    twice = work.keep(units.where(F.col(keys[0]).isNotNull()).groupBy(*keys).agg(F.count("*").alias("times")).where("times > 1"), f"{name}-twice")
+    hot = F.col("times") * HOT_SHARE > units.count()
+    large, others = F.broadcast(twice.where(hot).select(*keys)), twice.where(~hot).select(*keys)
+    met = units.join(large, keys).unionByName(units.join(large, keys, "left_anti").join(others.hint("merge"), keys))
+    return met.select("r1", "r2", "at", "n")
 
 
 def _place(rows: DataFrame) -> DataFrame:
@@ -344,17 +352,17 @@ def repeated_spans(base: DataFrame, work: Workspace, shape: Shape, batches: int)
     first = lambda: F.min(F.struct("r1", "at")).alias("first")
     screened = regions.drop("batch", "head").mapInArrow(_screen(broadcast_bits(hits, "key"), broadcast_bits(hits.where("mixed"), "key")), "g1 long, g2 long, r1 long, r2 long, at long, n int, mixed boolean")
     screened = work.keep(screened, "screened")
-    spans = [_spans(screened.drop("mixed"), ["g1", "g2"])]
+    spans = [_spans(screened.drop("mixed"), ["g1", "g2"], work, "regions")]
     # One place of each different region whose suffix has others as well goes on.
     chosen = broadcast_bits(_place(screened.where("mixed").groupBy("g1", "g2").agg(first())), "place")
     blocks = work.keep(base.mapInArrow(_blocks(shape, chosen), _BLOCKS), "blocks")
-    spans.append(_spans(blocks, ["u1", "u2"]))
+    spans.append(_spans(blocks, ["u1", "u2"], work, "blocks"))
     whole = blocks.where("u1 IS NOT NULL").groupBy("c1", "c2", "u1", "u2").agg(first()).select("c1", "c2", "first")
     kinds = work.keep(whole.unionByName(blocks.where("u1 IS NULL").select("c1", "c2", F.struct("r1", "at").alias("first"))), "kinds")
     several = kinds.groupBy("c1", "c2").agg(F.count("*").alias("times")).where("times > 1").select("c1", "c2")
     finer = broadcast_bits(_place(kinds.join(several.hint("merge"), ["c1", "c2"])), "place")
     windows = work.keep(base.mapInArrow(_windows(shape, chosen, finer), _WINDOWS), "windows")
-    spans.append(_spans(windows, ["w1", "w2"]))
+    spans.append(_spans(windows, ["w1", "w2"], work, "windows"))
     return spans[0].unionByName(spans[1]).unionByName(spans[2]).distinct()
 
 
