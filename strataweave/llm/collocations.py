@@ -30,7 +30,7 @@ BITS = 26
 _BLOCK = 16
 #: Counted phrases and bucket numbers that a task holds before it sends them on.
 HELD = 1 << 19
-BUCKETED = 1 << 22
+BUCKETED = 1 << 20
 #: Parts of a language that are ranked on their own before their best rows meet.
 RANK_PARTS = 64
 _U = np.uint64
@@ -127,8 +127,8 @@ def _packed(places: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
         return
     place, count = np.unique(places, return_counts=True)
     cells = np.empty(len(place), dtype=[("at", "<u2"), ("n", "u1")])
-    cells["at"], cells["n"] = place & _U((1 << _BLOCK) - 1), np.minimum(count, most)
-    block = (place >> _U(_BLOCK)).astype(np.int32)
+    cells["at"], cells["n"] = place & place.dtype.type((1 << _BLOCK) - 1), np.minimum(count, most)
+    block = (place >> place.dtype.type(_BLOCK)).astype(np.int32)
     cut = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(block))
     packed = [cells[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)]
     n = len(packed)
@@ -187,7 +187,7 @@ def _pass(k: int, last: bool, least: int, parts, buckets):
                 if not last:
                     longer, whole = words.grams(k + 1)
                     whole[:-1] &= good[:-1] & good[1:]
-                    places.append(_place(longer[whole], high=False))
+                    places.append(_place(longer[whole], high=False).astype(np.uint32))
                     waiting += len(places[-1])
                     if waiting > BUCKETED:
                         yield from _packed(np.concatenate(places), least)
