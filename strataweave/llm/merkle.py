@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -119,6 +120,26 @@ def _batch(rows: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=_COLUMNS)
 
 
+def _alike(a: str, b: str) -> int:
+    """How many characters two texts begin with alike."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if a[low:middle] == b[low:middle] else (low, middle - 1)
+    return low
+
+
+#: Of a fingerprint: its root and the bar.
+_ROOT = 33
+
+
+def _thin(row: tuple) -> tuple[tuple, int]:
+    """A finished row whose edited fingerprint leaves out what it shares with the own one behind the roots."""
+    own, changed = row[3], row[4]
+    same = _alike(own[_ROOT:], changed[_ROOT:])
+    return (*row[:4], changed[:_ROOT] + changed[_ROOT + same :], *row[5:]), same
+
+
 def _part_batch(kind: int, rows: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
     """Rows (doc_id, text) at an end of this task's range."""
     ids, texts = zip(*rows, strict=True)
@@ -128,8 +149,16 @@ def _part_batch(kind: int, rows: list[tuple], id_type: pa.DataType) -> pa.Record
     return pa.RecordBatch.from_arrays([*columns, *empty], names=["part", "kind", "text", *_COLUMNS])
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as deflated bytes: the one shuffle of all texts moves less than half of them."""
+    for batch in batches:
+        packed = [zlib.compress((x.as_py() or "").encode("utf-8", "surrogatepass"), 1) for x in batch.column("text")]
+        rest = batch.drop_columns(["text"])
+        yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(packed, pa.binary())], names=[*rest.schema.names, "packed"])
+
+
 def _along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one range partition in order: all but the last meet their next one here (kind 0).
+    """Rows of one range partition in order: all but the last meet their next one here (kind 0; part: what ``_thin`` left out).
 
     The partition's first row (kind 1) and its last (kind 2) leave as they are, to meet those of other partitions.
     """
@@ -138,16 +167,17 @@ def _along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         id_type = whole.column("doc_id").type
         for batch in (whole.slice(a, 256) for a in range(0, whole.num_rows, 256)):
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                text = text or ""
+            for doc_id, packed in zip(batch.column("doc_id").to_pylist(), batch.column("packed").to_pylist(), strict=True):
+                text = zlib.decompress(packed).decode("utf-8", "surrogatepass")
                 own = fingerprint(text)
                 if held:
                     rows.append(_row(*held, text, own))
                 else:
                     yield _part_batch(1, [(doc_id, text)], id_type)
                 held = doc_id, text, own
-            done = _batch(rows, id_type)
-            front = [pa.nulls(len(rows), pa.int32()), pa.array([0] * len(rows), pa.int32()), pa.nulls(len(rows), pa.string())]
+            thin = [_thin(r) for r in rows]
+            done = _batch([r for r, _ in thin], id_type)
+            front = [pa.array([same for _, same in thin], pa.int32()), pa.array([0] * len(rows), pa.int32()), pa.nulls(len(rows), pa.string())]
             yield pa.RecordBatch.from_arrays([*front, *done.columns], names=["part", "kind", "text", *_COLUMNS])
     if held:
         yield _part_batch(2, [held[:2]], id_type)
@@ -181,9 +211,11 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     parts = min(MOST_PARTS, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     base = base.withColumns({"h": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
-    ranged = base.repartitionByRange(parts, "doc_id", "h", "row").sortWithinPartitions("doc_id", "h", "row").select("doc_id", "text")
-    schema = _SCHEMA.format(id=base.schema["doc_id"].dataType.simpleString())
-    walked = work.keep(ranged.mapInArrow(_along, f"part int, kind int, text string, {schema}"), "walked")
+    kind = base.schema["doc_id"].dataType.simpleString()
+    schema = _SCHEMA.format(id=kind)
+    packed = base.mapInArrow(_pack, f"doc_id {kind}, h long, row long, packed binary")
+    ranged = packed.repartitionByRange(parts, "doc_id", "h", "row").sortWithinPartitions("doc_id", "h", "row").select("doc_id", "packed")
+    walked = work.keep(ranged.mapInArrow(_along, f"part int, kind int, text string, {schema}"), "walked", compression="zstd")
     ends = work.keep(walked.where("kind > 0").select("part", "kind", "doc_id", "text"), "ends")
     # One number a partition: the next one that has rows, and after the last the first.
     order = W.orderBy("part")
@@ -191,4 +223,6 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     turn = numbers.select("part", F.coalesce(F.lead("part").over(order), F.first("part").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("next_part"))
     first = ends.where("kind = 1").select(F.col("part").alias("next_part"), F.col("text").alias("next_text"))
     last = ends.where("kind = 2").join(turn, "part").join(first, "next_part").select("doc_id", "text", "next_text")
-    return walked.where("kind = 0").select(*_COLUMNS).unionByName(last.mapInArrow(_pairs, schema))
+    whole = F.expr(f"concat(substring(edited_fingerprint, 1, {_ROOT}), substring(fingerprint, {_ROOT + 1}, part), substring(edited_fingerprint, {_ROOT + 1}))")
+    inner = walked.where("kind = 0").withColumn("edited_fingerprint", whole).select(*_COLUMNS)
+    return inner.unionByName(last.mapInArrow(_pairs, schema))
