@@ -58,8 +58,8 @@ def _deltas(g):
 
     spark = g.vertices.sparkSession
     g = Graph(settle(g.vertices), settle(g.edges))
-    store = DeltaStore(spark, f"{shared_folder(spark)}/deltas-{uuid.uuid4().hex}", buckets=8)
-    store.append(g.vertices, g.edges)
+    store = DeltaStore(spark, f"{shared_folder(spark)}/deltas-{uuid.uuid4().hex}", buckets=4)
+    store.create(g)
     store.append(g.vertices.where("label = 'Thread'").select("vid", F.lit("resolved").alias("status")))
     store.compact()
     sessions = g.vertices.where("label = 'Session'")

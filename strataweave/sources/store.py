@@ -167,6 +167,12 @@ class DeltaStore:
         base, deltas = self._parts()
         return max([base, *deltas]) + 1
 
+    def create(self, graph: Graph) -> int:
+        """A whole graph of unique keys as the base that later deltas change."""
+        n = self._next()
+        self._put(f"base-{n}", graph.vertices.select(*VERTEX.names), graph.edges.select(*EDGE.names))
+        return n
+
     def append(self, vertices: DataFrame | None = None, edges: DataFrame | None = None, *, order: str | None = None) -> int:
         """Write a delta and return its number; it has one file for each bucket that its keys fall into. Columns may be missing: they keep their values."""
         n = self._next()
