@@ -255,13 +255,14 @@ def phrase_counts(docs: DataFrame, work: Workspace, *, longest: int = 3, least:
         out = work.keep(base.mapInArrow(_pass(k, k == longest, min(least, 255), parts, buckets), _PASS_SQL), f"pass-{k}")
         counted = out.where("block is null")
         if k == 1:
-            sizes = counted.groupBy("lang").agg(F.sum("n").alias("n"))
+            sizes = work.keep(counted.groupBy("lang").agg(F.sum("n").alias("n")), "sizes")
         frequent = counted.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
         frequent = work.keep(frequent.select("lang", "phrase", F.lit(k).alias("length"), "f"), f"frequent-{k}")
         found = frequent if found is None else found.unionByName(frequent)
         if k < longest:
             buckets = _broadcast_bits(out.where("block is not null"), min(least, 255))
             parts = _broadcast_bits(frequent.select("lang", F.col("phrase").alias("text")).mapInArrow(_hashed(k), _PASS_SQL), 1)
+        work.drop(f"pass-{k}")
     return found, sizes
 
 
