@@ -6,18 +6,15 @@ no task sees more than one bucket of one key at a time.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 from pyspark.sql.window import Window as W
 
+from .containment import contains_join  # noqa: F401
 from .iterate import settle
 
-#: Names and their characters together up to which one automaton holds them all; both are counted first.
-BROADCAST_ROWS, MOST_CHARS = 10_000, 4_000_000
 #: Rows that a time range of an as-of join without a key holds on average, and the most ranges.
 RANGE_ROWS, MOST_RANGES = 100_000, 8_192
 
@@ -169,55 +166,6 @@ def longest_affix(left: DataFrame, right: DataFrame, *, path: str, affix: str, r
     return hits.groupBy(row_id, path).agg(F.max_by("_affix", F.length("_affix")).alias(affix))
 
 
-def _finder(names: list[str]) -> Callable[[Column], Column]:
-    """Which of the names a text contains, each once, by one pass over the text."""
-
-    @F.pandas_udf(ArrayType(StringType()))
-    def find(text: pd.Series) -> pd.Series:
-        import ahocorasick
-
-        machine = ahocorasick.Automaton()
-        for name in names:
-            machine.add_word(name, name)
-        machine.make_automaton()
-        return text.map(lambda x: [] if x is None else sorted({name for _, name in machine.iter(x)}))
-
-    return find
-
-
-def contains_join(texts: DataFrame, names: DataFrame, *, text: str, name: str, gram: int = 8) -> DataFrame:
-    """Pairs where the lower-cased text contains the lower-cased name; null and empty names match nothing.
-
-    Names that an automaton can hold, counted first, are found by one pass over
-    each text. More of them meet the texts through one gram of each name, which is
-    an equi-join. No text is compared with every name.
-    """
-    names = names.where(F.col(name).isNotNull() & (F.col(name) != ""))
-    keyed = names.withColumn("_low", F.lower(name))
-    size = keyed.select("_low").limit(BROADCAST_ROWS + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("_low")), F.lit(0)).alias("chars")).first()
-    if size["n"] <= BROADCAST_ROWS and size["chars"] <= MOST_CHARS:
-        if size["n"] == 0:
-            return texts.join(names, F.lit(False))
-        held = [r[0] for r in keyed.select("_low").distinct().collect()]
-        found = texts.withColumn("_low", F.explode(_finder(held)(F.lower(text))))
-        # As many rows as the automaton has names, at most.
-        return found.join(F.broadcast(keyed), "_low").drop("_low")
-    low = F.lower(text)
-    hit = F.contains(low, F.col("_low"))
-    keyed = keyed.withColumn("_gram", F.substring("_low", 1, gram))
-    short = keyed.where(F.length("_gram") < gram)
-
-    def pieces(n: int) -> Column:
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - n + 1, F.lit(1))), lambda i: F.substr(low, i, F.lit(n))))
-
-    out = texts.withColumn("_gram", F.explode(pieces(gram))).join(keyed.where(F.length("_gram") == gram), "_gram").where(hit).drop("_gram", "_low")
-    sizes = [r[0] for r in short.select(F.length("_gram")).distinct().collect()]
-    for n in sorted(sizes):
-        small = texts.withColumn("_gram", F.explode(pieces(n))).join(short.where(F.length("_gram") == n), "_gram").drop("_gram", "_low")
-        out = out.unionByName(small.select(*out.columns))
-    return out
-
-
 def unique_in_window(left: DataFrame, right: DataFrame, *, by: Sequence[str], left_ts: str, right_ts: str, seconds: int, left_id: str, right_id: str) -> DataFrame:
     """Each left row with the one right row of its keys within ``seconds``; none if there are several.
 

@@ -39,7 +39,9 @@ def mentions(chunks: DataFrame, entities: DataFrame) -> DataFrame:
 def anchors(chunks: DataFrame, claims: DataFrame) -> DataFrame:
     """ANCHORS edges, with the span: the first chunk of a claim's source that holds its citation's first 60 characters."""
     asked = claims.where(F.length(F.trim("citation")) >= 24).select("claim", "source", F.lower(F.substring(F.trim("citation"), 1, 60)).alias("needle"))
-    hits = asked.join(chunks.select("source", "vid", "ordinal", "start", "text"), "source").where(F.contains(F.lower("text"), F.col("needle")))
+    # Of a source's pairs of claims and chunks only those that hold the citation are ever made.
+    held = J.contains_join(chunks.select("source", "vid", "ordinal", "start", "text"), asked.select("needle").distinct(), text="text", name="needle")
+    hits = asked.join(held, ["source", "needle"])
     first = hits.groupBy("claim").agg(F.min_by(F.struct("vid", (F.col("start") + F.instr(F.lower("text"), F.col("needle")) - 1).alias("at"), F.length("needle").alias("n")), "ordinal").alias("h"))
     span = F.create_map(F.lit("start"), F.col("h.at").cast("string"), F.lit("end"), (F.col("h.at") + F.col("h.n")).cast("string"))
     return edge(first, "ANCHORS", F.col("claim"), F.col("h.vid"), "Claim", "Chunk", span)

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from strataweave.functions import ids as I
 from strataweave.functions import stats as S
 from strataweave.functions import text as X
+from strataweave.operators import containment as N
 from strataweave.operators import contract as C
 from strataweave.operators import joins as J
 from strataweave.operators import ranking as R
@@ -113,13 +115,38 @@ def test_affixes_contains_and_precedence(spark):
     assert got == {1: (None, "x", "hook"), 2: ("u", "y", "file,hook"), 3: ("v", None, "file")}
 
 
-@pytest.mark.parametrize("limit", [10_000, 1])
-def test_contains_join_by_broadcast_and_by_gram(spark, monkeypatch, limit):
-    monkeypatch.setattr(J, "BROADCAST_ROWS", limit)
-    texts = spark.createDataFrame([(1, "Attention is all you Need"), (2, "lstm"), (3, None), (4, "x")], "id int, text string")
-    names = spark.createDataFrame([("is all you need",), ("LSTM",), ("attention",), ("",), (None,), ("x",)], "name string")
-    got = {(r.id, r.name) for r in J.contains_join(texts, names, text="text", name="name").collect()}
-    assert got == {(1, "is all you need"), (1, "attention"), (2, "LSTM"), (4, "x")}
+@pytest.mark.parametrize(("shard", "cut"), [(1 << 22, 1 << 19), (3, 16)])
+def test_contains_join_in_one_pass_and_in_shards(spark, monkeypatch, shard, cut):
+    monkeypatch.setattr(N, "SHARD_NAMES", shard)
+    monkeypatch.setattr(N, "SLICE", cut)
+    texts = spark.createDataFrame([(1, "Attention is all you Need"), (2, "lstm"), (3, None), (4, "x"), (5, ""), (6, "\U0001f600x\u00e9 lst"), (6, "m")], "id int, text string")
+    names = spark.createDataFrame([("is all you need",), ("LSTM",), ("attention",), ("",), (None,), ("x",), ("\U0001f600X\u00c9",), ("x",)], "name string")
+    got = sorted((r.id, r.name) for r in J.contains_join(texts, names, text="text", name="name").collect())
+    assert got == sorted([(1, "is all you need"), (1, "attention"), (2, "LSTM"), (4, "x"), (4, "x"), (6, "x"), (6, "x"), (6, "\U0001f600X\u00c9")])
+    assert J.contains_join(texts, names.limit(0), text="text", name="name").count() == 0
+    assert J.contains_join(texts.limit(0), names, text="text", name="name").count() == 0
+
+
+def test_contains_join_against_brute_force(spark, monkeypatch):
+    """Few letters, so that names of all lengths overlap, share prefixes and recur; slices are far shorter than texts."""
+    monkeypatch.setattr(N, "SLICE", 200)
+    draw = random.Random(3)
+    word = lambda n: "".join(draw.choice("aab") for _ in range(n))
+    texts = [(i, word(draw.randrange(0, 1500))) for i in range(30)]
+    names = [(word(n),) for n in range(1, 40) for _ in range(8)] + [(t[5:305],) for _, t in texts] + [("a" * 20 + word(9),) for _ in range(50)]
+    got = {(r.id, r.name) for r in J.contains_join(spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame(names, "name string"), text="text", name="name").select("id", "name").distinct().collect()}
+    assert got == {(i, n) for i, t in texts for (n,) in names if n and n in t}
+
+
+def test_contains_join_of_many_names_in_long_texts(spark):
+    """200,000 names with one prefix against texts of a megabyte; a name is planted at known places."""
+    names = spark.range(200_000).select(F.col("id").alias("n"), F.concat(F.lit("https://www.example.com/item/"), F.sha2(F.col("id").cast("string"), 256).substr(1, 16)).alias("name"))
+    filler = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(15_000)), lambda k: F.concat(F.sha2((F.col("id") * 100_000 + k).cast("string"), 224), F.lit(" https://www.example.com/item/"))), "")
+    planted = F.concat(F.lit("https://www.example.com/item/"), F.sha2((F.col("id") * 1000).cast("string"), 256).substr(1, 16))
+    texts = spark.range(16).repartition(8).select("id", F.concat(filler, planted, filler).alias("text"))
+    assert texts.agg(F.min(F.length("text"))).first()[0] > 1_000_000
+    got = sorted((r.id, r.n) for r in J.contains_join(texts, names, text="text", name="name").select("id", "n").collect())
+    assert got == [(i, 1000 * i) for i in range(16)]
 
 
 def test_ranking(spark):
