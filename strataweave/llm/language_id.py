@@ -21,8 +21,10 @@ ORDER = 4
 FIT_DOCS = 600
 #: Further documents of a language that set the score's temperature and the rejection bound.
 CALIBRATION_DOCS = 100
-#: Most frequent values of the language column that a model is fitted for: what reaches the driver stays bounded by it.
-MOST_LANGUAGES = 200
+#: Languages that are fitted together, in the order of their names: what one fit brings to the driver stays bounded by it.
+BLOCK = 200
+#: Temperatures that calibration chooses from.
+TEMPERATURES = np.array([2.0**k for k in range(-1, 9)])
 DISCOUNT = 0.75
 _START, _SPACE = 2, 32
 _U = np.uint64
@@ -87,8 +89,6 @@ class Model:
     context_keys: list[np.ndarray]
     backoff: list[np.ndarray]
     unseen: np.ndarray
-    temperature: float = 20.0
-    reject_above: float = float("inf")
 
     def log_probabilities(self, s: np.ndarray, where: np.ndarray) -> np.ndarray:
         """Log probability of the symbols at ``where``, a column a language."""
@@ -118,11 +118,22 @@ class Model:
         return at.mix64(h + _U(order))
 
 
-def fit(grams: pd.DataFrame) -> Model:
-    """Interpolated Kneser-Ney from counts (lang, gram, n) of grams of ``ORDER`` symbols."""
+@dataclass
+class Family:
+    """Models of blocks of languages, all languages in the order of their names, and what calibration found for all of them."""
+
+    models: list[Model]
+    temperature: float = 20.0
+    reject_above: float = float("inf")
+
+    @property
+    def languages(self) -> list[str]:
+        return [x for m in self.models for x in m.languages]
+
+
+def fit(grams: pd.DataFrame, alphabet: int) -> Model:
+    """Interpolated Kneser-Ney from counts (lang, gram, n) of grams of ``ORDER`` symbols out of ``alphabet`` different ones."""
     languages = sorted(grams["lang"].unique().tolist())
-    probability: list[dict[str, dict[str, float]]] = [{} for _ in languages]
-    alphabet = {c for g in grams["gram"] for c in g}
     seen: list[set[str]] = [set() for _ in range(ORDER)]
     weights: list[list[dict[str, float]]] = []
     chances: list[list[dict[str, float]]] = []
@@ -142,17 +153,16 @@ def fit(grams: pd.DataFrame) -> Model:
                 kinds[g[:-1]] += 1
             back[order - 1] = {c: DISCOUNT * kinds[c] / totals[c] for c in totals}
             for g, n in counts[order - 1].items():
-                lower = 1 / (len(alphabet) + 1) if order == 1 else probs[order - 2][g[1:]]
+                lower = 1 / (alphabet + 1) if order == 1 else probs[order - 2][g[1:]]
                 probs[order - 1][g] = (n - DISCOUNT) / totals[g[:-1]] + back[order - 1][g[:-1]] * lower
             seen[order - 1].update(counts[order - 1])
         chances.append(probs)
         weights.append(back)
-    del probability
 
     def chance(k: int, g: str) -> float:
         if g in chances[k][len(g) - 1]:
             return chances[k][len(g) - 1][g]
-        lower = 1 / (len(alphabet) + 1) if len(g) == 1 else chance(k, g[1:])
+        lower = 1 / (alphabet + 1) if len(g) == 1 else chance(k, g[1:])
         return weights[k][len(g) - 1].get(g[:-1], 1.0) * lower
 
     keys, logp, context_keys, backoff = [], [], [], []
@@ -167,23 +177,25 @@ def fit(grams: pd.DataFrame) -> Model:
         sort = np.argsort(own)
         context_keys.append(own[sort])
         backoff.append(np.log(np.array([[w[order - 1].get(names[i], 1.0) for w in weights] for i in sort], np.float64)).astype(np.float32))
-    unseen = np.log([weights[k][0].get("", 1.0) / (len(alphabet) + 1) for k in range(len(languages))]).astype(np.float32)
+    unseen = np.log([weights[k][0].get("", 1.0) / (alphabet + 1) for k in range(len(languages))]).astype(np.float32)
     return Model(languages, keys, logp, context_keys, backoff, unseen)
 
 
-def entropies(model: Model, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def entropies(family: Family, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Cross-entropy per symbol in nats of each text under each language, and its number of symbols."""
     n = len(offsets) - 1
     s, marks = symbols(raw, offsets)
     lead = ORDER - 1
     count = np.diff(marks) - lead
     where = np.flatnonzero(s != _START)
-    out = np.zeros((n, len(model.languages)))
+    out = np.zeros((n, len(family.languages)))
     full = count > 0
     if len(where):
-        logp = model.log_probabilities(s, where)
-        first = np.cumsum(count) - count
-        out[full] = -np.add.reduceat(logp, first[full], axis=0, dtype=np.float64) / count[full][:, None]
+        first, column = np.cumsum(count) - count, 0
+        for model in family.models:
+            logp = model.log_probabilities(s, where)
+            out[full, column : column + len(model.languages)] = -np.add.reduceat(logp, first[full], axis=0, dtype=np.float64) / count[full][:, None]
+            column += len(model.languages)
     return out, count
 
 
@@ -199,7 +211,9 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["lang", "gram", "n"])
 
 
-def _score(model: Model | None):
+def _score(model: Family | None):
+    languages = model.languages if model else []
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
@@ -211,7 +225,7 @@ def _score(model: Model | None):
                 least = entropy[np.arange(b - a), best]
                 share = 1 / np.exp(-model.temperature * (entropy - least[:, None])).sum(axis=1)
                 for i in np.flatnonzero(count > 0):
-                    lang[a + i], score[a + i], bits[a + i] = model.languages[best[i]], share[i], least[i] / np.log(2)
+                    lang[a + i], score[a + i], bits[a + i] = languages[best[i]], share[i], least[i] / np.log(2)
                     rejected[a + i] = least[i] > model.reject_above
             keep = [(c, x) for c, x in zip(batch.schema.names, batch.columns, strict=True) if c != "text"]
             yield pa.RecordBatch.from_arrays([*[x for _, x in keep], pa.array(lang), pa.array(score), pa.array(bits, from_pandas=True), pa.array(rejected)], names=[*[c for c, _ in keep], "lang_pred", "score", "bits_per_symbol", "rejected"])
@@ -219,59 +233,74 @@ def _score(model: Model | None):
     return run
 
 
-def _entropy_rows(model: Model):
+def _losses(model: Family):
+    """Of each text in a known language: its cross-entropy under that language, and the log loss at each of ``TEMPERATURES``."""
+    index = {x: i for i, x in enumerate(model.languages)}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, off = at.utf8(batch.column("text"))
-            rows, lang = [], batch.column("lang").to_pylist()
+            own, losses, lang = [], [], batch.column("lang").to_pylist()
             for a, b in at.slices(off):
                 entropy, count = entropies(model, raw[off[a] : off[b]], off[a : b + 1] - off[a])
-                rows += [(lang[a + i], entropy[i].tolist()) for i in np.flatnonzero(count > 0)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.float64()))], names=["lang", "entropy"])
+                for i in np.flatnonzero(count > 0):
+                    if (k := index.get(lang[a + i])) is not None:
+                        x = -TEMPERATURES[:, None] * (entropy[i] - entropy[i].min())
+                        own.append(float(entropy[i, k]))
+                        losses.append((np.log(np.exp(x).sum(axis=1)) - x[:, k]).tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.float64()), pa.array(losses, pa.list_(pa.float64()))], names=["own", "losses"])
 
     return run
 
 
-def train(labelled: DataFrame, *, fit_docs: int = FIT_DOCS, calibration_docs: int = CALIBRATION_DOCS, languages: int = MOST_LANGUAGES) -> Model | None:
-    """Model from (doc_id, lang, text) rows with a language; None if there are none.
+def train(labelled: DataFrame, *, fit_docs: int = FIT_DOCS, calibration_docs: int = CALIBRATION_DOCS, block: int = BLOCK) -> Family | None:
+    """Models from (doc_id, lang, text) rows with a language, one for every language; None if there are none.
 
-    The fit reads whole texts of about ``fit_docs`` documents of each of the
-    ``languages`` most frequent languages (ties: the lesser name), chosen by a
-    hash of id and text; the tables that reach the driver are bounded by these
-    numbers and not by the corpus. Rows with a null language, null and empty texts
-    teach nothing; repeated rows are drawn together.
+    The fit reads whole texts of about ``fit_docs`` documents of each language,
+    chosen by a hash of id and text, ``block`` languages at a time; what reaches
+    the driver is bounded by these numbers and the number of languages, not by the
+    corpus. The share of a symbol that a language has never seen rests on the
+    symbols of all blocks, so that blocks compare. Rows with a null language, null
+    and empty texts teach nothing; repeated rows are drawn together.
     """
     labelled = labelled.select("doc_id", "lang", "text").where("lang is not null")
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("_n")).orderBy(F.col("_n").desc(), "lang").limit(languages)
+    counts = sorted((r["lang"], r["_n"]) for r in labelled.groupBy("lang").agg(F.count("*").alias("_n")).collect())
     draw = F.pmod(F.xxhash64(F.lit(29), F.col("doc_id"), F.col("text")), F.lit(1 << 30)) / float(1 << 30)
-    # At most ``languages`` rows.
-    chosen = labelled.join(F.broadcast(counts), "lang").withColumn("rank", draw * F.col("_n")).where(F.col("rank") < fit_docs + calibration_docs)
-    grams = chosen.where(F.col("rank") < fit_docs).select("lang", "text").mapInArrow(_grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    grams = grams[grams["gram"].str[-1] != chr(_START)]
-    if grams.empty:
+
+    def drawn(part: list[tuple[str, int]]) -> DataFrame:
+        # At most ``block`` rows are broadcast.
+        sizes = labelled.sparkSession.createDataFrame(part, "lang string, _n long")
+        return labelled.join(F.broadcast(sizes), "lang").withColumn("rank", draw * F.col("_n")).where(F.col("rank") < fit_docs + calibration_docs)
+
+    def counted(chosen: DataFrame) -> DataFrame:
+        rows = chosen.where(F.col("rank") < fit_docs).select("lang", "text").mapInArrow(_grams, "lang string, gram string, n long")
+        return rows.where(F.substring("gram", -1, 1) != chr(_START)).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+    parts = [drawn(counts[i : i + block]) for i in range(0, len(counts), block)]
+    known = {chr(_START)}
+    if len(parts) > 1:
+        for part in parts:
+            known |= {r[0] for r in counted(part).select(F.substring("gram", -1, 1)).distinct().collect()}
+    models = []
+    for part in parts:
+        grams = counted(part).toPandas()
+        if not grams.empty:
+            models.append(fit(grams, len(known) if len(parts) > 1 else len(known | {c for g in grams["gram"] for c in g})))
+    if not models:
         return None
-    model = fit(grams)
-    rows = chosen.where(F.col("rank") >= fit_docs).select("lang", "text").mapInArrow(_entropy_rows(model), "lang string, entropy array<double>").collect()
-    index = {x: i for i, x in enumerate(model.languages)}
-    rows = [(index[r["lang"]], np.array(r["entropy"])) for r in rows if r["lang"] in index]
+    family = Family(models)
+    rows = [r for part in parts for r in part.where(F.col("rank") >= fit_docs).select("lang", "text").mapInArrow(_losses(family), "own double, losses array<double>").collect()]
     if rows:
-        truth = np.array([r[0] for r in rows])
-        entropy = np.stack([r[1] for r in rows])
-        own = entropy[np.arange(len(truth)), truth]
-
-        def loss(t: float) -> float:
-            x = -t * (entropy - entropy.min(axis=1, keepdims=True))
-            return float(np.mean(np.log(np.exp(x).sum(axis=1)) - x[np.arange(len(truth)), truth]))
-
-        model.temperature = min((2.0**k for k in range(-1, 9)), key=loss)
-        model.reject_above = float(np.quantile(own, 0.99) + 2 * own.std())
-    return model
+        own = np.array([r["own"] for r in rows])
+        family.temperature = float(TEMPERATURES[np.array([r["losses"] for r in rows]).mean(axis=0).argmin()])
+        family.reject_above = float(np.quantile(own, 0.99) + 2 * own.std())
+    return family
 
 
 OUTPUTS = ["lang_pred", "score", "bits_per_symbol", "rejected"]
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
+def predict(docs: DataFrame, model: Family | None) -> DataFrame:
     """The input's columns without text, plus lang_pred, score, bits_per_symbol, rejected; one row per input row.
 
     ``und`` with score 0 where the text is null or empty or has no letter, or no

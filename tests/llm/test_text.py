@@ -264,7 +264,7 @@ def test_language_models(spark):
     # Every gram's chances sum to one over the alphabet.
     letters = {c for r in rows for c in r[2]}
     s = np.array([ord(c) for c in " the"], np.uint32)
-    total = sum(np.exp(model.log_probabilities(np.append(s[:-1], ord(c)).astype(np.uint32), np.array([3]))[0, 0]) for c in letters)
+    total = sum(np.exp(model.models[0].log_probabilities(np.append(s[:-1], ord(c)).astype(np.uint32), np.array([3]))[0, 0]) for c in letters)
     assert 0.8 < total <= 1.0 + 1e-6
 
 
@@ -313,8 +313,8 @@ def test_language_chances_match_the_definition(spark):
 def test_language_clashes_ties_repeats_and_many_values(spark):
     rows = [(k, f"l{k % 30}", "word " * 3) for k in range(60)] + [(None, None, "x"), (3, "l3", None), (4, "l4", ""), (5, "l5", "long text " * 20_000)]
     df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
-    model = language_id.train(df, languages=5)
-    assert len(model.languages) == 5
+    model = language_id.train(df, block=7)
+    assert len(model.models) == 5 and model.languages == sorted({f"l{k}" for k in range(30)})
     clashing = df.withColumns({"score": F.lit("s"), "lang_pred": F.lit(1), "rejected": F.lit("r"), "bits_per_symbol": F.lit("b"), "_n": F.lit(0), "rank": F.lit(0)})
     got = language_id.predict(clashing.unionByName(clashing), model)
     assert got.columns == ["doc_id", "lang", "_n", "rank", "lang_pred", "score", "bits_per_symbol", "rejected"]
@@ -324,6 +324,21 @@ def test_language_clashes_ties_repeats_and_many_values(spark):
     assert language_id.predict(clashing.limit(0), model).count() == 0
 
 
+def test_language_blocks_give_what_one_block_gives(spark):
+    rng = np.random.default_rng(4)
+    letters = {f"l{k:03d}": [chr(0x61 + 40 * k + j) for j in range(12)] + list("abc") for k in range(12)}
+    say = lambda lang: " ".join("".join(rng.choice(letters[lang], 5)) for _ in range(12))
+    df = spark.createDataFrame([(k, lang, say(lang)) for k, lang in enumerate(sorted(letters) * 20)], "doc_id long, lang string, text string")
+    one, many = (language_id.train(df, fit_docs=15, calibration_docs=5, block=b) for b in (200, 5))
+    assert (len(one.models), len(many.models)) == (1, 3) and one.languages == many.languages
+    assert one.temperature == many.temperature and abs(one.reject_above - many.reject_above) < 1e-5
+    raw, off = np.frombuffer("".join(df.select("text").first()).encode() + b"abc", np.uint8), [0]
+    a, b = (language_id.entropies(m, raw, np.array([*off, len(raw)]))[0] for m in (one, many))
+    assert np.abs(a - b).max() < 1e-5
+    got = language_id.predict(df, many).where("lang <> lang_pred").count()
+    assert got == language_id.predict(df, one).where("lang <> lang_pred").count() <= 12
+
+
 def test_quality_held_out(spark):
     import random
 
