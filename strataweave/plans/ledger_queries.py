@@ -7,6 +7,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import stats as S
 from ..operators import joins as J
+from ..operators import slopes as ML
 from . import architecture as AR
 from ..sources.transcripts import fork_delta
 from .registry import Tables, query
@@ -162,6 +163,13 @@ def sens_slope(t):
     return S.sens_slope(daily, "x", "y", group=["event_type"])
 
 
+@query("SELECT round(quantile_cont((b.p_retailprice - a.p_retailprice) / (b.p_size - a.p_size), 0.5), 6) + 0.0 AS slope FROM part a JOIN part b ON b.p_size > a.p_size")
+def median_slope(t):
+    """Middle slope of price over size between all pairs of parts, by counting inversions."""
+    slope = ML.median_slope(t.part, "p_size", "p_retailprice")
+    return t.spark.range(1).select((F.round(F.lit(slope), 6) + 0.0).alias("slope"))
+
+
 @query("""
 WITH r AS (SELECT quality, count(*) AS total, count(*) FILTER (toxic = 1) AS hits FROM labels GROUP BY 1), p AS (SELECT *, hits / total AS p, 1 + 3.8416 / total AS d FROM r)
 SELECT quality, hits, total, round(greatest(0, (p + 3.8416 / (2 * total)) / d - 1.96 * sqrt(p * (1 - p) / total + 3.8416 / (4 * total * total)) / d), 9) AS low,
