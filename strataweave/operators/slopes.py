@@ -73,20 +73,19 @@ def pairs_below(points: DataFrame, n: int, slopes: Iterable[float]) -> list[int]
     return total
 
 
-def median_slope(points: DataFrame, x: str, y: str, *, guesses: int | None = None) -> float:
+def median_slope(points: DataFrame, x: str, y: str, *, guesses: int = 12) -> float:
     """Median of the slopes between all pairs of points of different x; 0 with fewer than two distinct x.
 
     Rows with a null, NaN or infinite x or y are left out; repeated rows count as
     often as they occur, pairs of equal x have no slope. An even number of pairs
     has the mean of the two middle ones. The interval that holds the result is
-    narrowed by counting the pairs below ``guesses`` slopes a round (12 to 60 if none are given, fewer for more points), until its ends agree to
+    narrowed by counting the pairs below ``guesses`` slopes a round, until its ends agree to
     ``PRECISION``; differences of y - m*x that vanish in double precision limit it. A round moves ``guesses`` short rows a point twice; a task holds about ``CELL``.
     """
     real = points.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("abs(x) < double('Infinity') and abs(y) < double('Infinity')")
     n, mx, my = real.agg(F.count("*"), F.avg("x"), F.avg("y")).first()
     if n < 2:
         return 0.0
-    guesses = guesses or max(12, min(60, (1 << 20) // n))
     salted = real.select((F.col("x") - mx).alias("x"), (F.col("y") - my).alias("y"), F.monotonically_increasing_id().alias("salt"))
     ordered = salted.repartitionByRange(max(4, -(-n // CELL)), "x", "y", "salt").sortWithinPartitions("x", "y", "salt")
     ranked = settle(ordered.select("x", "y", F.monotonically_increasing_id().alias("r"), F.spark_partition_id().alias("block")))
