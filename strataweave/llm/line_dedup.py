@@ -98,11 +98,12 @@ def dedup_lines(docs: DataFrame, *, threshold: int = 3, least_chars: int = 20, i
     kind = docs.schema[id_col].dataType.simpleString()
     light = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     keys = work.keep(light.mapInArrow(_keys(least_chars), f"doc_id {kind}, place int, k1 long, k2 long"), "keys")
+    lines = keys.count()
     once = keys.select("k1", "k2", "doc_id").distinct()
-    common = work.keep(once.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= threshold).select("k1", "k2", "keeper"), "common")
+    common = work.keep(once.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= threshold).select("k1", "k2", "keeper"), "common", rows=lines)
     # Both right sides grow with the corpus, so they are merged and never broadcast.
     gone = keys.join(common.hint("merge"), ["k1", "k2"]).where("doc_id <> keeper").groupBy("doc_id").agg(F.collect_set("place").alias("places"))
-    gone = work.keep(gone, "gone")
+    gone = work.keep(gone, "gone", rows=lines)
     rest = [c for c in docs.columns if c != text_col]
     base = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("input"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     marked = base.join(gone.hint("merge"), "doc_id", "left").select("input", "text", "places")

@@ -38,14 +38,14 @@ def running(df: DataFrame, rows: int, order: Sequence[str], values: dict[str, st
     """
     ranges = max(1, min(MOST_RANGES, -(-rows // BUCKET_ROWS)))
     key = [group] if group else []
-    ranged = work.keep(df.repartitionByRange(ranges, *key, *order).withColumn("_range", F.spark_partition_id()), f"{name}-ranges")
+    ranged = work.keep(df.repartitionByRange(ranges, *key, *order).withColumn("_range", F.spark_partition_id()), f"{name}-ranges", rows=rows)
     totals = ranged.groupBy(*key, "_range").agg(*[F.sum(v).alias(o) for o, v in values.items()])
     before = W.partitionBy(*key).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(*[F.col(c).alias("_group") for c in key], F.col("_range").alias("_at"), *[F.coalesce(F.sum(o).over(before), F.lit(0)).alias(f"_{o}") for o in values])
     if extra is not None:
         own = extra.withColumnRenamed(group, "_name")
         offsets = offsets.join(own, F.col("_group").eqNullSafe(F.col("_name"))).drop("_name")
-    offsets = work.keep(offsets, f"{name}-offsets")
+    offsets = work.keep(offsets, f"{name}-offsets", rows=rows)
     inside = W.partitionBy(*key, "_range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     summed = ranged.withColumns({o: F.coalesce(F.sum(v).over(inside), F.lit(0)) for o, v in values.items()})
     match = F.col("_range") == F.col("_at")
@@ -69,7 +69,7 @@ def fill_targets(sources: DataFrame, work: Workspace, *, weights: tuple[int, ...
     cycle = F.array(*[F.lit(int(x)) for x in weights])
     ranked = ranked.withColumn("weight", F.element_at(cycle, (F.col("rank") % len(weights) + 1).cast("int"))).withColumn("cap", F.col("source_size") * repeats)
     ranked = ranked.withColumn("ratio", F.col("cap") / F.col("weight"))
-    filled = work.keep(running(ranked, count, ["ratio", "last", "code"], {"caps": "cap", "weights": "weight"}, work, "fill"), "filled")
+    filled = work.keep(running(ranked, count, ["ratio", "last", "code"], {"caps": "cap", "weights": "weight"}, work, "fill"), "filled", rows=count)
     every = filled.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
     share = (F.lit(total) - F.col("caps")) / (F.lit(every) - F.col("weights"))
     level = filled.where(F.col("ratio") >= share).agg(F.min_by(share, F.struct("ratio", "last", "code"))).first()[0]
@@ -99,10 +99,10 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, repeats: int = R
     # A number for each row: rows that repeat an id stay apart.
     full = work.keep(full.withColumn("row", F.monotonically_increasing_id()), "sizes")
     rows = full.drop("input")
-    targets = work.keep(fill_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), work, weights=weights, repeats=repeats), "targets")
     total, budget = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    targets = work.keep(fill_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), work, weights=weights, repeats=repeats), "targets", rows=total)
     queued = running(rows, total, ["draw", "doc_id", "size", "row"], {"before": "size"}, work, "queue", group="source", extra=targets)
-    queued = work.keep(queued, "queued")
+    queued = work.keep(queued, "queued", rows=total)
     passes = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("turn")
     copies = queued.where("size > 0").select("source", "size", "draw", "doc_id", "row", "source_size", "target", "before", passes)
     begun = F.col("turn") * F.col("source_size") + F.col("before")
@@ -110,7 +110,7 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, repeats: int = R
     copies = copies.where(begun < F.col("target") + F.col("size")).withColumn("finish", (begun + F.col("size")) / F.col("target"))
     copies = copies.select("finish", "source", "draw", "doc_id", "size", "row", "turn")
     timed = running(copies, 2 * total, ["finish", "source", "draw", "doc_id", "row", "turn"], {"spent": "size"}, work, "times")
-    chosen = work.keep(timed.where(F.col("spent") + F.col("size") <= F.lit(budget)).groupBy("row").agg(F.count("*").alias("copies")), "chosen")
+    chosen = work.keep(timed.where(F.col("spent") + F.col("size") <= F.lit(budget)).groupBy("row").agg(F.count("*").alias("copies")), "chosen", rows=total)
     out = queued.join(chosen, "row", "left").withColumn("copies", F.coalesce("copies", F.lit(0)).cast("int"))
     if carry:
         out = out.join(full.select("row", "input"), "row")

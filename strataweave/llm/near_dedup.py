@@ -329,7 +329,7 @@ def _numbered(base: DataFrame, work: Workspace, width: int, percent: int) -> Dat
     """``near_duplicates`` of rows (doc_id, text) with long ids."""
     prints = work.keep(base.mapInArrow(_fingerprints(width), "doc_id long, n_shingles long, d1 long, d2 long, signature binary"), "prints")
     usable = prints.where("n_shingles > 0 and doc_id is not null")
-    classes = work.keep(usable.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")), "classes")
+    classes = work.keep(usable.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")), "classes", rows=prints.count())
     named = usable.select("doc_id", "signature").join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi")
     forest = named.mapInArrow(_forest, "region long, rest long, doc_id long, low long, high long")
     parts = max(1, min(MOST_PARTS, ORDERS * classes.count() // PART_ROWS))
@@ -339,7 +339,7 @@ def _numbered(base: DataFrame, work: Workspace, width: int, percent: int) -> Dat
     links = _confirm(base, zones, work, width, percent)
     final = components(links, work, "final")
     known = classes.join(final.withColumnRenamed("node", "class_id"), "class_id", "left").where("n > 1 or component is not null")
-    known = work.keep(known.select("d1", "d2", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component")), "known")
+    known = work.keep(known.select("d1", "d2", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component")), "known", rows=classes.count())
     out = prints.select("doc_id", "n_shingles", "d1", "d2").join(known, ["d1", "d2", "n_shingles"], "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), F.coalesce("class_id", "doc_id").alias("class_id"))

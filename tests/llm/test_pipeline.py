@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from strataweave.llm.queries import vocabulary_path
+from strataweave.llm.workspace import Workspace
 
 
 def representatives(rows):
@@ -151,3 +153,30 @@ def test_rows_that_repeat_an_id_are_told_apart_by_their_texts(spark, folder):
     text = " ".join(f"w{k}" for k in range(50))
     docs = spark.createDataFrame([(1, text), (5, text), (5, "another text of its own that nobody copies"), (7, text), (None, text), (None, "of no id and alone")], "doc_id long, text string")
     assert sorted(map(tuple, corpus_pipeline.near_dedup_stage(spark, docs, folder[0]).collect()), key=repr) == [(5, "another text of its own that nobody copies"), (None, "of no id and alone"), (None, text)]
+
+
+LIGHT = {
+    corpus_pipeline.mixing_stage: {"rank-ranges", "rank-offsets", "fill-ranges", "fill-offsets", "filled", "targets", "queue-ranges", "queue-offsets", "queued", "times-ranges", "times-offsets", "chosen"},
+    corpus_pipeline.line_dedup_stage: {"common", "gone"},
+    corpus_pipeline.near_dedup_stage: {"classes", "known"},
+}
+
+
+@pytest.mark.parametrize("stage", LIGHT)
+def test_light_tables_take_a_file_for_65536_rows(spark, folder, stage, monkeypatch):
+    """Many shuffle partitions make no small files, for which executors start processes on a local file system."""
+    at, rows, _ = folder
+    bases, begun = [], Workspace.__init__
+    monkeypatch.setattr(Workspace, "__init__", lambda self, s: (begun(self, s), bases.append(self.base))[0])
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    put = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in put}
+    try:
+        for k, v in put.items():
+            spark.conf.set(k, v)
+        stage(spark, docs, at).count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    files = {p.name: len(list(p.glob("part-*"))) for base in bases for p in Path(base.removeprefix("file:")).iterdir()}
+    assert {k: files[k] for k in LIGHT[stage]} == dict.fromkeys(LIGHT[stage], 1)
