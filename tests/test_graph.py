@@ -281,3 +281,43 @@ def test_a_chain_of_a_hundred_thousand_takes_few_rounds(spark, monkeypatch):
     chain = spark.range(100_000).selectExpr("id AS src", "id + 1 AS dst")
     out = G.chain_reach(chain).selectExpr("count(*) AS n", "max(reachable) AS far", "sum(reachable) AS pairs").first()
     assert (out.n, out.far, out.pairs) == (100_001, 100_001, 100_001 * 100_002 // 2) and len(rounds) < 45
+
+
+@pytest.fixture
+def followers(spark, tmp_path):
+    """A folder whose lineitem has parts of 600 in a row that end in a ring of 5, and a ring of 3 apart."""
+    after = {k: k + 1 for k in range(604)} | {604: 600, 1000: 1001, 1001: 1002, 1002: 1000}
+    lines = [(a, n, p) for a, b in after.items() for n, p in enumerate((a, b))]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    return str(tmp_path)
+
+
+def rows_written(monkeypatch):
+    """Rows of each table that the graph loops write from now on."""
+    rows, settle = [], G.settle
+
+    def counted(df):
+        out = settle(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(G, "settle", counted)
+    return rows
+
+
+def test_propagation_cost_writes_no_pairs(spark, followers, monkeypatch):
+    from strataweave.plans.witness import QUERIES
+
+    rows = rows_written(monkeypatch)
+    out = QUERIES["propagation_cost"](spark, followers).first()
+    pairs = sum(605 - k for k in range(600)) + 5 * 5 + 3 * 3
+    assert (out.pairs, out.modules, out.propagation_cost) == (pairs, 608, pairs / 608**2)
+    assert max(rows) <= 608
+
+
+def test_propagation_cost_of_nothing(spark, tmp_path):
+    from strataweave.plans.witness import QUERIES
+
+    spark.createDataFrame([], "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = QUERIES["propagation_cost"](spark, str(tmp_path)).first()
+    assert (out.pairs, out.modules) == (0, 0) and out.propagation_cost != out.propagation_cost  # NaN, as in SQL
