@@ -321,3 +321,12 @@ def test_propagation_cost_of_nothing(spark, tmp_path):
     spark.createDataFrame([], "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     out = QUERIES["propagation_cost"](spark, str(tmp_path)).first()
     assert (out.pairs, out.modules) == (0, 0) and out.propagation_cost != out.propagation_cost  # NaN, as in SQL
+
+
+def test_scc_groups_writes_no_pairs(spark, followers, monkeypatch):
+    from strataweave.plans.witness import QUERIES
+
+    rows = rows_written(monkeypatch)
+    out = {r.node: (r.component, r["size"]) for r in QUERIES["scc_groups"](spark, followers).collect()}
+    assert out == {k: (600, 5) for k in range(600, 605)} | {k: (1000, 3) for k in (1000, 1001, 1002)}
+    assert max(rows) <= 608
