@@ -330,3 +330,65 @@ def test_scc_groups_writes_no_pairs(spark, followers, monkeypatch):
     out = {r.node: (r.component, r["size"]) for r in QUERIES["scc_groups"](spark, followers).collect()}
     assert out == {k: (600, 5) for k in range(600, 605)} | {k: (1000, 3) for k in (1000, 1001, 1002)}
     assert max(rows) <= 608
+
+
+def test_traversal_repeat_takes_few_rounds(spark, tmp_path, monkeypatch):
+    """A customer with 400 orders takes no 400 rounds, and the orders are put in sequence once."""
+    from pyspark.sql import types as ST
+
+    from strataweave.plans.witness import QUERIES
+
+    rows = [(k, c, k % 7) for c, n in ((1, 400), (2, 1), (3, 2), (4, 30)) for k in range(c * 1000, c * 1000 + n)]
+    frame = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, day int")
+    frame.select("o_orderkey", "o_custkey", F.timestamp_seconds(F.col("day") * 86_400).cast(ST.TimestampNTZType()).alias("o_orderdate")).write.parquet(f"{tmp_path}/orders.parquet")
+    monkeypatch.setattr(TR, "WALK", 2, raising=False)
+    monkeypatch.setattr(TR, "WALK_ON", 3, raising=False)
+    rounds, settle = [], TR.settle
+    monkeypatch.setattr(TR, "settle", lambda df: rounds.append(1) or settle(df))
+    got = {(r.value, r.loops) for r in QUERIES["traversal_repeat"](spark, str(tmp_path)).collect()}
+    last = {c: max((k % 7, k) for k, d, _ in rows if d == c)[1] for c in (1, 3, 4)}
+    assert got == {(f"o{last[1]}", 399), (f"o{last[3]}", 1), (f"o{last[4]}", 29)} and len(rounds) < 60
+
+
+@pytest.mark.parametrize("branching", [False, True])
+def test_repeat_over_a_table_of_steps_is_the_plain_walk(spark, monkeypatch, branching):
+    import random
+    from collections import Counter
+
+    rng = random.Random(branching)
+    n, name, every = 70, "n{:03d}".format, 11 if branching else 45
+    pairs = [(k, k + d) for k in range(n) for d in (rng.choices(range(1, 9), k=rng.randrange(4)) if branching else [2]) if k + d < n and (k, d) != (24, 2)]
+    kind = {k: "Claim" if k in (50, 51) or branching and k % 4 == 0 else "Thread" for k in range(n)}
+    v = spark.createDataFrame([tuple({"vid": name(k), "label": kind[k]}.get(c) for c in VERTEX.names) for k in range(n)], VERTEX)
+    e = spark.createDataFrame([("BLOCKS", name(a), name(b), "Thread", "Thread", None) for a, b in pairs] + [("OTHER", name(0), name(k), "Thread", "Thread", None) for k in range(n)], EDGE)
+    met = {b for _, b in pairs if b % every == 0 or all(a != b for a, _ in pairs)}
+    want, front, loops = Counter(), Counter({k: 1 for k in range(20)}), 0
+    while front:
+        loops, moved = loops + 1, Counter()
+        for a, b in pairs:
+            if kind[b] == "Thread" or branching:
+                moved[b] += front[a]
+        want.update({(name(k), loops): c for k, c in moved.items() if c and k in met})
+        front = Counter({k: c for k, c in moved.items() if c and k not in met})
+    until = lambda x: x.or_(lambda y: y.not_(lambda z: z.out("BLOCKS")), lambda y: y.has_id(*[name(k) for k in range(0, n, every)]))
+    sub = (lambda x: x.out("BLOCKS")) if branching else (lambda x: x.out("BLOCKS").has_label("Thread"))
+    start = TR.T(Graph(v, e)).V(*[name(k) for k in range(20)])
+    for walk in (0, 3, 10**9):
+        monkeypatch.setattr(TR, "WALK", walk)
+        monkeypatch.setattr(TR, "WALK_ON", 2)
+        got = start.repeat(sub, until=until, count_loops=True).frame.groupBy("cur", "loops").agg(F.sum("bulk").alias("n")).collect()
+        assert {(r.cur, r.loops): r.n for r in got} == want
+    assert max(k for _, k in want) > (5 if branching else 15) and (max(want.values()) > 1) == branching
+
+
+def test_which_walks_go_over_a_table_of_steps(spark, monkeypatch):
+    assert TR._only_hop(lambda x: x.has_label("Thread").in_("BLOCKS").where(lambda y: y.out().count().is_(1))) == "in_"
+    for walk in (lambda x: x.out().out(), lambda x: x.out().limit(3), lambda x: x.out().dedup(), lambda x: x.out().where(lambda y: y.out().sample(1)), lambda x: x.out()._next(x.frame), lambda x: x.out().aggregate({}, "x"), lambda x: x.repeat(lambda y: y.out(), times=2)):
+        assert TR._only_hop(walk) is None
+    assert TR._by_place(lambda x: x.not_(lambda y: y.out())) and not TR._by_place(lambda x: x.not_(lambda y: y.out().limit(1)))
+    monkeypatch.setattr(TR, "WALK", 1)
+    t = TR.T(chain(spark, 12))
+    with pytest.raises(RuntimeError, match="still walking"):
+        t.V("n000").repeat(lambda x: x.out(), until=lambda x: x.has_id("n011"), max_loops=4)
+    assert t.V("n011").repeat(lambda x: x.in_(), until=lambda x: x.has_id("n000"), max_loops=11).to_list() == ["n000"]
+    assert t.V("n003").repeat(lambda x: x.out(), until=lambda x: x.has_id("n000")).to_list() == []
